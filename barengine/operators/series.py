@@ -28,12 +28,13 @@ bars; tick tables are aggregated to bars before they reach this module.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 1 << 16
+BLOCK_ROWS = int(os.environ.get("BARENGINE_BLOCK_ROWS", 1 << 16))
 BUCKET_UNIT = "day"
 
 RN, BLK, HALO = "_rn", "_blk", "_halo"
@@ -60,20 +61,37 @@ def number_rows(df: DataFrame, keys: Sequence[str] = ("symbol",),
     counts = d.groupBy(*keys, bkt).agg(F.count(F.lit(1)).alias("_n"))
     w_off = Window.partitionBy(*keys).orderBy(bkt).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, bkt, F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
-    out = d.join(offsets, [*keys, bkt], "inner")
+    out = _join_keys(d, offsets, [*keys, bkt])
     return out.withColumn(RN, (F.col("_off") + F.col("_r")).cast("long")).drop("_off", "_r", bkt)
 
 
-def block_of(rn: Column, block_rows: int = BLOCK_ROWS) -> Column:
-    return F.floor(rn / F.lit(block_rows)).cast("long")
+def _join_keys(big: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join on ``on`` with NULL-safe equality (a NULL key is a series too)."""
+    s = small.select(*[F.col(c).alias(f"_j_{c}") for c in on],
+                     *[c for c in small.columns if c not in on])
+    cond = None
+    for c in on:
+        e = big[c].eqNullSafe(s[f"_j_{c}"])
+        cond = e if cond is None else cond & e
+    return big.join(s, cond, "inner").drop(*[f"_j_{c}" for c in on])
 
 
-def blocked(df: DataFrame, back: int, fwd: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _rows(block_rows: int | None) -> int:
+    # Read at call time so tests can shrink blocks to a few rows.
+    return block_rows or BLOCK_ROWS
+
+
+def block_of(rn: Column, block_rows: int | None = None) -> Column:
+    return F.floor(rn / F.lit(_rows(block_rows))).cast("long")
+
+
+def blocked(df: DataFrame, back: int, fwd: int = 0, block_rows: int | None = None) -> DataFrame:
     """Assign ``_blk`` and add halo copies; input needs ``_rn``.
 
     Frames of up to ``back`` rows behind and ``fwd`` rows ahead are exact
     inside a block partition. Drop rows with ``_halo`` after windowing.
     """
+    block_rows = _rows(block_rows)
     if back >= block_rows or fwd >= block_rows:
         raise ValueError("frame longer than a block")
     rn = F.col(RN)
@@ -94,7 +112,7 @@ def series_window(keys: Sequence[str]) -> Window:
 def with_series_columns(df: DataFrame, keys: Sequence[str],
                         build: Callable[[Window], dict[str, Column]],
                         back: int, fwd: int = 0, order: Sequence[str] = ("ts",),
-                        block_rows: int = BLOCK_ROWS, numbered: bool = False) -> DataFrame:
+                        block_rows: int | None = None, numbered: bool = False) -> DataFrame:
     """Add window columns computed by ``build(w)`` with frames ≤ back/fwd rows.
 
     ``build`` receives the blocked window spec (ordered by ``_rn``) and
@@ -111,7 +129,7 @@ def with_series_columns(df: DataFrame, keys: Sequence[str],
 
 
 def staged(df: DataFrame, keys: Sequence[str], stages: Sequence[Callable[[Window], dict[str, Column]]],
-           back: int, fwd: int = 0, order: Sequence[str] = ("ts",), block_rows: int = BLOCK_ROWS,
+           back: int, fwd: int = 0, order: Sequence[str] = ("ts",), block_rows: int | None = None,
            numbered: bool = False, keep_rn: bool = False) -> DataFrame:
     """Several window stages, each may use the columns of the one before.
 
@@ -169,7 +187,7 @@ def _combine(kind: str, carry: Column, inner: Column) -> Column:
 
 
 def running(df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[str, Column]],
-            block_rows: int = BLOCK_ROWS) -> DataFrame:
+            block_rows: int | None = None) -> DataFrame:
     """Cumulative columns from the start of each series; input needs ``_rn``.
 
     ``specs``: name -> (kind, expression) with kind in sum, product, max, min,
@@ -186,7 +204,7 @@ def running(df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[str, Colu
     w_blocks = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
     carries = per_block.select(*keys, BLK, *[
         _prefix(k, F.col(f"_b_{n}"), w_blocks).alias(f"_c_{n}") for n, (k, _) in specs.items()])
-    out = d.join(carries, [*keys, BLK], "inner")
+    out = _join_keys(d, carries, [*keys, BLK])
     out = out.select("*", *[
         _combine(k, F.col(f"_c_{n}"), _prefix(k, F.col(f"_x_{n}"), inner_w)).alias(n)
         for n, (k, _) in specs.items()])
