@@ -23,7 +23,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import COMMISSION, SLIPPAGE, START_CASH, TRADING_DAYS
@@ -93,15 +93,16 @@ def period_returns(sim: DataFrame, keys: Sequence[str] = ("model", "symbol"), pe
     keys = list(keys)
     per = sim.groupBy(*keys, F.date_trunc(period, "ts").alias("period")).agg(
         F.max_by("equity", "ts").alias("equity_end"))
-
-    def st(w):
-        prev = F.coalesce(F.lag("equity_end", 1).over(w), F.lit(cash0))
-        return {"ret": F.col("equity_end") / prev - 1}
-    d = series.number_rows(per, keys, ("period",))
-    d = series.staged(d, keys, [st], back=1, numbered=True, keep_rn=True)
-    d = series.running(d, keys, {"cum": ("product", 1 + F.col("ret"))})
-    d = series.running(d, keys, {"peak": ("max", F.col("cum"))})
-    return d.withColumn("drawdown", (F.col("peak") - F.col("cum")) / F.col("peak")).drop(series.RN)
+    # One row per series and period: a partition holds at most the number of
+    # periods in the covered range (3,653 days per decade), however many bars
+    # or ticks a hot symbol has, so plain windows are bounded here.
+    w = Window.partitionBy(*keys).orderBy("period")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    prev = F.coalesce(F.lag("equity_end", 1).over(w), F.lit(cash0))
+    d = per.withColumn("ret", F.col("equity_end") / prev - 1)
+    d = d.withColumn("cum", F.product(1 + F.col("ret")).over(run))
+    d = d.withColumn("peak", F.max("cum").over(run))
+    return d.withColumn("drawdown", (F.col("peak") - F.col("cum")) / F.col("peak"))
 
 
 def risk_metrics(rets: DataFrame, keys: Sequence[str] = ("model", "symbol")) -> DataFrame:
@@ -162,7 +163,10 @@ def backtest(bars: DataFrame, models: DataFrame, n_lags: int, keys: Sequence[str
     period table and the metric table (one row per model and series)."""
     keys = list(keys)
     x = lag_features(bars, n_lags, keys)
-    scored = score(x, models, on)
+    # The scored table feeds the simulation and the class metrics: cut the
+    # lineage once (a table written under spark.checkpoint.dir) so neither
+    # branch recomputes it and a lost executor does not replay it.
+    scored = checkpoint(score(x, models, on))
     mk = ["model", *keys]
     sim = simulate(scored, mk)
     per = period_returns(sim, mk)
@@ -173,6 +177,11 @@ def backtest(bars: DataFrame, models: DataFrame, n_lags: int, keys: Sequence[str
     return {"trades": sim, "periods": per, "metrics": m}
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    from ..session import materialize
+    return materialize(df, "scored")
+
+
 def promote_best(metrics: DataFrame, keep: float = 0.6) -> DataFrame:
     """Models worth keeping (a missing score is not kept)."""
     return metrics.where(F.col("final_score") >= keep)

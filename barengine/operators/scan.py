@@ -19,10 +19,9 @@ No task holds more than one block; the Python loop is per block and touches
 each row twice. Several recurrences (``specs``) run in the same passes.
 
 Steps 1 and 3 both read the input, and chained averages (EMA of EMA) feed
-one scan into the next, so the input is checkpointed first (reliable
-checkpoint in the cluster's ``spark.checkpoint.dir``): the lineage stops
-there, the input is computed once, and a lost executor does not replay the
-chain.
+one scan into the next, so the input is first written as a table under the
+cluster's ``spark.checkpoint.dir`` and read back: the lineage stops there,
+the input is computed once, and a lost executor does not replay the chain.
 """
 
 from __future__ import annotations
@@ -88,9 +87,8 @@ def _full_fn(names: list[str], out_cols: list[str]):
 
 
 def _materialize(df: DataFrame) -> DataFrame:
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    from ..session import materialize
+    return materialize(df, "scan")
 
 
 def affine_scan(df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[Column, Column]],

@@ -60,3 +60,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def apply_session_conf(spark: SparkSession) -> None:
     """Pin the settings that change results (time zone) on a given session."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def materialize(df, name: str = "stage"):
+    """Cut lineage: write ``df`` once as Parquet under the shared checkpoint
+    folder (``spark.checkpoint.dir``) and read it back.
+
+    One job, no recomputation (``Dataset.checkpoint(eager=True)`` runs the
+    plan twice), the files live in shared storage so a lost executor does not
+    replay the lineage, and the reader gets Parquet statistics.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/barengine/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
