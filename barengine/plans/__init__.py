@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_backtest, q_bars, q_features, q_indicators, q_labels, q_recursive  # noqa: F401  (registration side effects)
+from . import q_backtest, q_bars, q_features, q_indicators, q_labels, q_learn, q_recursive  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
