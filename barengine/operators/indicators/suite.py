@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import series
-from . import cumulative, pointwise, rolling
+from . import candles, cumulative, pointwise, rolling
 from .base import Ctx, Indicator
 
-FINITE: dict[str, Indicator] = {i.name: i for i in pointwise.ALL + rolling.ALL}
+FINITE: dict[str, Indicator] = {i.name: i for i in pointwise.ALL + rolling.ALL + candles.ALL}
 
 
 def _recursive():
