@@ -265,12 +265,12 @@ def _ultosc(p1=7, p2=14, p3=28):
     def st(ctx):
         c1 = ctx.lag("close")
         lo = F.least(F.col("low"), c1)
-        return {"_bp": F.when(c1.isNotNull(), F.col("close") - lo), "_tr": F.when(c1.isNotNull(), F.greatest(F.col("high"), c1) - lo)}
+        return {"_ult_bp": F.when(c1.isNotNull(), F.col("close") - lo), "_ult_tr": F.when(c1.isNotNull(), F.greatest(F.col("high"), c1) - lo)}
 
     def st2(ctx):
         def part(n, wgt):
             fr = ctx.frame(n)
-            a, b = F.sum("_bp").over(fr), F.sum("_tr").over(fr)
+            a, b = F.sum("_ult_bp").over(fr), F.sum("_ult_tr").over(fr)
             return F.when(b != 0, a / b * wgt).otherwise(F.lit(0.0))
         return {"ultosc": F.when(ctx.ready(p3), (part(p1, 4.0) + part(p2, 2.0) + part(p3, 1.0)) * 100.0 / 7.0)}
     return Indicator("ultosc", p3, [st, st2], ["ultosc"], group="oscillator")

@@ -69,6 +69,7 @@ def add_indicators(bars: DataFrame, names: Sequence[str] | None = None,
                 return cols
             stages.append(st)
         d = series.staged(d, keys, stages, back=max(i.back for i in fin), numbered=True, keep_rn=True)
+        d = d.drop(*[c for c in d.columns if c.startswith("_") and c != series.RN])
     cum = [n for n in names if n in cumulative.NAMES]
     if cum:
         if "obv" in cum:
