@@ -163,3 +163,44 @@ def embedding_32(spark, sf):
 @register("embedding_64", _embedding_sql(64))
 def embedding_64(spark, sf):
     return _embedding(spark, sf, 64)
+
+
+@register("latest_bars", f"""
+WITH b AS ({_H}),
+r AS (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rank,
+        sign(close - lag(close) OVER (PARTITION BY symbol ORDER BY ts)) AS s FROM b)
+SELECT symbol, ts, {r6('close')} AS close, CAST(rank AS BIGINT) AS rank,
+  CASE WHEN s > 0 THEN 'BUY' WHEN s < 0 THEN 'SELL' ELSE 'HOLD' END AS side
+FROM r WHERE rank <= 5""")
+def latest_bars(spark, sf):
+    """W13 + P12 + O7: the newest five bars per symbol with a BUY/SELL side
+    (sign of the last change); per-symbol top-5 (the limit is the feature)."""
+    from ..operators.leaderboard import side_label, top_n_per_group
+    b = event_bars(spark, sf).select("symbol", "ts", "close")
+    d = series.with_series_columns(b, ["symbol"], lambda w: {"signal": F.signum(F.col("close") - F.lag("close").over(w))},
+                                   back=1).drop(series.RN)
+    return top_n_per_group(d, ["symbol"], F.col("ts").desc(), 5).select(
+        "symbol", "ts", "close", "rank", side_label().alias("side"))
+
+
+@register("latest_price_lookup", f"""
+WITH b AS ({_H}), c AS (SELECT * FROM (VALUES ('click'), ('view'), ('refund')) c(symbol))
+SELECT c.symbol, x.ts, {r6('x.close')} AS close FROM c LEFT JOIN
+  (SELECT symbol, arg_max(ts, ts) AS ts, arg_max(close, ts) AS close FROM b GROUP BY symbol) x USING (symbol)""")
+def latest_price_lookup(spark, sf):
+    """J10 + W13: the chosen symbols' newest bar (max_by per symbol, then an
+    equi-join; a symbol without bars keeps NULLs)."""
+    from ..operators.leaderboard import latest_per_symbol
+    chosen = spark.createDataFrame([("click",), ("view",), ("refund",)], "symbol string")
+    last = latest_per_symbol(event_bars(spark, sf).select("symbol", "ts", "close"))
+    return chosen.join(last, "symbol", "left")
+
+
+@register("load_report", f"""
+SELECT c.symbol, CAST(coalesce(n, 0) AS BIGINT) AS rows, CASE WHEN n IS NULL THEN 'empty' ELSE 'ok' END AS status
+FROM (VALUES {_CFG_SQL}) c(symbol) LEFT JOIN (SELECT symbol, count(*) AS n FROM ({_H}) b GROUP BY symbol) x USING (symbol)""")
+def load_report(spark, sf):
+    """Bars per configured ticker; empty tickers flagged (the reference
+    raises for them; ``quality.non_empty_or_fail`` does that)."""
+    cfg = spark.createDataFrame([(t,) for t in CONFIGURED], "symbol string")
+    return quality.load_report(cfg, event_bars(spark, sf))

@@ -182,3 +182,13 @@ def gbt_importances(spark, sf):
     d = design(spark, sf).where(F.col("split") == "train").withColumn("y", F.col("y").cast("double"))
     m = LR.fit_gbt(d, FEATURES, LABEL, maxIter=10, maxDepth=3, seed=1)
     return LR.importances(spark, m, FEATURES)
+
+
+@register("train_all_runs")
+def train_all_runs(spark, sf):
+    """M10 + J8: every allowed combination with a trainable linear model
+    (n_linear on R for hour bars here), 10 trials each; runs table."""
+    d = design(spark, sf).withColumn("y", F.col("y").cast("double")).withColumn("r", F.col("y"))
+    runs, models = LR.train_all(spark, {"hour": d}, FEATURES, {"R": "r", "B1": "y"},
+                                {"n_linear": {"lr": [0.001, 0.5], "epochs": [5, 50]}}, n_trials=10, seed=3)
+    return runs.select("experiment", "trial", "mse")
