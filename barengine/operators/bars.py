@@ -20,6 +20,21 @@ def bucket(ts: str | Column, width: str) -> Column:
     return F.window(ts, width).start
 
 
+_D38 = "decimal(38,0)"
+
+
+def order_key(ts: str = "ts", seq: str = "seq") -> Column:
+    """The total order (ts, seq) as one DECIMAL(38,0): µs × 10^19 + (seq + 2^63).
+
+    ``min_by``/``max_by`` ordered by a struct need a sort-based aggregate
+    (struct buffers are not fixed-width); a decimal key keeps the
+    aggregation hash-based with map-side partial aggregation, with the
+    same result for every seq in the signed 64-bit range.
+    """
+    return (F.unix_micros(F.col(ts)).cast(_D38) * F.expr(f"CAST('{10 ** 19}' AS {_D38})")
+            + (F.col(seq).cast(_D38) + F.expr(f"CAST('{2 ** 63}' AS {_D38})")))
+
+
 def _present(df: DataFrame, name: str) -> bool:
     return name in df.columns
 
@@ -31,7 +46,7 @@ def bars_from_ticks(ticks: DataFrame, width: str, keys: Sequence[str] = ("symbol
     exist; ticks without price are not trades and are skipped.
     """
     keys = list(keys)
-    order = F.struct("ts", "seq")
+    order = order_key()
     t = ticks.where(F.col("price").isNotNull())
     return (t.groupBy(*keys, bucket("ts", width).alias("ts"))
             .agg(F.min_by("price", order).alias("open"),

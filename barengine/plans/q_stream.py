@@ -42,8 +42,9 @@ FROM events GROUP BY event_type""")
 def stream_latest_signal(spark, sf):
     """T4 + P12: newest price and BUY/SELL side per symbol (complete mode)."""
     ticks = ST.read_event_stream(spark, sf)
-    name, _ = ST.run_available_now(ST.latest_signal(ticks), "latest", mode="complete", fmt="memory")
-    return spark.table(name)
+    target = ST.scratch(spark, "latest_snapshot")
+    ST.run_available_now(ST.latest_signal(ticks), "latest", mode="complete", foreach_batch=ST.snapshot_batch(target))
+    return spark.read.parquet(target)
 
 
 @register("stream_returns", f"""

@@ -54,7 +54,8 @@ def read_event_stream(spark: SparkSession, directory: str, glob: str = "events.p
 
 def stream_bars(ticks: DataFrame, width: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
     """Tumbling-window OHLCV per symbol; append mode emits closed windows."""
-    order = F.struct("ts", "seq")
+    from ..operators.bars import order_key
+    order = order_key()
     return (ticks.where(F.col("price").isNotNull()).withWatermark("ts", delay)
             .groupBy("symbol", F.window("ts", width).alias("w"))
             .agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"),
@@ -72,7 +73,8 @@ def stream_dedup(ticks: DataFrame, key: str = "seq", delay: str = "10 minutes")
 def latest_signal(ticks: DataFrame) -> DataFrame:
     """T4: newest price per symbol and its side against the symbol's mean
     (BUY above, SELL below); a stateful aggregation in complete/update mode."""
-    order = F.struct("ts", "seq")
+    from ..operators.bars import order_key
+    order = order_key()
     a = ticks.groupBy("symbol").agg(F.max_by("price", order).alias("price"), F.max("ts").alias("ts"),
                                     F.avg("price").alias("mean_price"))
     sig = F.signum(F.col("price") - F.col("mean_price"))
@@ -132,6 +134,14 @@ def upsert_batch(target: str, key=("symbol", "ts"), order: str = "seq"):
     return fn
 
 
+def snapshot_batch(target: str):
+    """``foreachBatch`` sink for complete-mode results: each epoch overwrites
+    the snapshot table (one row per key), so nothing is held on the driver."""
+    def fn(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(target)
+    return fn
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder (sinks and checkpoints)."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
