@@ -33,6 +33,7 @@ from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK_ROWS = int(os.environ.get("BARENGINE_BLOCK_ROWS", 1 << 16))
 BUCKET_UNIT = "day"
@@ -199,8 +200,23 @@ def running(df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[str, Colu
     inner_w = Window.partitionBy(*keys, BLK).orderBy(RN).rowsBetween(Window.unboundedPreceding, 0)
     tmp = {f"_x_{n}": e for n, (_, e) in specs.items()}
     d = d.select("*", *[e.alias(t) for t, e in tmp.items()])
-    per_block = d.groupBy(*keys, BLK).agg(*[
-        _BLOCK_AGG[k](F.col(f"_x_{n}")).alias(f"_b_{n}") for n, (k, _) in specs.items()])
+    aggs, post = [], []
+    for n, (k, _) in specs.items():
+        x = F.col(f"_x_{n}")
+        dt = d.schema[f"_x_{n}"].dataType
+        if k == "last" and isinstance(dt, T.StructType):
+            # A struct value would force a sort-based aggregate: take each field
+            # by the same ordering (fixed-width buffers, hash aggregate) and
+            # rebuild the struct; a block without any non-NULL value gives NULL.
+            o = F.when(x.isNotNull(), F.col(RN))
+            aggs.append(F.max(o).alias(f"_bo_{n}"))
+            aggs += [F.max_by(x[f.name], o).alias(f"_bf_{n}_{i}") for i, f in enumerate(dt.fields)]
+            post.append(F.when(F.col(f"_bo_{n}").isNull(), F.lit(None).cast(dt)).otherwise(
+                F.struct(*[F.col(f"_bf_{n}_{i}").alias(f.name) for i, f in enumerate(dt.fields)])).alias(f"_b_{n}"))
+        else:
+            aggs.append(_BLOCK_AGG[k](x).alias(f"_b_{n}"))
+            post.append(F.col(f"_b_{n}"))
+    per_block = d.groupBy(*keys, BLK).agg(*aggs).select(*keys, BLK, *post)
     w_blocks = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
     carries = per_block.select(*keys, BLK, *[
         _prefix(k, F.col(f"_b_{n}"), w_blocks).alias(f"_c_{n}") for n, (k, _) in specs.items()])
