@@ -1,23 +1,33 @@
 """As-of join (J2), exogenous spread (J3), exogenous mapping.
 
-Spark has no DataFrame as-of join. Both sides are put into one table, ordered
-by (ts, side) with right rows first at equal time (an equal timestamp
-matches), and each left row takes the last right row seen so far. The "last
-right row" is a cumulative operation, so it runs on the blocked series layout
-(``series.running``): no task holds a whole key, no inequality join, no
-pairs. The right values travel as one struct, so a right row whose value is
-NULL is still the match (its NULL is kept, as with a label-based reindex).
+Spark has no DataFrame as-of join. This one is a bucketed equi-join: both
+sides are cut into time buckets (``bucket_unit``), and
+
+1. the right side is reduced to one row per (key, bucket): its rows in time
+   order (a short list, bounded by the right series' density in one bucket);
+2. a table of (key, bucket) pairs — the buckets the left side needs and the
+   buckets the right side has, one row each — gets, per left bucket, the last
+   right row of any earlier bucket (a window over that small table: a key
+   has at most one row per bucket of the covered range);
+3. every left row is equi-joined on (key, bucket) to its bucket's right rows
+   and carry, and takes the last right row with ts <= its own ts, else the
+   carry.
+
+Left rows are never grouped, sorted or numbered, so any number of left
+series may share one right series (one key holding a third of all left rows
+costs nothing extra); AQE broadcasts the per-bucket table when it is small
+and splits skewed join partitions otherwise. An equal timestamp matches; no
+tolerance; a right row whose value is NULL is still the match and its NULL
+is kept (values travel as one struct).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import series
-
 
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str] | None = None,
               values: Sequence[str] = ("close",), ts: str = "ts", prefix: str = "exo_",
@@ -32,28 +42,39 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str] | None = None
     """
     lb = list(left_by if left_by is not None else (by or []))
     rb = list(right_by if right_by is not None else (by or []))
-    kn = [f"_k{i}" for i in range(len(lb))] or ["_k0"]
-    lk = [F.col(c).alias(k) for c, k in zip(lb, kn)] or [F.lit(0).alias("_k0")]
-    rk = [F.col(c).alias(k) for c, k in zip(rb, kn)] or [F.lit(0).alias("_k0")]
+    kn = [f"_aj_k{i}" for i in range(len(lb))] or ["_aj_k0"]
+    lk = [F.col(c).alias(k) for c, k in zip(lb, kn)] or [F.lit(0).alias("_aj_k0")]
+    rk = [F.col(c).alias(k) for c, k in zip(rb, kn)] or [F.lit(0).alias("_aj_k0")]
     lcols = left.columns
-    vals = F.struct(*[F.col(v).alias(v) for v in values], F.col(ts).alias(ts))
-    vtype = right.select(vals.alias("v")).schema["v"].dataType
-    ltype = left.select(F.struct(*lcols).alias("l")).schema["l"].dataType
-    # Tie-break among left rows with the same time: a hash of the whole left
-    # row keeps the numbering deterministic when a task is recomputed.
-    L = left.select(*lk, F.col(ts).alias("_ts"), F.lit(1).alias("_side"),
-                    F.xxhash64(*lcols).alias("_tie"), F.struct(*lcols).alias("_l"),
-                    F.lit(None).cast(vtype).alias("_v"))
-    R = right.select(*rk, F.col(ts).alias("_ts"), F.lit(0).alias("_side"), F.lit(0).cast("long").alias("_tie"),
-                     F.lit(None).cast(ltype).alias("_l"), vals.alias("_v"))
-    u = L.unionByName(R)
-    u = series.number_rows(u, kn, ("_ts", "_side", "_tie"), bucket_unit)
-    u = series.running(u, kn, {"_m": ("last", F.col("_v"))})
-    out = u.where(F.col("_side") == 1).select(
-        *[F.col(f"_l.{c}").alias(c) for c in lcols],
-        *[F.col(f"_m.{v}").alias(prefix + v) for v in values],
-        F.col(f"_m.{ts}").alias(prefix + ts))
-    return out
+    L = left.select("*", *lk, F.date_trunc(bucket_unit, F.col(ts)).alias("_aj_b"))
+    v = F.struct(*[F.col(c).alias(c) for c in values], F.col(ts).alias(ts))
+    R = right.select(*rk, F.col(ts).alias("_aj_ts"), v.alias("_aj_v"),
+                     F.date_trunc(bucket_unit, F.col(ts)).alias("_aj_b"))
+    # 1. right rows per bucket, in time order
+    rows = R.groupBy(*kn, "_aj_b").agg(
+        F.sort_array(F.collect_list(F.struct("_aj_ts", "_aj_v"))).alias("_aj_rows"))
+    # 2. carry: last right row of an earlier bucket, for every bucket either side has
+    need = L.select(*kn, "_aj_b").distinct()
+    u = (need.select(*kn, "_aj_b", F.lit(0).alias("_aj_side"), F.lit(None).cast(rows.schema["_aj_rows"].dataType
+                                                                              .elementType).alias("_aj_last"))
+         .unionByName(rows.select(*kn, "_aj_b", F.lit(1).alias("_aj_side"),
+                                  F.element_at("_aj_rows", -1).alias("_aj_last"))))
+    w = Window.partitionBy(*kn).orderBy("_aj_b", "_aj_side").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (u.withColumn("_aj_carry", F.last("_aj_last", ignorenulls=True).over(w))
+             .where(F.col("_aj_side") == 0).select(*kn, "_aj_b", "_aj_carry"))
+    per_bucket = carry.join(rows, [*kn, "_aj_b"], "left")
+    # Fresh names on the bucket side: no column of the join condition can
+    # resolve to the left side's own attributes.
+    pb = per_bucket.select(*[F.col(k).alias(k + "_r") for k in kn], F.col("_aj_b").alias("_aj_br"),
+                           "_aj_carry", "_aj_rows")
+    # 3. equi-join and pick
+    cond = F.col("_aj_b") == F.col("_aj_br")
+    for k in kn:
+        cond = cond & F.col(k).eqNullSafe(F.col(k + "_r"))
+    j = L.join(pb, cond, "left")
+    inside = F.try_element_at(F.filter("_aj_rows", lambda r: r["_aj_ts"] <= F.col(ts)), F.lit(-1))
+    m = F.coalesce(inside, F.col("_aj_carry"))["_aj_v"]
+    return j.select(*[F.col(c) for c in lcols], *[m[c].alias(prefix + c) for c in values], m[ts].alias(prefix + ts))
 
 
 def exogenous_spread(left: DataFrame, exo: DataFrame, by: Sequence[str] | None = None,
