@@ -9,8 +9,9 @@ every other series operator:
    are shuffled for this;
 2. the block maps form a much shorter series of the same kind (a block is
    one "row" with a = A, b = B), which is scanned by the same procedure one
-   level up; after ``MAX_LEVELS`` levels the remaining table (rows /
-   block_rows^levels per series) is scanned in one group per series;
+   level up, until a level has at most ``block_rows`` rows per series and is
+   scanned in one group per series (the number of levels is read from the
+   longest series once);
 3. each block is scanned again with its carry-in (the scanned value at the
    end of the block before) by a cogrouped pandas function; every original
    column passes through, so no join back is needed.
@@ -35,7 +36,6 @@ from pyspark.sql import types as T
 
 from .series import BLK, RN, _rows, block_of
 
-MAX_LEVELS = 2
 
 
 def _loop(a, b, y):
@@ -91,12 +91,23 @@ def _materialize(df: DataFrame) -> DataFrame:
     return materialize(df, "scan")
 
 
+def _levels_needed(longest: int, block_rows: int) -> int:
+    levels, n = 0, longest
+    while n > block_rows:
+        n = -(-n // block_rows)
+        levels += 1
+    return levels
+
+
 def affine_scan(df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[Column, Column]],
-                block_rows: int | None = None, _level: int = 0) -> DataFrame:
+                block_rows: int | None = None, _levels: int | None = None) -> DataFrame:
     """Add one column per spec: name -> (a, b); input needs ``_rn``.
 
     ``y_{-1} = 0``; a seed row is a row with a = 0 and b = seed. ``a`` and
     ``b`` must be non-NULL (use 0 before the seed and mask the output).
+    The number of block levels follows from the longest series (one small
+    aggregate over the materialized input): a series that fits in one block
+    is scanned in one group, longer ones get ceil(log_B(rows)) - 1 levels.
     """
     keys = list(keys)
     names = list(specs)
@@ -106,21 +117,24 @@ def affine_scan(df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[Colum
         F.coalesce(specs[n][1].cast("double"), F.lit(0.0)).alias(f"_sb_{n}"))])
     sa = [f"_sa_{n}" for n in names]
     sb = [f"_sb_{n}" for n in names]
+    if _levels is None:
+        d = _materialize(d)
+        longest = d.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        _levels = _levels_needed(int(longest), B)
     out_schema = T.StructType(d.schema.fields + [T.StructField(n, T.DoubleType()) for n in names])
     out_cols = [f.name for f in out_schema.fields]
-    if _level >= MAX_LEVELS:
+    if _levels == 0:
+        # every series has at most B rows here: one bounded group per series
         res = d.groupBy(*keys).applyInPandas(_full_fn(names, out_cols), out_schema)
         return res.drop(*sa, *sb)
     d = d.withColumn(BLK, block_of(F.col(RN), B))
-    if _level == 0:
-        d = _materialize(d)
     narrow = d.select(*keys, BLK, RN, *sa, *sb)
     kfields = [d.schema[k] for k in keys]
     map_schema = T.StructType(kfields + [T.StructField(BLK, T.LongType())] +
                               [T.StructField(f"_{x}_{n}", T.DoubleType()) for n in names for x in ("A", "B")])
     maps = narrow.groupBy(*keys, BLK).applyInPandas(_fold_fn(names, keys), map_schema)
     lvl = maps.withColumnRenamed(BLK, RN)
-    ends = affine_scan(lvl, keys, {n: (F.col(f"_A_{n}"), F.col(f"_B_{n}")) for n in names}, B, _level + 1)
+    ends = affine_scan(lvl, keys, {n: (F.col(f"_A_{n}"), F.col(f"_B_{n}")) for n in names}, B, _levels - 1)
     carry = ends.select(*keys, (F.col(RN) + 1).alias(BLK), *[F.col(n).alias(f"_c_{n}") for n in names])
     full_schema = T.StructType(d.schema.fields + [T.StructField(n, T.DoubleType()) for n in names])
     full_cols = [f.name for f in full_schema.fields]

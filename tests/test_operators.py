@@ -286,3 +286,16 @@ def test_no_volume_skips_volume_indicators(spark):
 def test_side_label(spark, sig, side):
     from barengine.operators.leaderboard import side_label
     assert spark.createDataFrame([(sig,)], "signal int").select(side_label()).first()[0] == side
+
+
+def test_affine_scan_many_levels(spark):
+    """Block maps scanned over several levels (300 rows, 4-row blocks, two series)."""
+    rows = [(s, i, 0.97 if (i + len(s)) % 5 else 0.3, float((i * 7) % 11) - 5) for s in ("A", "BB") for i in range(300)]
+    df = spark.createDataFrame(rows, "symbol string, _rn long, a double, b double")
+    out = scan.affine_scan(df, ["symbol"], {"y": (F.col("a"), F.col("b"))}, block_rows=4)
+    got = {(r.symbol, r._rn): r.y for r in out.collect()}
+    for s in ("A", "BB"):
+        y = 0.0
+        for i in range(300):
+            y = (0.97 if (i + len(s)) % 5 else 0.3) * y + float((i * 7) % 11) - 5
+            assert abs(got[(s, i)] - y) < 1e-9
