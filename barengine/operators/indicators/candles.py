@@ -11,6 +11,7 @@ the public TA-Lib candle settings (measure, number of candles, factor):
   shadow very short range,    10, 0.1     near            range,      5, 0.2
   far             range,       5, 0.6     equal           range,      5, 0.05
 
+  shadow short    both shadows, 10, 1.0 (halved: one shadow on average)
 (0 candles = the candle's own real body.) Outputs are +100 (bullish) /
 -100 (bearish) / 0; rows before a pattern's lookback are 0. All frames are
 bounded (at most 13 rows back), so every pattern joins the single blocked
@@ -29,16 +30,17 @@ SETTINGS = {
     "body_long": ("body", 10, 1.0), "body_very_long": ("body", 10, 3.0), "body_short": ("body", 10, 1.0),
     "body_doji": ("range", 10, 0.1), "shadow_long": ("body", 0, 1.0), "shadow_very_long": ("body", 0, 2.0),
     "shadow_very_short": ("range", 10, 0.1), "near": ("range", 5, 0.2), "far": ("range", 5, 0.6),
-    "equal": ("range", 5, 0.05),
+    "equal": ("range", 5, 0.05), "shadow_short": ("shadows", 10, 1.0),
 }
-_COL = {"body": "_cdl_body", "range": "_cdl_range"}
+_COL = {"body": "_cdl_body", "range": "_cdl_range", "shadows": "_cdl_sh"}
 
 
 def _base(ctx: Ctx) -> dict[str, Column]:
     o, h, lo, c = (F.col(x) for x in ("open", "high", "low", "close"))
     return {"_cdl_body": F.abs(c - o), "_cdl_range": h - lo,
             "_cdl_up": h - F.greatest(o, c), "_cdl_lo": F.least(o, c) - lo,
-            "_cdl_col": F.when(c >= o, F.lit(1)).otherwise(F.lit(-1))}
+            "_cdl_col": F.when(c >= o, F.lit(1)).otherwise(F.lit(-1)),
+            "_cdl_sh": (h - F.greatest(o, c)) + (F.least(o, c) - lo)}
 
 
 class _K:
@@ -67,7 +69,8 @@ class _K:
         if n == 0:
             return self.body * factor
         fr = self.ctx.w.rowsBetween(-(self.k + n), -(self.k + 1))
-        return F.avg(_COL[measure]).over(fr) * factor
+        avg = F.avg(_COL[measure]).over(fr) * factor
+        return avg / 2 if measure == "shadows" else avg
 
 
 def _pattern(name: str, lookback: int, fn) -> Indicator:
@@ -200,6 +203,172 @@ def _three_crows(ctx, K):
     return F.when(cond, -100).otherwise(0)
 
 
+def _long_short(k, long_body: bool):
+    body = (k.body > k.avg("body_long")) if long_body else (k.body < k.avg("body_short"))
+    return body & (k.up < k.avg("shadow_short")) & (k.lo < k.avg("shadow_short"))
+
+
+def _longline(ctx, K):
+    k = K(0)
+    return F.when(_long_short(k, True), k.col * 100).otherwise(0)
+
+
+def _shortline(ctx, K):
+    k = K(0)
+    return F.when(_long_short(k, False), k.col * 100).otherwise(0)
+
+
+def _highwave(ctx, K):
+    k = K(0)
+    return F.when((k.body < k.avg("body_short")) & (k.up > k.avg("shadow_very_long"))
+                  & (k.lo > k.avg("shadow_very_long")), k.col * 100).otherwise(0)
+
+
+def _rickshawman(ctx, K):
+    k = K(0)
+    mid = k.l + (k.h - k.l) / 2
+    return F.when((k.body <= k.avg("body_doji")) & (k.lo > k.avg("shadow_long")) & (k.up > k.avg("shadow_long"))
+                  & (k.bot <= mid + k.avg("near")) & (k.top >= mid - k.avg("near")), 100).otherwise(0)
+
+
+def _takuri(ctx, K):
+    k = K(0)
+    return F.when((k.body <= k.avg("body_doji")) & (k.up < k.avg("shadow_very_short"))
+                  & (k.lo > k.avg("shadow_very_long")), 100).otherwise(0)
+
+
+def _closing_marubozu(ctx, K):
+    k = K(0)
+    close_side = F.when(k.col == 1, k.up).otherwise(k.lo)
+    return F.when((k.body > k.avg("body_long")) & (close_side < k.avg("shadow_very_short")), k.col * 100).otherwise(0)
+
+
+def _belthold(ctx, K):
+    k = K(0)
+    open_side = F.when(k.col == 1, k.lo).otherwise(k.up)
+    return F.when((k.body > k.avg("body_long")) & (open_side < k.avg("shadow_very_short")), k.col * 100).otherwise(0)
+
+
+def _dojistar(ctx, K):
+    a, b = K(1), K(0)
+    long1, doji = a.body > a.avg("body_long"), b.body <= b.avg("body_doji")
+    return (F.when(long1 & doji & (a.col == 1) & (b.bot > a.top), -100)
+            .when(long1 & doji & (a.col == -1) & (b.top < a.bot), 100).otherwise(0))
+
+
+def _haramicross(ctx, K):
+    a, b = K(1), K(0)
+    return F.when((a.body > a.avg("body_long")) & (b.body <= b.avg("body_doji")) & (b.top < a.top) & (b.bot > a.bot),
+                  -a.col * 100).otherwise(0)
+
+
+def _maru(k):
+    return (k.body > k.avg("body_long")) & (k.up < k.avg("shadow_very_short")) & (k.lo < k.avg("shadow_very_short"))
+
+
+def _kicking(ctx, K):
+    a, b = K(1), K(0)
+    both = _maru(a) & _maru(b)
+    return (F.when(both & (a.col == -1) & (b.col == 1) & (b.l > a.h), 100)
+            .when(both & (a.col == 1) & (b.col == -1) & (b.h < a.l), -100).otherwise(0))
+
+
+def _matchinglow(ctx, K):
+    a, b = K(1), K(0)
+    return F.when((a.col == -1) & (b.col == -1) & (b.c <= a.c + a.avg("equal")) & (b.c >= a.c - a.avg("equal")),
+                  100).otherwise(0)
+
+
+def _homingpigeon(ctx, K):
+    a, b = K(1), K(0)
+    return F.when((a.col == -1) & (b.col == -1) & (a.body > a.avg("body_long")) & (b.body <= b.avg("body_short"))
+                  & (b.o < a.o) & (b.c > a.c), 100).otherwise(0)
+
+
+def _neck(ctx, K, kind):
+    a, b = K(1), K(0)
+    base = (a.col == -1) & (a.body > a.avg("body_long")) & (b.col == 1) & (b.o < a.l)
+    eq = a.avg("equal")
+    if kind == "in":
+        cond = (b.c <= a.c + eq) & (b.c >= a.c)
+    elif kind == "on":
+        cond = (b.c <= a.l + eq) & (b.c >= a.l - eq)
+    else:  # thrusting
+        cond = (b.c > a.c + eq) & (b.c <= a.c + a.body * 0.5)
+    return F.when(base & cond, -100).otherwise(0)
+
+
+def _counterattack(ctx, K):
+    a, b = K(1), K(0)
+    eq = a.avg("equal")
+    return F.when((a.col == -b.col) & (a.body > a.avg("body_long")) & (b.body > b.avg("body_long"))
+                  & (b.c <= a.c + eq) & (b.c >= a.c - eq), b.col * 100).otherwise(0)
+
+
+def _separatinglines(ctx, K):
+    a, b = K(1), K(0)
+    eq = a.avg("equal")
+    open_side = F.when(b.col == 1, b.lo).otherwise(b.up)
+    return F.when((a.col == -b.col) & (b.o <= a.o + eq) & (b.o >= a.o - eq) & (b.body > b.avg("body_long"))
+                  & (open_side < b.avg("shadow_very_short")), b.col * 100).otherwise(0)
+
+
+def _three_inside(ctx, K):
+    x, y, z = K(2), K(1), K(0)
+    har = (x.body > x.avg("body_long")) & (y.body <= y.avg("body_short")) & (y.top < x.top) & (y.bot > x.bot)
+    return (F.when(har & (x.col == -1) & (z.col == 1) & (z.c > x.o), 100)
+            .when(har & (x.col == 1) & (z.col == -1) & (z.c < x.o), -100).otherwise(0))
+
+
+def _three_outside(ctx, K):
+    x, y, z = K(2), K(1), K(0)
+    bull = (y.col == 1) & (x.col == -1) & (y.c > x.o) & (y.o < x.c) & (z.c > y.c)
+    bear = (y.col == -1) & (x.col == 1) & (y.o > x.c) & (y.c < x.o) & (z.c < y.c)
+    return F.when(bull, 100).when(bear, -100).otherwise(0)
+
+
+def _two_crows(ctx, K):
+    x, y, z = K(2), K(1), K(0)
+    cond = ((x.col == 1) & (x.body > x.avg("body_long")) & (y.col == -1) & (y.bot > x.top)
+            & (z.col == -1) & (z.o < y.o) & (z.o > y.c) & (z.c > x.o) & (z.c < x.c))
+    return F.when(cond, -100).otherwise(0)
+
+
+def _identical_three_crows(ctx, K):
+    x, y, z = K(2), K(1), K(0)
+    cond = ((x.col == -1) & (y.col == -1) & (z.col == -1)
+            & (x.lo < x.avg("shadow_very_short")) & (y.lo < y.avg("shadow_very_short"))
+            & (z.lo < z.avg("shadow_very_short")) & (x.c > y.c) & (y.c > z.c)
+            & (y.o <= x.c + x.avg("equal")) & (y.o >= x.c - x.avg("equal"))
+            & (z.o <= y.c + y.avg("equal")) & (z.o >= y.c - y.avg("equal")))
+    return F.when(cond, -100).otherwise(0)
+
+
+def _doji_star3(ctx, K, bull: bool, pen=0.3):
+    a, m, b = K(2), K(1), K(0)
+    if bull:
+        cond = ((a.col == -1) & (a.body > a.avg("body_long")) & (m.body <= m.avg("body_doji")) & (m.top < a.bot)
+                & (b.col == 1) & (b.body > b.avg("body_short")) & (b.c > a.c + a.body * pen))
+        return F.when(cond, 100).otherwise(0)
+    cond = ((a.col == 1) & (a.body > a.avg("body_long")) & (m.body <= m.avg("body_doji")) & (m.bot > a.top)
+            & (b.col == -1) & (b.body > b.avg("body_short")) & (b.c < a.c - a.body * pen))
+    return F.when(cond, -100).otherwise(0)
+
+
+def _tristar(ctx, K):
+    x, y, z = K(2), K(1), K(0)
+    doji = (x.body <= x.avg("body_doji")) & (y.body <= x.avg("body_doji")) & (z.body <= x.avg("body_doji"))
+    return (F.when(doji & (y.bot > x.top) & (z.top < y.top), -100)
+            .when(doji & (y.top < x.bot) & (z.bot > y.bot), 100).otherwise(0))
+
+
+def _upsidegap2crows(ctx, K):
+    x, y, z = K(2), K(1), K(0)
+    cond = ((x.col == 1) & (x.body > x.avg("body_long")) & (y.col == -1) & (y.body <= y.avg("body_short"))
+            & (y.bot > x.top) & (z.col == -1) & (z.o > y.o) & (z.c < y.c) & (z.c > x.c))
+    return F.when(cond, -100).otherwise(0)
+
+
 ALL = [
     _pattern("cdldoji", 10, _doji),
     _pattern("cdldragonflydoji", 10, _dragonfly),
@@ -219,4 +388,29 @@ ALL = [
     _pattern("cdleveningstar", 12, _eveningstar),
     _pattern("cdl3whitesoldiers", 12, _three_soldiers),
     _pattern("cdl3blackcrows", 13, _three_crows),
+    _pattern("cdllongline", 10, _longline),
+    _pattern("cdlshortline", 10, _shortline),
+    _pattern("cdlhighwave", 10, _highwave),
+    _pattern("cdlrickshawman", 10, _rickshawman),
+    _pattern("cdltakuri", 10, _takuri),
+    _pattern("cdlclosingmarubozu", 10, _closing_marubozu),
+    _pattern("cdlbelthold", 10, _belthold),
+    _pattern("cdldojistar", 11, _dojistar),
+    _pattern("cdlharamicross", 11, _haramicross),
+    _pattern("cdlkicking", 11, _kicking),
+    _pattern("cdlmatchinglow", 6, _matchinglow),
+    _pattern("cdlhomingpigeon", 11, _homingpigeon),
+    _pattern("cdlinneck", 11, lambda ctx, K: _neck(ctx, K, "in")),
+    _pattern("cdlonneck", 11, lambda ctx, K: _neck(ctx, K, "on")),
+    _pattern("cdlthrusting", 11, lambda ctx, K: _neck(ctx, K, "thrusting")),
+    _pattern("cdlcounterattack", 11, _counterattack),
+    _pattern("cdlseparatinglines", 11, _separatinglines),
+    _pattern("cdl3inside", 12, _three_inside),
+    _pattern("cdl3outside", 2, _three_outside),
+    _pattern("cdl2crows", 12, _two_crows),
+    _pattern("cdlidentical3crows", 12, _identical_three_crows),
+    _pattern("cdlmorningdojistar", 12, lambda ctx, K: _doji_star3(ctx, K, True)),
+    _pattern("cdleveningdojistar", 12, lambda ctx, K: _doji_star3(ctx, K, False)),
+    _pattern("cdltristar", 12, _tristar),
+    _pattern("cdlupsidegap2crows", 12, _upsidegap2crows),
 ]

@@ -1,4 +1,4 @@
-"""Registered candle pattern queries (I13) with window-SQL oracles.
+"""Registered candle pattern queries (I13) with window-SQL oracles (12 patterns).
 
 The oracle restates each pattern in SQL from the definitions in
 ``operators/indicators/candles.py`` (settings table, candle k bars back).
@@ -11,7 +11,7 @@ from .q_indicators import BASE, _spark
 from .registry import register
 
 W = "OVER (PARTITION BY symbol ORDER BY rn)"
-_MEAS = {"body": "body", "range": "rng"}
+_MEAS = {"body": "body", "range": "rng", "shadows": "sh"}
 
 
 class K:
@@ -36,12 +36,14 @@ class K:
         meas, n, factor = SETTINGS[setting]
         if n == 0:
             return f"({self.body} * {factor!r})"
-        return (f"(avg({_MEAS[meas]}) OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN {self.k + n} PRECEDING "
-                f"AND {self.k + 1} PRECEDING) * {factor!r})")
+        a = (f"(avg({_MEAS[meas]}) OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN {self.k + n} PRECEDING "
+             f"AND {self.k + 1} PRECEDING) * {factor!r})")
+        return f"({a} / 2)" if meas == "shadows" else a
 
 
 PARTS = """p AS (SELECT *, abs(close - open) AS body, high - low AS rng, high - greatest(open, close) AS up,
-  least(open, close) - low AS lo, CASE WHEN close >= open THEN 1 ELSE -1 END AS col FROM b)"""
+  least(open, close) - low AS lo, CASE WHEN close >= open THEN 1 ELSE -1 END AS col,
+  (high - greatest(open, close)) + (least(open, close) - low) AS sh FROM b)"""
 
 
 def pat(lookback: int, expr: str) -> str:
@@ -66,6 +68,19 @@ _SQL = {
                            f"AND {a.body} <= {a.avg('body_short')} AND {a.top} < {m.bot} AND {b.col} = 1 "
                            f"AND {b.body} > {b.avg('body_short')} AND {b.c} > {m.c} + {m.body} * 0.3 "
                            f"THEN 100 ELSE 0 END"),
+    "cdllongline": (10, f"CASE WHEN {b.body} > {b.avg('body_long')} AND {b.up} < {b.avg('shadow_short')} "
+                        f"AND {b.lo} < {b.avg('shadow_short')} THEN {b.col} * 100 ELSE 0 END"),
+    "cdlbelthold": (10, f"CASE WHEN {b.body} > {b.avg('body_long')} AND CASE WHEN {b.col} = 1 THEN {b.lo} "
+                        f"ELSE {b.up} END < {b.avg('shadow_very_short')} THEN {b.col} * 100 ELSE 0 END"),
+    "cdldojistar": (11, f"CASE WHEN {a.body} > {a.avg('body_long')} AND {b.body} <= {b.avg('body_doji')} "
+                        f"AND {a.col} = 1 AND {b.bot} > {a.top} THEN -100 "
+                        f"WHEN {a.body} > {a.avg('body_long')} AND {b.body} <= {b.avg('body_doji')} "
+                        f"AND {a.col} = -1 AND {b.top} < {a.bot} THEN 100 ELSE 0 END"),
+    "cdl3outside": (2, f"CASE WHEN {a.col} = 1 AND {m.col} = -1 AND {a.c} > {m.o} AND {a.o} < {m.c} AND {b.c} > {a.c} "
+                       f"THEN 100 WHEN {a.col} = -1 AND {m.col} = 1 AND {a.o} > {m.c} AND {a.c} < {m.o} "
+                       f"AND {b.c} < {a.c} THEN -100 ELSE 0 END"),
+    "cdlmatchinglow": (6, f"CASE WHEN {a.col} = -1 AND {b.col} = -1 AND {b.c} <= {a.c} + {a.avg('equal')} "
+                          f"AND {b.c} >= {a.c} - {a.avg('equal')} THEN 100 ELSE 0 END"),
 }
 
 reg_names = list(_SQL)
