@@ -14,7 +14,7 @@ the public TA-Lib candle settings (measure, number of candles, factor):
   shadow short    both shadows, 10, 1.0 (halved: one shadow on average)
 (0 candles = the candle's own real body.) Outputs are +100 (bullish) /
 -100 (bearish) / 0; rows before a pattern's lookback are 0. All frames are
-bounded (at most 13 rows back), so every pattern joins the single blocked
+bounded (at most 14 rows back), so every pattern joins the single blocked
 window pass of the indicator suite.
 """
 
@@ -369,6 +369,154 @@ def _upsidegap2crows(ctx, K):
     return F.when(cond, -100).otherwise(0)
 
 
+def _three_line_strike(ctx, K):
+    w, x, y, z = K(3), K(2), K(1), K(0)
+    up = ((w.col == 1) & (x.col == 1) & (y.col == 1) & (x.c > w.c) & (y.c > x.c)
+          & (z.col == -1) & (z.o > y.c) & (z.c < w.o))
+    dn = ((w.col == -1) & (x.col == -1) & (y.col == -1) & (x.c < w.c) & (y.c < x.c)
+          & (z.col == 1) & (z.o < y.c) & (z.c > w.o))
+    return F.when(up, 100).when(dn, -100).otherwise(0)
+
+
+def _abandoned_baby(ctx, K, pen=0.3):
+    a, m, b = K(2), K(1), K(0)
+    base = (a.body > a.avg("body_long")) & (m.body <= m.avg("body_doji")) & (b.body > b.avg("body_short"))
+    bull = (a.col == -1) & (m.h < a.l) & (b.col == 1) & (b.l > m.h) & (b.c > a.c + a.body * pen)
+    bear = (a.col == 1) & (m.l > a.h) & (b.col == -1) & (b.h < m.l) & (b.c < a.c - a.body * pen)
+    return F.when(base & bull, 100).when(base & bear, -100).otherwise(0)
+
+
+def _breakaway(ctx, K):
+    v, w, x, y, z = K(4), K(3), K(2), K(1), K(0)
+    long1 = v.body > v.avg("body_long")
+    bull = (long1 & (v.col == -1) & (w.col == -1) & (w.top < v.bot) & (x.h < w.h) & (x.l < w.l)
+            & (y.h < x.h) & (y.l < x.l) & (z.col == 1) & (z.c > w.top) & (z.c < v.bot))
+    bear = (long1 & (v.col == 1) & (w.col == 1) & (w.bot > v.top) & (x.h > w.h) & (x.l > w.l)
+            & (y.h > x.h) & (y.l > x.l) & (z.col == -1) & (z.c < w.bot) & (z.c > v.top))
+    return F.when(bull, 100).when(bear, -100).otherwise(0)
+
+
+def _conceal_baby_swallow(ctx, K):
+    w, x, y, z = K(3), K(2), K(1), K(0)
+    cond = ((w.col == -1) & (x.col == -1) & (y.col == -1) & (z.col == -1) & _maru(w) & _maru(x)
+            & (y.o < x.c) & (y.h > x.c) & (z.h > y.h) & (z.l < y.l))
+    return F.when(cond, 100).otherwise(0)
+
+
+def _gap_side_side_white(ctx, K):
+    x, y, z = K(2), K(1), K(0)
+    pair = ((y.col == 1) & (z.col == 1) & (F.abs(z.body - y.body) < y.avg("near"))
+            & (F.abs(z.o - y.o) < y.avg("equal")))
+    return (F.when(pair & (y.bot > x.top) & (z.bot > x.top), 100)
+            .when(pair & (y.top < x.bot) & (z.top < x.bot), -100).otherwise(0))
+
+
+def _kicking_by_length(ctx, K):
+    a, b = K(1), K(0)
+    both = _maru(a) & _maru(b)
+    longer = F.when(b.body > a.body, b.col).otherwise(a.col)
+    return F.when(both & (a.col == -1) & (b.col == 1) & (b.l > a.h), longer * 100).when(
+        both & (a.col == 1) & (b.col == -1) & (b.h < a.l), longer * 100).otherwise(0)
+
+
+def _ladder_bottom(ctx, K):
+    v, w, x, y, z = K(4), K(3), K(2), K(1), K(0)
+    cond = ((v.col == -1) & (w.col == -1) & (x.col == -1) & (w.o < v.o) & (w.c < v.c) & (x.o < w.o) & (x.c < w.c)
+            & (y.col == -1) & (y.up > y.avg("shadow_very_short")) & (z.col == 1) & (z.o > y.o) & (z.c > y.h))
+    return F.when(cond, 100).otherwise(0)
+
+
+def _mat_hold(ctx, K, pen=0.5):
+    v, w, x, y, z = K(4), K(3), K(2), K(1), K(0)
+    small = lambda k: k.body < k.avg("body_short")
+    cond = ((v.col == 1) & (v.body > v.avg("body_long")) & small(w) & small(x) & small(y) & (w.col == -1)
+            & (w.bot > v.top) & (F.least(x.bot, y.bot) > v.c - v.body * pen)
+            & (z.col == 1) & (z.o > y.c) & (z.c > F.greatest(w.h, x.h, y.h)))
+    return F.when(cond, 100).otherwise(0)
+
+
+def _rise_fall_three(ctx, K):
+    v, w, x, y, z = K(4), K(3), K(2), K(1), K(0)
+    small = lambda k: k.body < k.avg("body_short")
+    inside = lambda k: (k.top < v.h) & (k.bot > v.l)
+    mid = small(w) & small(x) & small(y) & inside(w) & inside(x) & inside(y)
+    rise = ((v.col == 1) & (v.body > v.avg("body_long")) & (w.col == -1) & (y.col == -1) & mid
+            & (z.col == 1) & (z.body > z.avg("body_long")) & (z.o > y.c) & (z.c > v.c))
+    fall = ((v.col == -1) & (v.body > v.avg("body_long")) & (w.col == 1) & (y.col == 1) & mid
+            & (z.col == -1) & (z.body > z.avg("body_long")) & (z.o < y.c) & (z.c < v.c))
+    return F.when(rise, 100).when(fall, -100).otherwise(0)
+
+
+def _stalled(ctx, K):
+    x, y, z = K(2), K(1), K(0)
+    cond = ((x.col == 1) & (y.col == 1) & (z.col == 1) & (y.c > x.c) & (z.c > y.c)
+            & (x.body > x.avg("body_long")) & (y.body > y.avg("body_long"))
+            & (y.up < y.avg("shadow_very_short")) & (y.o > x.o) & (y.o <= x.c + x.avg("near"))
+            & (z.body < z.avg("body_short")) & (z.o >= y.c - z.body - y.avg("near")))
+    return F.when(cond, -100).otherwise(0)
+
+
+def _stick_sandwich(ctx, K):
+    x, y, z = K(2), K(1), K(0)
+    eq = x.avg("equal")
+    cond = ((x.col == -1) & (y.col == 1) & (z.col == -1) & (y.l > x.c)
+            & (z.c <= x.c + eq) & (z.c >= x.c - eq))
+    return F.when(cond, 100).otherwise(0)
+
+
+def _tasuki_gap(ctx, K):
+    x, y, z = K(2), K(1), K(0)
+    near = F.abs(y.body - z.body) < y.avg("near")
+    up = ((x.col == 1) & (y.col == 1) & (y.bot > x.top) & (z.col == -1) & (z.o < y.c) & (z.o > y.o)
+          & (z.c < y.o) & (z.c > x.top) & near)
+    dn = ((x.col == -1) & (y.col == -1) & (y.top < x.bot) & (z.col == 1) & (z.o < y.o) & (z.o > y.c)
+          & (z.c > y.o) & (z.c < x.bot) & near)
+    return F.when(up, 100).when(dn, -100).otherwise(0)
+
+
+def _unique_three_river(ctx, K):
+    x, y, z = K(2), K(1), K(0)
+    cond = ((x.col == -1) & (x.body > x.avg("body_long")) & (y.col == -1) & (y.c > x.c) & (y.o <= x.o)
+            & (y.l < x.l) & (z.col == 1) & (z.body < z.avg("body_short")) & (z.o > y.l) & (z.c < y.c))
+    return F.when(cond, 100).otherwise(0)
+
+
+def _xside_gap_three(ctx, K):
+    x, y, z = K(2), K(1), K(0)
+    up = ((x.col == 1) & (y.col == 1) & (y.bot > x.top) & (z.col == -1) & (z.o < y.c) & (z.o > y.o)
+          & (z.c < x.c) & (z.c > x.o))
+    dn = ((x.col == -1) & (y.col == -1) & (y.top < x.bot) & (z.col == 1) & (z.o < y.o) & (z.o > y.c)
+          & (z.c > x.c) & (z.c < x.o))
+    return F.when(up, 100).when(dn, -100).otherwise(0)
+
+
+def _hikkake(ctx, K):
+    """Inside bar, then a false breakout (±100); a close beyond the inside
+    bar's mother bar within the next three bars confirms it (±200)."""
+    def pat(j):
+        m, ins, b = K(j + 2), K(j + 1), K(j)
+        inside = (ins.h < m.h) & (ins.l > m.l)
+        return (F.when(inside & (b.h < ins.h) & (b.l < ins.l), 1)
+                .when(inside & (b.h > ins.h) & (b.l > ins.l), -1).otherwise(0))
+    now = K(0)
+    out = F.when(pat(0) != 0, pat(0) * 100)
+    for j in (1, 2, 3):
+        newer = [pat(k) == 0 for k in range(1, j)]
+        hi, lo = K(j + 1).h, K(j + 1).l
+        before_b = [K(k).c <= hi for k in range(1, j)]
+        before_s = [K(k).c >= lo for k in range(1, j)]
+        ok = F.lit(True)
+        for c in newer:
+            ok = ok & c
+        bull, bear = ok & (pat(j) == 1) & (now.c > hi), ok & (pat(j) == -1) & (now.c < lo)
+        for c in before_b:
+            bull = bull & c
+        for c in before_s:
+            bear = bear & c
+        out = out.when(bull, 200).when(bear, -200)
+    return out.otherwise(0)
+
+
 ALL = [
     _pattern("cdldoji", 10, _doji),
     _pattern("cdldragonflydoji", 10, _dragonfly),
@@ -413,4 +561,19 @@ ALL = [
     _pattern("cdleveningdojistar", 12, lambda ctx, K: _doji_star3(ctx, K, False)),
     _pattern("cdltristar", 12, _tristar),
     _pattern("cdlupsidegap2crows", 12, _upsidegap2crows),
+    _pattern("cdl3linestrike", 3, _three_line_strike),
+    _pattern("cdlabandonedbaby", 12, _abandoned_baby),
+    _pattern("cdlbreakaway", 14, _breakaway),
+    _pattern("cdlconcealbabyswall", 13, _conceal_baby_swallow),
+    _pattern("cdlgapsidesidewhite", 7, _gap_side_side_white),
+    _pattern("cdlkickingbylength", 11, _kicking_by_length),
+    _pattern("cdlladderbottom", 14, _ladder_bottom),
+    _pattern("cdlmathold", 14, _mat_hold),
+    _pattern("cdlrisefall3methods", 14, _rise_fall_three),
+    _pattern("cdlstalledpattern", 12, _stalled),
+    _pattern("cdlsticksandwich", 7, _stick_sandwich),
+    _pattern("cdltasukigap", 7, _tasuki_gap),
+    _pattern("cdlunique3river", 12, _unique_three_river),
+    _pattern("cdlxsidegap3methods", 2, _xside_gap_three),
+    _pattern("cdlhikkake", 5, _hikkake),
 ]
