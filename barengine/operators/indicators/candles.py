@@ -35,6 +35,18 @@ SETTINGS = {
 _COL = {"body": "_cdl_body", "range": "_cdl_range", "shadows": "_cdl_sh"}
 
 
+def _cached(fn):
+    """Shared stages are built once per window context, not once per pattern."""
+    def wrapper(ctx: Ctx) -> dict[str, Column]:
+        key = f"_memo_{fn.__name__}"
+        if not hasattr(ctx, key):
+            setattr(ctx, key, fn(ctx))
+        return getattr(ctx, key)
+    wrapper.__name__ = fn.__name__
+    return wrapper
+
+
+@_cached
 def _base(ctx: Ctx) -> dict[str, Column]:
     o, h, lo, c = (F.col(x) for x in ("open", "high", "low", "close"))
     return {"_cdl_body": F.abs(c - o), "_cdl_range": h - lo,
@@ -43,23 +55,48 @@ def _base(ctx: Ctx) -> dict[str, Column]:
             "_cdl_sh": (h - F.greatest(o, c)) + (F.least(o, c) - lo)}
 
 
+_PARTS = {"o": "open", "h": "high", "l": "low", "c": "close", "body": "_cdl_body", "up": "_cdl_up",
+          "lo": "_cdl_lo", "col": "_cdl_col"}
+MAX_BACK = 5   # candles back any pattern looks at
+MAX_AVG_K = 4  # candles back whose trailing average any pattern uses
+
+
+def _avg_name(measure: str, n: int, k: int) -> str:
+    return f"_cdl_a_{measure}{n}_{k}"
+
+
+@_cached
+def _prep(ctx: Ctx) -> dict[str, Column]:
+    """Lags of the candle parts and the trailing averages, once for all
+    patterns: the pattern expressions below are then plain column logic,
+    so one window operator computes every input of every pattern."""
+    out = {}
+    for k in range(1, MAX_BACK + 1):
+        for short, name in _PARTS.items():
+            out[f"_cdl_{short}_{k}"] = F.lag(name, k).over(ctx.w)
+    for measure, n in sorted({(m, n) for m, n, _ in SETTINGS.values() if n}):
+        for k in range(MAX_AVG_K + 1):
+            out[_avg_name(measure, n, k)] = F.avg(_COL[measure]).over(ctx.w.rowsBetween(-(k + n), -(k + 1)))
+    return out
+
+
 class _K:
     """Candle k bars back (0 = current) inside a pattern expression."""
 
     def __init__(self, ctx: Ctx, k: int):
         self.ctx, self.k = ctx, k
 
-    def v(self, name: str) -> Column:
-        return F.col(name) if self.k == 0 else F.lag(name, self.k).over(self.ctx.w)
-
-    o = property(lambda s: s.v("open"))
-    h = property(lambda s: s.v("high"))
-    l = property(lambda s: s.v("low"))  # noqa: E741
-    c = property(lambda s: s.v("close"))
-    body = property(lambda s: s.v("_cdl_body"))
-    up = property(lambda s: s.v("_cdl_up"))
-    lo = property(lambda s: s.v("_cdl_lo"))
-    col = property(lambda s: s.v("_cdl_col"))
+    def v(self, short: str) -> Column:
+        return F.col(_PARTS[short]) if self.k == 0 else F.col(f"_cdl_{short}_{self.k}")
+
+    o = property(lambda s: s.v("o"))
+    h = property(lambda s: s.v("h"))
+    l = property(lambda s: s.v("l"))  # noqa: E741
+    c = property(lambda s: s.v("c"))
+    body = property(lambda s: s.v("body"))
+    up = property(lambda s: s.v("up"))
+    lo = property(lambda s: s.v("lo"))
+    col = property(lambda s: s.v("col"))
     top = property(lambda s: F.greatest(s.o, s.c))
     bot = property(lambda s: F.least(s.o, s.c))
 
@@ -68,16 +105,15 @@ class _K:
         measure, n, factor = SETTINGS[setting]
         if n == 0:
             return self.body * factor
-        fr = self.ctx.w.rowsBetween(-(self.k + n), -(self.k + 1))
-        avg = F.avg(_COL[measure]).over(fr) * factor
-        return avg / 2 if measure == "shadows" else avg
+        a = F.col(_avg_name(measure, n, self.k)) * factor
+        return a / 2 if measure == "shadows" else a
 
 
 def _pattern(name: str, lookback: int, fn) -> Indicator:
     def st(ctx: Ctx) -> dict[str, Column]:
         out = fn(ctx, lambda k: _K(ctx, k))
         return {name: F.when(ctx.ready(lookback), F.coalesce(out, F.lit(0))).otherwise(F.lit(0))}
-    return Indicator(name, lookback, [_base, st], [name], group="candle")
+    return Indicator(name, max(lookback, MAX_BACK + 10), [_base, _prep, st], [name], group="candle")
 
 
 def _doji(ctx, K):
@@ -490,29 +526,31 @@ def _xside_gap_three(ctx, K):
     return F.when(up, 100).when(dn, -100).otherwise(0)
 
 
+def _hikkake_flag(ctx: Ctx) -> dict[str, Column]:
+    """+1 / -1 on the bar that breaks out of an inside bar falsely, else 0."""
+    m, ins, b = _K(ctx, 2), _K(ctx, 1), _K(ctx, 0)
+    inside = (ins.h < m.h) & (ins.l > m.l)
+    return {"_cdl_hk": F.when(inside & (b.h < ins.h) & (b.l < ins.l), 1)
+            .when(inside & (b.h > ins.h) & (b.l > ins.l), -1).otherwise(0)}
+
+
 def _hikkake(ctx, K):
     """Inside bar, then a false breakout (±100); a close beyond the inside
-    bar's mother bar within the next three bars confirms it (±200)."""
-    def pat(j):
-        m, ins, b = K(j + 2), K(j + 1), K(j)
-        inside = (ins.h < m.h) & (ins.l > m.l)
-        return (F.when(inside & (b.h < ins.h) & (b.l < ins.l), 1)
-                .when(inside & (b.h > ins.h) & (b.l > ins.l), -1).otherwise(0))
-    now = K(0)
-    out = F.when(pat(0) != 0, pat(0) * 100)
+    bar within the next three bars confirms it (±200) unless a newer
+    pattern came first or an earlier close already confirmed it."""
+    flag = [F.col("_cdl_hk")] + [F.lag("_cdl_hk", j).over(ctx.w) for j in (1, 2, 3)]
+    close = [F.col("close")] + [F.lag("close", j).over(ctx.w) for j in (1, 2)]
+    out = F.when(flag[0] != 0, flag[0] * 100)
     for j in (1, 2, 3):
-        newer = [pat(k) == 0 for k in range(1, j)]
         hi, lo = K(j + 1).h, K(j + 1).l
-        before_b = [K(k).c <= hi for k in range(1, j)]
-        before_s = [K(k).c >= lo for k in range(1, j)]
         ok = F.lit(True)
-        for c in newer:
-            ok = ok & c
-        bull, bear = ok & (pat(j) == 1) & (now.c > hi), ok & (pat(j) == -1) & (now.c < lo)
-        for c in before_b:
-            bull = bull & c
-        for c in before_s:
-            bear = bear & c
+        for k in range(1, j):
+            ok = ok & (flag[k] == 0)
+        bull = ok & (flag[j] == 1) & (close[0] > hi)
+        bear = ok & (flag[j] == -1) & (close[0] < lo)
+        for k in range(1, j):
+            bull = bull & (close[k] <= hi)
+            bear = bear & (close[k] >= lo)
         out = out.when(bull, 200).when(bear, -200)
     return out.otherwise(0)
 
@@ -575,5 +613,8 @@ ALL = [
     _pattern("cdltasukigap", 7, _tasuki_gap),
     _pattern("cdlunique3river", 12, _unique_three_river),
     _pattern("cdlxsidegap3methods", 2, _xside_gap_three),
-    _pattern("cdlhikkake", 5, _hikkake),
+    Indicator("cdlhikkake", MAX_BACK + 10, [_base, _prep, _hikkake_flag,
+                                            lambda ctx: {"cdlhikkake": F.when(ctx.ready(5), F.coalesce(
+                                                _hikkake(ctx, lambda k: _K(ctx, k)), F.lit(0))).otherwise(F.lit(0))}],
+              ["cdlhikkake"], group="candle"),
 ]
