@@ -56,3 +56,53 @@ def stream_returns(spark, sf):
     ticks = ST.read_event_stream(spark, sf)
     path, _ = ST.run_available_now(ST.stream_returns(ticks), "returns")
     return spark.read.parquet(path).select("symbol", F.col("ts"), "seq", "price", "ret")
+
+
+@register("stream_upsert", f"""
+SELECT event_type AS symbol, event_id AS seq, ts, {r6('value')} AS price FROM events""")
+def stream_upsert(spark, sf):
+    """T3 + U4: ticks arrive in micro-batches (one file per trigger, the
+    events file split by day); each batch is merged into a Parquet table
+    partitioned by symbol, newest load winning per (symbol, seq)."""
+    base = ST.scratch(spark, "upsert_src")
+    ev = spark.read.parquet(f"{sf}/events.parquet")
+    # Landed files: one folder per day (derived from the events table).
+    ev.withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(base)
+    ticks = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 8)
+             .option("recursiveFileLookup", True).parquet(base)
+             .select(F.col("event_type").alias("symbol"), F.col("event_id").alias("seq"),
+                     F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price")))
+    target = ST.scratch(spark, "upsert_table")
+    ST.run_available_now(ticks, "upsert", foreach_batch=ST.upsert_batch(target, key=("symbol", "seq"), order="seq"))
+    return spark.read.parquet(target).select("symbol", "seq", "ts", "price")
+
+
+@register("late_data_report")
+def late_data_report(spark, sf):
+    """The events of three time slices landed as files in the order
+    [mid, late, early] (modification times set), streamed one file per
+    trigger into 5-minute bars: rows of 'early' arrive behind the watermark
+    and are dropped; the report counts them from the query progress."""
+    import os
+    import time
+
+    base = ST.scratch(spark, "late_src")
+    ev = spark.read.parquet(f"{sf}/events.parquet")
+    cuts = ["2024-01-11", "2024-01-21"]
+    parts = {"mid": ev.where((F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1])),
+             "late": ev.where(F.col("ts") >= cuts[1]), "early": ev.where(F.col("ts") < cuts[0])}
+    t0 = time.time() - 3600
+    for i, name in enumerate(["mid", "late", "early"]):
+        path = f"{base}/{i}_{name}"
+        parts[name].coalesce(1).write.parquet(path)
+        for f in os.listdir(path):
+            os.utime(os.path.join(path, f), (t0 + 60 * i, t0 + 60 * i))
+    ticks = (spark.readStream.schema(ST.EVENTS_SCHEMA).option("maxFilesPerTrigger", 1)
+             .option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(base)
+             .select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"),
+                     F.col("event_id").alias("seq"), F.col("value").alias("price"), F.lit(1.0).alias("size")))
+    path, progress = ST.run_available_now(ST.stream_bars(ticks, "5 minutes", f"{DELAY_MIN} minutes"), "late")
+    emitted = spark.read.parquet(path).count()
+    dropped = ST.dropped_by_watermark(progress)
+    return spark.createDataFrame([(len(progress), dropped, emitted)],
+                                 "batches long, rows_dropped_by_watermark long, bars_emitted long")
