@@ -92,11 +92,15 @@ def late_data_report(spark, sf):
     parts = {"mid": ev.where((F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1])),
              "late": ev.where(F.col("ts") >= cuts[1]), "early": ev.where(F.col("ts") < cuts[0])}
     t0 = time.time() - 3600
+    local = base.startswith("/") or base.startswith("file:")
     for i, name in enumerate(["mid", "late", "early"]):
         path = f"{base}/{i}_{name}"
+        # One file per slice (three bounded slices of one day-range each).
         parts[name].coalesce(1).write.parquet(path)
-        for f in os.listdir(path):
-            os.utime(os.path.join(path, f), (t0 + 60 * i, t0 + 60 * i))
+        if local:  # pin the modification times; on shared storage the write order gives the same order
+            p = path.removeprefix("file:")
+            for f in os.listdir(p):
+                os.utime(os.path.join(p, f), (t0 + 60 * i, t0 + 60 * i))
     ticks = (spark.readStream.schema(ST.EVENTS_SCHEMA).option("maxFilesPerTrigger", 1)
              .option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(base)
              .select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"),
