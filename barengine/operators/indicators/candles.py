@@ -538,7 +538,41 @@ def _hikkake(ctx, K):
     """Inside bar, then a false breakout (±100); a close beyond the inside
     bar within the next three bars confirms it (±200) unless a newer
     pattern came first or an earlier close already confirmed it."""
-    flag = [F.col("_cdl_hk")] + [F.lag("_cdl_hk", j).over(ctx.w) for j in (1, 2, 3)]
+    return _confirmed(ctx, K, "_cdl_hk")
+
+
+def _advance_block(ctx, K):
+    """Three rising white candles, each opening inside the body before,
+    losing strength: shrinking bodies or long upper shadows."""
+    x, y, z = K(2), K(1), K(0)
+    rising = ((x.col == 1) & (y.col == 1) & (z.col == 1) & (y.c > x.c) & (z.c > y.c)
+              & (y.o > x.o) & (y.o <= x.c) & (z.o > y.o) & (z.o <= y.c) & (x.body > x.avg("body_long")))
+    weak = (((y.body < x.body) & (z.body < y.body)) | (y.up > y.avg("shadow_long")) | (z.up > z.avg("shadow_long")))
+    return F.when(rising & weak, -100).otherwise(0)
+
+
+def _three_stars_south(ctx, K):
+    x, y, z = K(2), K(1), K(0)
+    cond = ((x.col == -1) & (y.col == -1) & (z.col == -1) & (x.body > x.avg("body_long"))
+            & (x.lo > x.avg("shadow_long")) & (y.body < x.body) & (y.o > x.c) & (y.o <= x.h) & (y.l > x.l)
+            & (z.body < z.avg("body_short")) & (z.up < z.avg("shadow_very_short"))
+            & (z.lo < z.avg("shadow_very_short")) & (z.l > y.l) & (z.h < y.h))
+    return F.when(cond, 100).otherwise(0)
+
+
+def _hikkake_mod_flag(ctx: Ctx) -> dict[str, Column]:
+    """Two nested inside bars, the second closing near its low (bullish) or
+    high (bearish), then a false breakout of the second: +1 / -1."""
+    m, i1, i2, b = _K(ctx, 3), _K(ctx, 2), _K(ctx, 1), _K(ctx, 0)
+    nested = (i1.h < m.h) & (i1.l > m.l) & (i2.h < i1.h) & (i2.l > i1.l)
+    near = i2.avg("near")
+    bull = nested & (i2.c <= i2.l + near) & (b.h < i2.h) & (b.l < i2.l)
+    bear = nested & (i2.c >= i2.h - near) & (b.h > i2.h) & (b.l > i2.l)
+    return {"_cdl_hkm": F.when(bull, 1).when(bear, -1).otherwise(0)}
+
+
+def _confirmed(ctx, K, flag_col: str):
+    flag = [F.col(flag_col)] + [F.lag(flag_col, j).over(ctx.w) for j in (1, 2, 3)]
     close = [F.col("close")] + [F.lag("close", j).over(ctx.w) for j in (1, 2)]
     out = F.when(flag[0] != 0, flag[0] * 100)
     for j in (1, 2, 3):
@@ -613,6 +647,13 @@ ALL = [
     _pattern("cdltasukigap", 7, _tasuki_gap),
     _pattern("cdlunique3river", 12, _unique_three_river),
     _pattern("cdlxsidegap3methods", 2, _xside_gap_three),
+    _pattern("cdladvanceblock", 12, _advance_block),
+    _pattern("cdl3starsinsouth", 12, _three_stars_south),
+    Indicator("cdlhikkakemod", MAX_BACK + 10, [_base, _prep, _hikkake_mod_flag,
+                                               lambda ctx: {"cdlhikkakemod": F.when(ctx.ready(9), F.coalesce(
+                                                   _confirmed(ctx, lambda k: _K(ctx, k), "_cdl_hkm"), F.lit(0)))
+                                                   .otherwise(F.lit(0))}],
+              ["cdlhikkakemod"], group="candle"),
     Indicator("cdlhikkake", MAX_BACK + 10, [_base, _prep, _hikkake_flag,
                                             lambda ctx: {"cdlhikkake": F.when(ctx.ready(5), F.coalesce(
                                                 _hikkake(ctx, lambda k: _K(ctx, k)), F.lit(0))).otherwise(F.lit(0))}],

@@ -299,3 +299,27 @@ def test_affine_scan_many_levels(spark):
         for i in range(300):
             y = (0.97 if (i + len(s)) % 5 else 0.3) * y + float((i * 7) % 11) - 5
             assert abs(got[(s, i)] - y) < 1e-9
+
+
+def _candles(spark, rows):
+    """rows: (open, high, low, close); 12 quiet bars of body 1 and range 2 come first."""
+    base = [(10.0, 11.5, 9.5, 11.0)] * 12
+    data = [("A", datetime(2021, 1, 1 + i), o, h, lo, c, 1.0) for i, (o, h, lo, c) in enumerate(base + rows)]
+    return spark.createDataFrame(data, "symbol string, ts timestamp, open double, high double, low double, "
+                                       "close double, volume double")
+
+
+def test_candle_doji_and_engulfing(spark):
+    df = _candles(spark, [(11.0, 11.6, 10.4, 10.5), (10.4, 11.8, 10.3, 11.7), (11.0, 11.9, 10.1, 11.01)])
+    out = suite.add_indicators(df, ["cdldoji", "cdlengulfing"]).orderBy("ts").collect()
+    assert out[13].cdlengulfing == 100     # white body engulfs the black one before
+    assert out[14].cdldoji == 100          # body 0.01 against a 2.0 average range
+
+
+def test_candle_advance_block_and_three_stars(spark):
+    adv = _candles(spark, [(10.0, 13.0, 9.9, 12.9), (12.0, 14.5, 11.9, 13.6), (13.2, 15.5, 13.1, 13.8)])
+    out = suite.add_indicators(adv, ["cdladvanceblock"]).orderBy("ts").collect()
+    assert out[-1].cdladvanceblock == -100
+    south = _candles(spark, [(14.0, 14.1, 7.0, 11.0), (11.8, 12.0, 9.8, 10.5), (10.4, 10.4, 10.2, 10.2)])
+    out = suite.add_indicators(south, ["cdl3starsinsouth"]).orderBy("ts").collect()
+    assert out[-1].cdl3starsinsouth == 100
