@@ -11,8 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import apply_session_conf
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Bucketing and the naive → instant cast depend on the session time zone;
+    # the library's contract is UTC whatever session it is handed.
+    apply_session_conf(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
