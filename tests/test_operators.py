@@ -323,3 +323,16 @@ def test_candle_advance_block_and_three_stars(spark):
     south = _candles(spark, [(14.0, 14.1, 7.0, 11.0), (11.8, 12.0, 9.8, 10.5), (10.4, 10.4, 10.2, 10.2)])
     out = suite.add_indicators(south, ["cdl3starsinsouth"]).orderBy("ts").collect()
     assert out[-1].cdl3starsinsouth == 100
+
+
+def test_stream_upsert_newest_load_wins(spark, tmp_path):
+    """Two micro-batches merged into the table; overlapping keys take
+    the newer batch, untouched symbols stay as they were."""
+    from barengine.streaming.bars_stream import upsert_batch
+    target = str(tmp_path / "t")
+    fn = upsert_batch(target, key=("symbol", "seq"), order="seq")
+    s = "symbol string, seq long, price double"
+    fn(spark.createDataFrame([("A", 1, 1.0), ("A", 2, 2.0), ("B", 1, 5.0)], s), 0)
+    fn(spark.createDataFrame([("A", 2, 20.0), ("A", 3, 30.0)], s), 1)
+    got = sorted(tuple(r) for r in spark.read.parquet(target).select("symbol", "seq", "price").collect())
+    assert got == [("A", 1, 1.0), ("A", 2, 20.0), ("A", 3, 30.0), ("B", 1, 5.0)]
