@@ -51,13 +51,19 @@ def series_counts(df: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame
 
 
 def train_val_split(df: DataFrame, frac: float = 0.8, mode: str = "per_symbol_time",
-                    keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """M1: adds ``split`` = 'train' / 'val'; input needs ``_rn``."""
+                    keys: Sequence[str] = ("symbol",), counts: DataFrame | None = None) -> DataFrame:
+    """M1: adds ``split`` = 'train' / 'val'; input needs ``_rn``.
+
+    ``counts`` (keys, _n) may be given from an earlier, cheaper stage (e.g.
+    the bars before their window columns) so the windowed plan is not
+    planned twice."""
     keys = list(keys)
-    counts = series_counts(df, keys)
+    counts = series_counts(df, keys) if counts is None else counts
     if mode == "per_symbol_time":
         cut = counts.select(*keys, F.floor(F.col("_n") * frac).alias("_cut"))
-        j = df.join(F.broadcast(cut), keys, "inner")
+        # One row per series: no broadcast hint (the number of series has no
+        # fixed bound); AQE broadcasts it at run time when it is small.
+        j = df.join(cut, keys, "inner")
         pos = F.col(series.RN)
     elif mode == "positional":
         # Global position over series in key order: offsets are a prefix sum
@@ -66,7 +72,7 @@ def train_val_split(df: DataFrame, frac: float = 0.8, mode: str = "per_symbol_ti
         offs = counts.select(*keys, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"),
                              F.sum("_n").over(Window.partitionBy()).alias("_total"))
         offs = offs.withColumn("_cut", F.floor(F.col("_total") * frac))
-        j = df.join(F.broadcast(offs), keys, "inner")
+        j = df.join(offs, keys, "inner")
         pos = F.col("_off") + F.col(series.RN)
     else:
         raise ValueError(mode)
@@ -74,13 +80,14 @@ def train_val_split(df: DataFrame, frac: float = 0.8, mode: str = "per_symbol_ti
     return out.drop("_cut", "_off", "_total")
 
 
-def time_series_folds(df: DataFrame, k: int = 3, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+def time_series_folds(df: DataFrame, k: int = 3, keys: Sequence[str] = ("symbol",),
+                      counts: DataFrame | None = None) -> DataFrame:
     """M2: expanding folds per series; test size n // (k+1), training = all
     rows before the fold's test block. Adds ``fold`` and ``role`` (one output
     row per fold the row takes part in; no join, an ``explode``)."""
     keys = list(keys)
-    counts = series_counts(df, keys).withColumn("_ts", F.floor(F.col("_n") / (k + 1)))
-    j = df.join(F.broadcast(counts), keys, "inner")
+    counts = (series_counts(df, keys) if counts is None else counts).withColumn("_ts", F.floor(F.col("_n") / (k + 1)))
+    j = df.join(counts, keys, "inner")
     pos = F.col(series.RN)
     start = F.col("_n") - F.lit(k) * F.col("_ts")
 

@@ -36,7 +36,7 @@ def design(spark, sf, mode="per_symbol_time"):
                 "f2": F.coalesce(PA.wick_ratio_lower(), F.lit(0.0)), "y": L.label_b1(w)}
     d = series.with_series_columns(b, ["symbol"], build, back=0, fwd=1)
     d = d.select("symbol", "ts", series.RN, *FEATURES, LABEL)
-    return DS.train_val_split(d, 0.8, mode)
+    return DS.train_val_split(d, 0.8, mode, counts=DS.series_counts(b))
 
 
 DESIGN = f"""b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS rn FROM ({S.hour_bars()}) h),
@@ -75,8 +75,9 @@ u AS (SELECT symbol, ts, CAST(i AS BIGINT) AS fold,
 SELECT * FROM u WHERE role IS NOT NULL""")
 def ts_folds(spark, sf):
     """M2: three expanding folds per series."""
-    b = series.number_rows(event_bars(spark, sf).select("symbol", "ts"), ["symbol"])
-    return DS.time_series_folds(b, 3).select("symbol", "ts", "fold", "role")
+    bars = event_bars(spark, sf).select("symbol", "ts")
+    b = series.number_rows(bars, ["symbol"])
+    return DS.time_series_folds(b, 3, counts=DS.series_counts(bars)).select("symbol", "ts", "fold", "role")
 
 
 def _gram_sql():
