@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..operators import maintenance as MT
 from ..session import ensure_checkpoint_dir
-from ..sources import adapters
 from ..sources import files as FS
 from . import q_backtest as QB
 from . import sql as S
@@ -123,5 +122,3 @@ def compact_by_file_age(spark, sf):
                         F.col("event_id").alias("seq"), F.col("value").alias("price"), F.lit(1.0).alias("size"))
     return MT.compact_tick_files(spark, inv, "2100-01-01 00:00:00", 90, reader)
 
-
-_ = adapters  # adapters are the other readers of the same files

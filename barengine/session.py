@@ -77,3 +77,20 @@ def materialize(df, name: str = "stage"):
     path = f"{base}/barengine/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def drop_materialized(spark) -> None:
+    """Delete the tables ``materialize`` and the stream helpers wrote under the
+    checkpoint folder (``barengine/``, ``streams/``, ``io/``). Call it when the
+    DataFrames built on them are no longer needed; uses the Hadoop FileSystem
+    of the folder, so it works on any shared storage."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        return
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for sub in ("barengine", "streams", "io"):
+        p = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{sub}")
+        fs = p.getFileSystem(conf)
+        if fs.exists(p):
+            fs.delete(p, True)

@@ -336,3 +336,15 @@ def test_stream_upsert_newest_load_wins(spark, tmp_path):
     fn(spark.createDataFrame([("A", 2, 20.0), ("A", 3, 30.0)], s), 1)
     got = sorted(tuple(r) for r in spark.read.parquet(target).select("symbol", "seq", "price").collect())
     assert got == [("A", 1, 1.0), ("A", 2, 20.0), ("A", 3, 30.0), ("B", 1, 5.0)]
+
+
+def test_materialize_and_drop(spark):
+    """Lineage cuts are written under spark.checkpoint.dir and can be dropped."""
+    import os
+    from barengine.session import drop_materialized, materialize
+    df = materialize(spark.range(10), "t")
+    assert df.count() == 10
+    base = spark.conf.get("spark.checkpoint.dir")
+    assert os.path.isdir(os.path.join(base, "barengine"))
+    drop_materialized(spark)
+    assert not os.path.exists(os.path.join(base, "barengine"))
