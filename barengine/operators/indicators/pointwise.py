@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .base import Ctx, Indicator, safe_div
+from .base import Indicator, safe_div
 
 
 
@@ -57,4 +57,3 @@ MATH = [
 ]
 
 ALL = PRICE + MATH
-_ = Ctx  # re-exported for symmetry with the other modules
