@@ -64,7 +64,8 @@ def simulate(scored: DataFrame, keys: Sequence[str] = ("model", "symbol"), slipp
     keys = list(keys)
 
     def st1(w):
-        return {"signal": F.signum("pred").cast("int")}
+        # next_up (W7) rides along for the class metrics: same window, no extra pass
+        return {"signal": F.signum("pred").cast("int"), "_up": L.next_up(w).cast("int")}
 
     def st2(w):
         return {"pos": F.coalesce(F.lag("signal", 1).over(w), F.lit(0))}
@@ -73,7 +74,7 @@ def simulate(scored: DataFrame, keys: Sequence[str] = ("model", "symbol"), slipp
         dq = F.col("pos") - F.coalesce(F.lag("pos", 1).over(w), F.lit(0))
         return {"dq": dq}
 
-    d = series.staged(scored, keys, [st1, st2, st3], back=2, numbered=True, keep_rn=True)
+    d = series.staged(scored, keys, [st1, st2, st3], back=2, fwd=1, numbered=True, keep_rn=True)
     fill = (F.when(F.col("dq") > 0, F.least(F.col("open") * (1 + slippage), F.col("high")))
             .when(F.col("dq") < 0, F.greatest(F.col("open") * (1 - slippage), F.col("low"))))
     d = d.withColumn("fill", fill)
@@ -130,10 +131,10 @@ def class_metrics(scored: DataFrame, keys: Sequence[str] = ("model", "symbol"))
     present in the truth), F1 of class 1 (0 when undefined); the last row of
     each series has no truth and is left out."""
     keys = list(keys)
-
-    def st(w):
-        return {"_up": L.next_up(w).cast("int")}
-    d = series.staged(scored, keys, [st], back=0, fwd=1, numbered=True, keep_rn=True)
+    d = scored
+    if "_up" not in d.columns:  # simulate() already carries it
+        d = series.staged(scored, keys, [lambda w: {"_up": L.next_up(w).cast("int")}], back=0, fwd=1,
+                          numbered=True, keep_rn=True)
     d = d.where(F.col("_up").isNotNull()).withColumn("_p", (F.col("pred") > 0).cast("int"))
     t, p = F.col("_up"), F.col("_p")
     agg = d.groupBy(*keys).agg(
@@ -171,7 +172,7 @@ def backtest(bars: DataFrame, models: DataFrame, n_lags: int, keys: Sequence[str
     sim = simulate(scored, mk)
     per = period_returns(sim, mk)
     risk = risk_metrics(per, mk)
-    cls = class_metrics(scored, mk)
+    cls = class_metrics(sim, mk)
     m = risk.join(cls, mk, "inner")
     m = m.withColumn("final_score", final_score(F.col("balanced_accuracy"), F.col("sharpe")))
     return {"trades": sim, "periods": per, "metrics": m}
