@@ -58,6 +58,11 @@ def train_val_split(df: DataFrame, frac: float = 0.8, mode: str = "per_symbol_ti
     the bars before their window columns) so the windowed plan is not
     planned twice."""
     keys = list(keys)
+    if mode == "per_symbol_time" and series.LEN in df.columns:
+        # series lengths came with the row numbers: no join at all
+        out = df.withColumn("split", F.when(F.col(series.RN) < F.floor(F.col(series.LEN) * frac), "train")
+                            .otherwise("val"))
+        return out
     counts = series_counts(df, keys) if counts is None else counts
     if mode == "per_symbol_time":
         cut = counts.select(*keys, F.floor(F.col("_n") * frac).alias("_cut"))

@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 BLOCK_ROWS = int(os.environ.get("BARENGINE_BLOCK_ROWS", 1 << 16))
 BUCKET_UNIT = "day"
 
-RN, BLK, HALO = "_rn", "_blk", "_halo"
+RN, BLK, HALO, LEN = "_rn", "_blk", "_halo", "_len"
 
 
 def _keys(keys: Iterable[str] | str) -> list[str]:
@@ -46,11 +46,13 @@ def _keys(keys: Iterable[str] | str) -> list[str]:
 
 
 def number_rows(df: DataFrame, keys: Sequence[str] = ("symbol",),
-                order: Sequence[str] = ("ts",), bucket_unit: str = BUCKET_UNIT) -> DataFrame:
+                order: Sequence[str] = ("ts",), bucket_unit: str = BUCKET_UNIT,
+                with_length: bool = False) -> DataFrame:
     """Add ``_rn``: position of the row in its series, 0-based, by ``order``.
 
     ``order`` must be a total order inside a series and its first column a
-    timestamp (the bucket is taken from it).
+    timestamp (the bucket is taken from it). ``with_length`` also adds
+    ``_len`` (rows in the series), carried by the same small offsets join.
     """
     keys = _keys(keys)
     order = list(order)
@@ -61,7 +63,8 @@ def number_rows(df: DataFrame, keys: Sequence[str] = ("symbol",),
     # Per-bucket counts: partial aggregation before the shuffle, tiny result.
     counts = d.groupBy(*keys, bkt).agg(F.count(F.lit(1)).alias("_n"))
     w_off = Window.partitionBy(*keys).orderBy(bkt).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, bkt, F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
+    extra = [F.sum("_n").over(Window.partitionBy(*keys)).cast("long").alias(LEN)] if with_length else []
+    offsets = counts.select(*keys, bkt, F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"), *extra)
     out = _join_keys(d, offsets, [*keys, bkt])
     return out.withColumn(RN, (F.col("_off") + F.col("_r")).cast("long")).drop("_off", "_r", bkt)
 

@@ -34,9 +34,10 @@ def design(spark, sf, mode="per_symbol_time"):
     def build(w):
         return {"f0": safe_div(c - o, h - low), "f1": F.coalesce(PA.wick_ratio_upper(), F.lit(0.0)),
                 "f2": F.coalesce(PA.wick_ratio_lower(), F.lit(0.0)), "y": L.label_b1(w)}
-    d = series.with_series_columns(b, ["symbol"], build, back=0, fwd=1)
-    d = d.select("symbol", "ts", series.RN, *FEATURES, LABEL)
-    return DS.train_val_split(d, 0.8, mode, counts=DS.series_counts(b))
+    n = series.number_rows(b, ["symbol"], with_length=True)
+    d = series.with_series_columns(n, ["symbol"], build, back=0, fwd=1, numbered=True)
+    d = d.select("symbol", "ts", series.RN, series.LEN, *FEATURES, LABEL)
+    return DS.train_val_split(d, 0.8, mode).drop(series.LEN)
 
 
 DESIGN = f"""b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS rn FROM ({S.hour_bars()}) h),
