@@ -348,3 +348,17 @@ def test_materialize_and_drop(spark):
     assert os.path.isdir(os.path.join(base, "barengine"))
     drop_materialized(spark)
     assert not os.path.exists(os.path.join(base, "barengine"))
+
+
+def test_asof_carry_across_empty_buckets(spark):
+    """Right rows only in hour 0 and hour 5: left rows in hours 2-4 take the
+    hour-0 row by carry; two left series share the right series."""
+    right = spark.createDataFrame([(datetime(2021, 1, 1, 0, 10), 1.0), (datetime(2021, 1, 1, 0, 50), 2.0),
+                                   (datetime(2021, 1, 1, 5, 30), 3.0)], "ts timestamp, close double")
+    left = spark.createDataFrame([(s, datetime(2021, 1, 1, h, 40)) for s in ("A", "B") for h in (0, 2, 4, 5)] +
+                                 [("A", datetime(2021, 1, 1, 0, 5))], "symbol string, ts timestamp")
+    got = {(r.symbol, r.ts.hour, r.ts.minute): r.exo_close for r in asof.asof_join(left, right).collect()}
+    assert got[("A", 0, 5)] is None
+    for s in ("A", "B"):
+        assert got[(s, 0, 40)] == 1.0 and got[(s, 2, 40)] == 2.0 and got[(s, 4, 40)] == 2.0
+        assert got[(s, 5, 40)] == 3.0
