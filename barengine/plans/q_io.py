@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import maintenance as MT
-from ..session import ensure_checkpoint_dir
+from ..session import app_dir
 from ..sources import files as FS
 from . import q_backtest as QB
 from . import sql as S
@@ -22,7 +22,7 @@ from .registry import register
 
 
 def _scratch(spark, name):
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/io/{name}-{uuid.uuid4().hex}"
+    return f"{app_dir(spark, 'io')}/{name}-{uuid.uuid4().hex}"
 
 
 @register("bar_store_roundtrip", f"SELECT {S.rounded_bars_select()} FROM ({S.hour_bars()}) b")

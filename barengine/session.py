@@ -7,7 +7,9 @@ The library never creates a session inside an operator; callers pass one.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -41,22 +43,28 @@ def get_spark(master: str | None = None, partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
+    """The shared checkpoint folder of the cluster (``spark.checkpoint.dir``).
 
-    On a cluster the folder is set by the deployment and is only read here.
-    Only when it is unset (local tests) a scratch folder is created.
+    The deployment sets it and it is only read here. Where it is unset, a
+    session on one machine (``local`` master, as in tests) gets a scratch
+    folder; on a cluster that is an error, as executors would not see it.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if d:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(d)
-        return d
-    d = tempfile.mkdtemp(prefix="barengine-ckpt-", dir=os.environ.get("BARENGINE_SCRATCH", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if not d:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = tempfile.mkdtemp(prefix="barengine-ckpt-", dir=os.environ.get("BARENGINE_SCRATCH", "/tmp"))
+        spark.conf.set("spark.checkpoint.dir", d)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+def app_dir(spark: SparkSession, sub: str = "barengine") -> str:
+    """This application's own folder under the checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{sub}/{spark.sparkContext.applicationId}"
+
+
 def apply_session_conf(spark: SparkSession) -> None:
     """Pin the settings that change results (time zone) on a given session."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -70,27 +78,24 @@ def materialize(df, name: str = "stage"):
     plan twice), the files live in shared storage so a lost executor does not
     replay the lineage, and the reader gets Parquet statistics.
     """
-    import uuid
-
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/barengine/{name}-{uuid.uuid4().hex}"
+    path = f"{app_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    # the schema is known, so nothing is inferred from a file and empty tables read back
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_materialized(spark) -> None:
-    """Delete the tables ``materialize`` and the stream helpers wrote under the
-    checkpoint folder (``barengine/``, ``streams/``, ``io/``). Call it when the
-    DataFrames built on them are no longer needed; uses the Hadoop FileSystem
-    of the folder, so it works on any shared storage."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
+    """Delete what this application wrote under the checkpoint folder with
+    ``materialize`` and the stream helpers. Other applications that share the
+    folder keep theirs. Call it when the DataFrames built on those tables are
+    no longer needed; it uses the Hadoop FileSystem of the folder."""
+    if not spark.conf.get("spark.checkpoint.dir", None):
         return
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for sub in ("barengine", "streams", "io"):
-        p = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{sub}")
+        p = jvm.org.apache.hadoop.fs.Path(app_dir(spark, sub))
         fs = p.getFileSystem(conf)
         if fs.exists(p):
             fs.delete(p, True)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..session import ensure_checkpoint_dir
+from ..session import app_dir
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -145,7 +145,7 @@ def snapshot_batch(target: str):
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder (sinks and checkpoints)."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    return f"{app_dir(spark, 'streams')}/{name}-{uuid.uuid4().hex}"
 
 
 def run_available_now(df: DataFrame, name: str, mode: str = "append", fmt: str = "parquet",
