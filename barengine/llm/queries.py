@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, quality, sharding
+from . import language_model, mixing, ngram_join, quality, sharding, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,19 @@ def op5(spark, sf):
 @query("op9_ngram_join")
 def op9(spark, sf):
     return ngram_join.near_duplicates(table(spark, sf, "documents"), k=3, percent=90)
+
+
+@query("op7_warc", """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE octet_length(b) >= 100 GROUP BY d)
+SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN f.first IS NULL OR page_id = f.first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> f.first THEN f.first END AS refers_to
+FROM p LEFT JOIN f ON p.d = f.d""")
+def op7(spark, sf):
+    return warc.roundtrip(table(spark, sf, "pages"))
+
+
+@query("op1_deleted_interpolation")
+def op1(spark, sf):
+    return language_model.score_corpus(table(spark, sf, "documents"))
