@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_model, mixing, ngram_join, quality, sharding, warc
+from . import language_model, mixing, ngram_join, quality, quality_model, sharding, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,8 @@ def op7(spark, sf):
 @query("op1_deleted_interpolation")
 def op1(spark, sf):
     return language_model.score_corpus(table(spark, sf, "documents"))
+
+
+@query("op10_kneser_ney")
+def op10(spark, sf):
+    return quality_model.classify(table(spark, sf, "documents"), table(spark, sf, "labels")).drop("text_hash")
