@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_model, mixing, ngram_join, quality, quality_model, sharding, warc
+from . import decontamination, language_model, mixing, ngram_join, quality, quality_model, sharding, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ def op1(spark, sf):
 @query("op10_kneser_ney")
 def op10(spark, sf):
     return quality_model.classify(table(spark, sf, "documents"), table(spark, sf, "labels")).drop("text_hash")
+
+
+@query("op6_decontaminate")
+def op6(spark, sf):
+    return decontamination.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
