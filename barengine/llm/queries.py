@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_model, mixing, ngram_join, quality, quality_model, sharding, warc
+from . import decontamination, extraction, language_model, mixing, ngram_join, quality, quality_model, sharding, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ def op10(spark, sf):
 @query("op6_decontaminate")
 def op6(spark, sf):
     return decontamination.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op8_extract_text")
+def op8(spark, sf):
+    return extraction.extract(table(spark, sf, "pages"))
