@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, extraction, language_model, mixing, ngram_join, quality, quality_model, sharding, warc
+from . import decontamination, extraction, language_model, licenses, mixing, ngram_join, quality, quality_model, sharding, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,15 @@ def op6(spark, sf):
 @query("op8_extract_text")
 def op8(spark, sf):
     return extraction.extract(table(spark, sf, "pages"))
+
+
+@query("op3_license_scan")
+def op3(spark, sf):
+    """Documents as files: source, language and hundred of the key are directories. Every tenth document
+    plays a license file of its directory, every thousandth one of its language's directory."""
+    docs = table(spark, sf, "documents")
+    plays = F.when(F.col("doc_id") % 10 == 0, F.lit("LICENSE.")).otherwise(F.lit("text."))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")),
+                       F.when(F.col("doc_id") % 1000 != 0, F.floor(F.col("doc_id") / 100).cast("string")),
+                       F.concat(plays, F.col("doc_id").cast("string")))
+    return licenses.scan_licenses(docs.select("doc_id", path.alias("path"), "text"), "doc_id", "path", "text")
