@@ -7,10 +7,10 @@
    hash. The order only steers the work; any order gives the same links.
 3. Two sets with Jaccard similarity of at least t share a shingle among the first
    n - ceil(t n) + 1 of each. Nodes with the same prefix and size form one *group*,
-   and only groups post their prefixes. A shingle posted by one group alone is dropped.
-4. Per posted shingle, the groups' members meet: pairs are filtered by size, by the
-   places of the shared shingle, and by the parity bitmaps of the sets (their
-   Hamming distance bounds the sets' difference from below).
+   and only groups post their prefixes. Group pairs that meet at a shingle are filtered
+   by size and by the places of the shingle; postings without a partner are dropped.
+4. The groups are expanded to their members, which are filtered by the parity bitmaps
+   of the sets (their Hamming distance bounds the sets' difference from below).
 5. A node proposes its smallest untried partners, one in the first round and four
    times as many in each next one; proposals are verified on the whole sets and linked nodes
    contracted. Pairs within one component need no check, so a group of a
@@ -45,8 +45,9 @@ PIECE = 4 << 20
 #: Bound of the table of frequent shingles, and the count within a piece of text from which one is a candidate.
 HEAVY = 1 << 16
 HEAVY_IN_PIECE = 4
-#: Bits of a set's parity bitmap.
+#: Bits of a set's parity bitmap; sets of at least so many shingles have a wider one, which folds to the narrower.
 BITS = 512
+WIDER = ((1500, 2048), (6000, 8192), (24000, 32768))
 #: Members of a bucket that one task compares.
 BLOCK = 1024
 #: Rows up to which the keys of wanted texts are sent to all executors (8 bytes each); beyond, they are joined by shuffle.
@@ -72,6 +73,32 @@ def _node(s: np.ndarray) -> int:
     return int(both.view(np.int64)[0])
 
 
+def _bitmap(s: np.ndarray) -> bytes:
+    """Parity of the number of shingles per hash value modulo the width."""
+    bits = max([BITS, *[w for least, w in WIDER if len(s) >= least]])
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1)
+                       .astype(np.uint8)).tobytes()
+
+
+def _bitmaps(sigs: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per width: (row in the matrix or -1, matrix of 64-bit words), wider bitmaps folded."""
+    out = []
+    width = np.array([8 * len(x) for x in sigs], dtype=np.int64)
+    for bits in (BITS, *[w for _, w in WIDER]):
+        rows = np.flatnonzero(width >= bits)
+        if not len(rows):
+            break
+        matrix = np.zeros((len(rows), bits // 64), dtype=np.uint64)
+        for w in np.unique(width[rows]).tolist():
+            at = np.flatnonzero(width[rows] == w)
+            flat = np.frombuffer(b"".join(sigs[r] for r in rows[at]), np.uint64).reshape(len(at), w // bits, bits // 64)
+            matrix[at] = np.bitwise_xor.reduce(flat, axis=1)
+        place = np.full(len(sigs), -1, np.int64)
+        place[rows] = np.arange(len(rows))
+        out.append((place, matrix))
+    return out
+
+
 def frequent_shingles(docs: DataFrame, text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
     """At most HEAVY shingles with the highest counts: (hashes ascending, their counts).
 
@@ -138,8 +165,7 @@ def shingle_sets(docs: DataFrame, key: str, text: str, k: int, percent: int) ->
                     node.append(_node(s))
                     gid.append(_node(np.append(first, np.uint64(m))))
                     prefix.append(first.view(np.int64))
-                    sig.append(np.packbits((np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1)
-                                           .astype(np.uint8)).tobytes())
+                    sig.append(_bitmap(s))
                 yield pa.RecordBatch.from_arrays(
                     [keys.slice(a, len(group)), pa.array(n, pa.int64()), pa.array(node, pa.int64()),
                      pa.array(gid, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
@@ -152,26 +178,31 @@ def shingle_sets(docs: DataFrame, key: str, text: str, k: int, percent: int) ->
 
 def _pass(rows: dict, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
     """Mask of the pairs that may be links and are still to be tried."""
-    n, pos, node, comp = rows["n"], rows["pos"], rows["node"], rows["comp"]
+    n, pos = rows["n"], rows["pos"]
     ni, nj = n[i], n[j]
-    ok = (np.minimum(ni, nj) * 100 >= np.maximum(ni, nj) * percent) & (comp[i] != comp[j])
+    least = -(-percent * (ni + nj) // (100 + percent))
+    ok = np.minimum(ni, nj) * 100 >= np.maximum(ni, nj) * percent
+    ok &= np.minimum(ni - pos[i], nj - pos[j]) >= least
+    if "node" not in rows:  # postings of groups
+        return ok
+    node, comp = rows["node"], rows["comp"]
+    ok &= comp[i] != comp[j]
     split = (rows["bi"][i] == rows["bj"][i]) | (rows["blk"][i] != rows["blk"][j])
     ok &= split
     v = np.where(node[i] > node[j], i, j)
     u = np.where(node[i] > node[j], j, i)
     ok &= node[u] > rows["floor"][v]
-    least = -(-percent * (ni + nj) // (100 + percent))
-    ok &= 1 + np.minimum(ni - pos[i], nj - pos[j]) - 1 >= least
-    at = np.flatnonzero(ok)
-    if len(at):
-        sig = rows["sig"]
-        diff = np.bitwise_count(sig[i[at]] ^ sig[j[at]]).sum(axis=1)
+    for place, sig in rows["sig"]:
+        at = np.flatnonzero(ok & (place[i] >= 0) & (place[j] >= 0))
+        if not len(at):
+            break
+        diff = np.bitwise_count(sig[place[i[at]]] ^ sig[place[j[at]]]).sum(axis=1, dtype=np.int64)
         ok[at[diff > (ni + nj)[at] - 2 * least[at]]] = False
     return ok
 
 
 def _chunk_pairs(rows: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(u, v) candidate nodes with u < v of the buckets in ``rows`` (sorted by bucket)."""
+    """Places (i, j) of the candidate pairs within the buckets of ``rows`` (sorted by bucket)."""
     key = rows["bucket"]
     m = len(key)
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -200,26 +231,91 @@ def _chunk_pairs(rows: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
     if not found_i:
         e = np.empty(0, np.int64)
         return e, e
-    a, b = rows["node"][np.concatenate(found_i)], rows["node"][np.concatenate(found_j)]
-    return np.minimum(a, b), np.maximum(a, b)
+    return np.concatenate(found_i), np.concatenate(found_j)
 
 
-def _proposals(percent: int, tries: int):
-    """mapInArrow function: buckets in order -> (v, u, more), the smallest partners u < v of each v."""
-    def rows_of(t: pa.Table) -> dict:
-        out = {c: t.column(c).to_numpy() for c in ("sh", "bi", "bj", "blk", "node", "n", "pos", "comp", "floor")}
-        sig = t.column("sig").combine_chunks()
-        sig = pa.concat_arrays(sig.chunks) if isinstance(sig, pa.ChunkedArray) else sig
-        flat = np.frombuffer(b"".join(x.as_buffer() for x in sig), dtype=np.uint64)
-        out["sig"] = flat.reshape(t.num_rows, BITS // 64)
-        change = (out["sh"][1:] != out["sh"][:-1]) | (out["bi"][1:] != out["bi"][:-1]) | (out["bj"][1:] != out["bj"][:-1])
-        out["bucket"] = np.concatenate([[0], np.cumsum(change)]) if t.num_rows else np.empty(0, np.int64)
-        return out
+def _bucket_numbers(t: pa.Table, keys: tuple[str, ...]) -> np.ndarray:
+    if not t.num_rows:
+        return np.empty(0, np.int64)
+    change = np.zeros(t.num_rows - 1, bool)
+    for k in keys:
+        x = t.column(k).to_numpy()
+        change |= x[1:] != x[:-1]
+    return np.concatenate([[0], np.cumsum(change)])
+
+
+def _rows_of(t: pa.Table) -> dict:
+    out = {c: t.column(c).to_numpy() for c in ("bi", "bj", "blk", "node", "n", "pos", "comp", "floor")}
+    out["sig"] = _bitmaps(t.column("sig").to_pylist())
+    out["bucket"] = _bucket_numbers(t, ("sh", "bi", "bj"))
+    return out
+
+
+def _by_bucket(fn, keys: tuple[str, ...], rows: int = 1 << 14):
+    """mapInArrow function that calls ``fn`` with tables of whole buckets; the input is sorted by ``keys``."""
+    def run(batches: Iterator[pa.RecordBatch]):
+        held: list[pa.Table] = []
+        n = 0
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            held.append(t)
+            n += t.num_rows
+            if n < rows:
+                continue
+            whole = pa.concat_tables(held)
+            number = _bucket_numbers(whole, keys)
+            last = int(np.searchsorted(number, number[-1]))
+            if last:  # the last bucket may go on in the next batch
+                out = fn(whole.slice(0, last))
+                if out is not None:
+                    yield out
+            held, n = [whole.slice(last)], whole.num_rows - last
+        if held:
+            out = fn(pa.concat_tables(held))
+            if out is not None:
+                yield out
+    return run
+
 
+def _partnered_posts(percent: int):
+    """Postings of groups (sh, gid, n, pos), in order of sh -> those with a partner that may be a link.
+
+    A bucket of more than BLOCK postings is kept whole here; it is split when its members meet.
+    """
+    def fn(t: pa.Table):
+        number = _bucket_numbers(t, ("sh",))
+        size = np.bincount(number)[number] if len(number) else number
+        keep = size > BLOCK
+        mid = np.flatnonzero((size > 1) & ~keep)
+        if len(mid):
+            rows = {"n": t.column("n").to_numpy()[mid], "pos": t.column("pos").to_numpy()[mid], "bucket": number[mid]}
+            i, j = _chunk_pairs(rows, percent)
+            keep[mid[i]] = True
+            keep[mid[j]] = True
+        return t.select(["sh", "gid", "pos"]).filter(pa.array(keep)).combine_chunks().to_batches()[0] \
+            if keep.any() else None
+    return _by_bucket(fn, ("sh",))
+
+
+def _partnered_members(percent: int):
+    """Members in their buckets -> those (sh, node, pos) with a partner that may be a link."""
+    def fn(t: pa.Table):
+        i, j = _chunk_pairs(_rows_of(t), percent)
+        at = np.unique(np.concatenate([i, j]))
+        if not len(at):
+            return None
+        return t.select(["sh", "node", "pos"]).take(pa.array(at)).combine_chunks().to_batches()[0]
+    return _by_bucket(fn, ("sh", "bi", "bj"))
+
+
+def _proposals(percent: int, tries: int):
+    """Members in their buckets -> (v, u, more), the smallest partners u < v of each v."""
     def smallest(t: pa.Table):
-        u, v = _chunk_pairs(rows_of(t), percent)
-        if not len(u):
+        rows = _rows_of(t)
+        i, j = _chunk_pairs(rows, percent)
+        if not len(i):
             return None
+        u, v = np.minimum(rows["node"][i], rows["node"][j]), np.maximum(rows["node"][i], rows["node"][j])
         order = np.lexsort((u, v))
         u, v = u[order], v[order]
         new = np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])
@@ -231,26 +327,7 @@ def _proposals(percent: int, tries: int):
         return pa.RecordBatch.from_arrays([pa.array(v[keep]), pa.array(u[keep]), pa.array(more[keep])],
                                           names=["v", "u", "more"])
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        held: list[pa.Table] = []
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            sh, bi, bj = (t.column(c).to_numpy() for c in ("sh", "bi", "bj"))
-            cut = np.flatnonzero((sh[1:] != sh[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])) + 1
-            if not len(cut):
-                held.append(t)
-                continue
-            # buckets that begin in this batch but for the last one are whole
-            done = pa.concat_tables([*held, t.slice(0, int(cut[-1]))])
-            held = [t.slice(int(cut[-1]))]
-            out = smallest(done)
-            if out is not None:
-                yield out
-        if held:
-            out = smallest(pa.concat_tables(held))
-            if out is not None:
-                yield out
-    return run
+    return _by_bucket(smallest, ("sh", "bi", "bj"))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -291,6 +368,21 @@ def _whole_sets(docs: DataFrame, key: str, text: str, k: int, wanted: DataFrame)
     return found.join(wanted.select("node"), "node", "left_semi")
 
 
+def _in_buckets(meeting: DataFrame, state: DataFrame) -> DataFrame:
+    """Members (sh, node, pos) with their state, dealt out and sorted by bucket.
+
+    A bucket of more than BLOCK members is dealt in pairs of blocks (bi, bj).
+    """
+    sizes = meeting.groupBy("sh").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > BLOCK)
+    rows = meeting.join(sizes, "sh", "left")
+    rows = rows.withColumn("nb", F.coalesce(F.ceil(F.col("c") / BLOCK), F.lit(1)).cast("int"))
+    rows = (rows.withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+            .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+            .select("sh", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), "blk", "node", "pos"))
+    rows = rows.join(state, "node").select("sh", "bi", "bj", "blk", "node", "n", "pos", "comp", "floor", "sig")
+    return rows.repartition(partitions(meeting.sparkSession), "sh", "bi", "bj").sortWithinPartitions("sh", "bi", "bj")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3,
                     percent: int = 90) -> DataFrame:
     """Per row: key, n_shingles, component_id (the smallest key reachable by links).
@@ -305,33 +397,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     members = materialize(some.groupBy("node").agg(F.min("key_").alias("rep"), F.first("n").alias("n"),
                                                    F.first("gid").alias("gid"), F.first("sig").alias("sig")),
                           "ngram-nodes")
-    groups = some.select("gid", "prefix").dropDuplicates(["gid"])
-    posts = groups.select("gid", F.posexplode("prefix").alias("pos", "sh"))
-    shared = (posts.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("sh"))).where("c > 1")
-              .select("sh", "gid", "pos"))
+    groups = some.select("gid", "n", "prefix").dropDuplicates(["gid"])
+    posts = groups.select("gid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "sh"))
+    posts = posts.repartition(partitions(spark), "sh").sortWithinPartitions("sh")
+    shared = posts.select("sh", "gid", "n", "pos").mapInArrow(_partnered_posts(percent), "sh long, gid long, pos int")
     # members of one group meet as well: they have a bucket of their own
     own = (members.groupBy("gid").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
            .select(F.col("gid").alias("sh"), "gid", F.lit(0).alias("pos")))
-    posted = materialize(shared.union(own), "ngram-posts")
-    sizes = posted.join(members.select("gid", "node"), "gid").groupBy("sh").agg(F.count(F.lit(1)).alias("c"))
-    large = materialize(sizes.where(F.col("c") > BLOCK), "ngram-large")
+    meeting = materialize(shared.union(own).join(members.select("gid", "node"), "gid").select("sh", "node", "pos"),
+                          "ngram-meeting")
+    state = members.select("node", "n", "sig", F.col("node").alias("comp"), F.lit(-2 ** 63).cast("long").alias("floor"))
+    posted = _in_buckets(meeting, state).mapInArrow(_partnered_members(percent), "sh long, node long, pos int")
+    posted = materialize(posted.distinct(), "ngram-posts")
+    state = materialize(state.join(posted.select("node").distinct(), "node", "left_semi"), "ngram-state")
 
     labels, floors, active, tries = None, None, None, 1
     while True:
         rows = posted if active is None else posted.join(active, "sh", "left_semi")
-        rows = rows.join(members.select("gid", "node", "n", "sig"), "gid").drop("gid")
-        rows = rows.join(large, "sh", "left")
-        rows = rows.withColumn("nb", F.coalesce(F.ceil(F.col("c") / BLOCK), F.lit(1)).cast("int")).drop("c")
+        now = state
         if labels is not None:
-            rows = rows.join(labels, "node", "left").join(floors, "node", "left")
-        else:
-            rows = rows.withColumn("comp", F.lit(None).cast("long")).withColumn("floor", F.lit(None).cast("long"))
-        rows = (rows.withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-                .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-                .select("sh", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), "blk", "node", "n",
-                        "pos", F.coalesce("comp", "node").alias("comp"),
-                        F.coalesce("floor", F.lit(-2 ** 63).cast("long")).alias("floor"), "sig"))
-        rows = rows.repartition(partitions(spark), "sh", "bi", "bj").sortWithinPartitions("sh", "bi", "bj")
+            now = (state.drop("comp", "floor").join(labels, "node", "left").join(floors, "node", "left")
+                   .select("node", "n", "sig", F.coalesce("comp", "node").alias("comp"),
+                           F.coalesce("floor", F.lit(-2 ** 63).cast("long")).alias("floor")))
+        rows = _in_buckets(rows, now)
         found = rows.mapInArrow(_proposals(percent, tries), "v long, u long, more boolean")
         best = found.groupBy("v", "u").agg(F.max("more").alias("more"))
         best = best.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("u")))
@@ -353,9 +441,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
             floors = tried.select(F.col("v").alias("node"), "floor")
         floors = materialize(floors, "ngram-floors")
         labels = materialize(_contract(labels, links), "ngram-labels")
-        still = tried.where("more").select(F.col("v").alias("node")).join(members.select("node", "gid"), "node")
-        active = materialize(posted.join(still.select("gid").distinct(), "gid", "left_semi").select("sh").distinct(),
-                             "ngram-active")
+        still = tried.where("more").select(F.col("v").alias("node")).distinct()
+        active = materialize(posted.join(still, "node", "left_semi").select("sh").distinct(), "ngram-active")
         if active.isEmpty():
             break
         tries *= 4
