@@ -70,8 +70,6 @@ def _apply_fn(names: list[str], out_cols: list[str]):
         pdf = pdf.sort_values(RN)
         for n in names:
             y0 = float(carry[f"_c_{n}"].iloc[0]) if len(carry) else 0.0
-            if y0 != y0:  # NaN carry cannot happen with finite inputs; keep 0 semantics
-                y0 = 0.0
             pdf[n] = _loop(pdf[f"_sa_{n}"].tolist(), pdf[f"_sb_{n}"].tolist(), y0)
         return pdf[out_cols]
     return apply

@@ -26,17 +26,18 @@ LABEL = "y"
 K = len(FEATURES)
 
 
-def design(spark, sf, mode="per_symbol_time"):
-    """Hour bars → (symbol, ts, _rn, f0..f2, y, split)."""
+def design(spark, sf, mode="per_symbol_time", next_return=False):
+    """Hour bars → (symbol, ts, _rn, f0..f2, y, split), with the label R as ``r`` if asked for."""
     b = event_bars(spark, sf)
     o, h, low, c = (F.col(x) for x in ("open", "high", "low", "close"))
 
     def build(w):
-        return {"f0": safe_div(c - o, h - low), "f1": F.coalesce(PA.wick_ratio_upper(), F.lit(0.0)),
+        more = {"r": L.label_r(w)} if next_return else {}
+        return more | {"f0": safe_div(c - o, h - low), "f1": F.coalesce(PA.wick_ratio_upper(), F.lit(0.0)),
                 "f2": F.coalesce(PA.wick_ratio_lower(), F.lit(0.0)), "y": L.label_b1(w)}
     n = series.number_rows(b, ["symbol"], with_length=True)
     d = series.with_series_columns(n, ["symbol"], build, back=0, fwd=1, numbered=True)
-    d = d.select("symbol", "ts", series.RN, series.LEN, *FEATURES, LABEL)
+    d = d.select("symbol", "ts", series.RN, series.LEN, *FEATURES, LABEL, *(["r"] if next_return else []))
     return DS.train_val_split(d, 0.8, mode).drop(series.LEN)
 
 
@@ -190,7 +191,7 @@ def gbt_importances(spark, sf):
 def train_all_runs(spark, sf):
     """M10 + J8: every allowed combination with a trainable linear model
     (n_linear on R for hour bars here), 10 trials each; runs table."""
-    d = design(spark, sf).withColumn("y", F.col("y").cast("double")).withColumn("r", F.col("y"))
+    d = design(spark, sf, next_return=True).withColumn("y", F.col("y").cast("double"))
     runs, models = LR.train_all(spark, {"hour": d}, FEATURES, {"R": "r", "B1": "y"},
                                 {"n_linear": {"lr": [0.001, 0.5], "epochs": [5, 50]}}, n_trials=10, seed=3)
     return runs.select("experiment", "trial", "mse")

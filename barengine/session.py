@@ -85,6 +85,12 @@ def materialize(df, name: str = "stage"):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists, asked of its own Hadoop FileSystem."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def drop_materialized(spark) -> None:
     """Delete what this application wrote under the checkpoint folder with
     ``materialize`` and the stream helpers. Other applications that share the

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..session import app_dir
+from ..session import app_dir, path_exists
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -120,13 +120,12 @@ def upsert_batch(target: str, key=("symbol", "ts"), order: str = "seq"):
         spark = batch.sparkSession
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         new = batch.withColumn("_load", F.lit(epoch).cast("long"))
-        try:
-            old = spark.read.parquet(target)
+        merged = new
+        if path_exists(spark, target):  # a table that cannot be read fails the batch
             touched = new.select("symbol").distinct()
-            old = old.join(touched, "symbol", "left_semi").withColumn("_load", F.lit(-1).cast("long"))
+            old = (spark.read.parquet(target).join(touched, "symbol", "left_semi")
+                   .withColumn("_load", F.lit(-1).cast("long")))
             merged = old.unionByName(new, allowMissingColumns=True)
-        except Exception:  # noqa: BLE001 - first batch: no table yet
-            merged = new
         out = dedup_keep_last(merged, key, ("_load", order)).drop("_load")
         # Read-then-overwrite of the same path needs the new version staged first.
         stage = f"{target}.__stage_{epoch}"

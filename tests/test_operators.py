@@ -176,9 +176,9 @@ def test_gram_stats_spark(spark):
     assert np.allclose(w, ref, atol=1e-12)
 
 
-def test_search_space_ranges():
+def test_search_space_ranges(spark):
     """[1, 3] draws integers, [0.0, 1.0] floats; one value fixed; text a choice."""
-    t = learn.expand_search_space({"a": [1, 3], "b": [0.0, 1.0], "c": [7], "d": ["x", "y"], "e": 2}, 50, 0)
+    t = learn.expand_search_space(spark, {"a": [1, 3], "b": [0.0, 1.0], "c": [7], "d": ["x", "y"], "e": 2}, 50, 0)
     assert all(isinstance(p["a"], int) and 1 <= p["a"] <= 3 for p in t)
     assert all(isinstance(p["b"], float) and 0.0 <= p["b"] <= 1.0 for p in t)
     assert all(p["c"] == 7 and p["d"] in ("x", "y") and p["e"] == 2 for p in t)
@@ -362,3 +362,41 @@ def test_asof_carry_across_empty_buckets(spark):
     for s in ("A", "B"):
         assert got[(s, 0, 40)] == 1.0 and got[(s, 2, 40)] == 2.0 and got[(s, 4, 40)] == 2.0
         assert got[(s, 5, 40)] == 3.0
+
+
+def test_gram_matrix_takes_complete_rows_only(spark):
+    """A NULL feature takes its row out of every sum and of the count."""
+    rows = [(float(i), float(2 * i)) if i % 3 else (None, 5.0) for i in range(9)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    full = df.where("x IS NOT NULL")
+    assert learn.gram_stats(df, ["x"], "y").first() == learn.gram_stats(full, ["x"], "y").first()
+    assert np.allclose(learn.linear_gd(df, ["x"], "y", lr=0.01), learn.linear_gd(full, ["x"], "y", lr=0.01))
+
+
+def test_random_search_needs_validation_rows(spark):
+    df = spark.createDataFrame([(1.0, 2.0, "train")], "x double, y double, split string")
+    with pytest.raises(ValueError):
+        learn.random_search(spark, df, ["x"], "y", {"lr": [0.1, 0.2]}, n_trials=2)
+
+
+def test_upsert_fails_when_the_table_cannot_be_read(spark, tmp_path):
+    """An unreadable table is no first batch; nothing is overwritten."""
+    from barengine.streaming.bars_stream import upsert_batch
+    target = tmp_path / "t"
+    (target / "symbol=A").mkdir(parents=True)
+    (target / "symbol=A" / "part-0.parquet").write_bytes(b"not parquet")
+    batch = spark.createDataFrame([("A", 1, 2.0)], "symbol string, seq long, price double")
+    with pytest.raises(Exception):
+        upsert_batch(str(target), key=("symbol", "seq"), order="seq")(batch, 0)
+    assert (target / "symbol=A" / "part-0.parquet").read_bytes() == b"not parquet"
+
+
+def test_scan_passes_nan_through_at_every_block_size(spark):
+    """After a NaN the rest of its series is missing, whatever the blocks."""
+    from barengine.operators.scan import affine_scan
+    rows = [("A", i, float("nan") if i == 5 else 1.0) for i in range(20)]
+    df = spark.createDataFrame(rows, "symbol string, _rn long, b double")
+    got = [[r.y for r in affine_scan(df, ["symbol"], {"y": (F.lit(0.5), F.col("b"))}, block_rows=n)
+            .orderBy("_rn").collect()] for n in (4, 100)]
+    assert [[v is None or math.isnan(v) for v in g] for g in got] == [[i >= 5 for i in range(20)]] * 2
+    assert got[0][:5] == got[1][:5]
