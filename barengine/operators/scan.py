@@ -119,7 +119,9 @@ def affine_scan(df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[Colum
         d = _materialize(d)
         longest = d.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
         _levels = _levels_needed(int(longest), B)
-    out_schema = T.StructType(d.schema.fields + [T.StructField(n, T.DoubleType()) for n in names])
+    # pandas returns a NaN as NULL, so every column may be NULL on the way back
+    fields = [T.StructField(f.name, f.dataType) for f in d.schema.fields]
+    out_schema = T.StructType(fields + [T.StructField(n, T.DoubleType()) for n in names])
     out_cols = [f.name for f in out_schema.fields]
     if _levels == 0:
         # every series has at most B rows here: one bounded group per series
@@ -132,9 +134,13 @@ def affine_scan(df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[Colum
                               [T.StructField(f"_{x}_{n}", T.DoubleType()) for n in names for x in ("A", "B")])
     maps = narrow.groupBy(*keys, BLK).applyInPandas(_fold_fn(names, keys), map_schema)
     lvl = maps.withColumnRenamed(BLK, RN)
-    ends = affine_scan(lvl, keys, {n: (F.col(f"_A_{n}"), F.col(f"_B_{n}")) for n in names}, B, _levels - 1)
+    # pandas hands a NaN back as NULL; it stays NaN, so a gap reaches all later blocks
+    nan = F.lit(float("nan"))
+    ends = affine_scan(lvl, keys, {n: (F.coalesce(F.col(f"_A_{n}"), nan), F.coalesce(F.col(f"_B_{n}"), nan))
+                                   for n in names}, B, _levels - 1)
     carry = ends.select(*keys, (F.col(RN) + 1).alias(BLK), *[F.col(n).alias(f"_c_{n}") for n in names])
-    full_schema = T.StructType(d.schema.fields + [T.StructField(n, T.DoubleType()) for n in names])
+    fields = [T.StructField(f.name, f.dataType) for f in d.schema.fields]
+    full_schema = T.StructType(fields + [T.StructField(n, T.DoubleType()) for n in names])
     full_cols = [f.name for f in full_schema.fields]
     res = (d.groupBy(*keys, BLK).cogroup(carry.groupBy(*keys, BLK))
            .applyInPandas(_apply_fn(names, full_cols), full_schema))
