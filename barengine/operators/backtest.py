@@ -81,8 +81,9 @@ def simulate(scored: DataFrame, keys: Sequence[str] = ("model", "symbol"), slipp
     d = d.withColumn("commission", F.when(F.col("dq") != 0, F.abs(F.col("dq")) * F.col("fill") * commission)
                      .otherwise(F.lit(0.0)))
     cost = F.when(F.col("dq") != 0, F.col("dq") * F.col("fill") + F.col("commission")).otherwise(F.lit(0.0))
-    d = series.running(d, keys, {"_spent": ("sum", cost)})
-    return (d.withColumn("cash", F.lit(cash0) - F.col("_spent"))
+    # exact decimals: the cash of a bar does not depend on the order or grouping of the sum
+    d = series.running(d, keys, {"_spent": ("sum", cost.cast("decimal(27,10)"))})
+    return (d.withColumn("cash", (F.lit(cash0).cast("decimal(27,10)") - F.col("_spent")).cast("double"))
              .withColumn("equity", F.col("cash") + F.col("pos") * F.col("close"))
              .drop("_spent"))
 
@@ -100,10 +101,10 @@ def period_returns(sim: DataFrame, keys: Sequence[str] = ("model", "symbol"), pe
     w = Window.partitionBy(*keys).orderBy("period")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     prev = F.coalesce(F.lag("equity_end", 1).over(w), F.lit(cash0))
-    d = per.withColumn("ret", F.col("equity_end") / prev - 1)
+    d = per.withColumn("ret", F.col("equity_end") / F.nullif(prev, F.lit(0.0)) - 1)
     d = d.withColumn("cum", F.product(1 + F.col("ret")).over(run))
     d = d.withColumn("peak", F.max("cum").over(run))
-    return d.withColumn("drawdown", (F.col("peak") - F.col("cum")) / F.col("peak"))
+    return d.withColumn("drawdown", (F.col("peak") - F.col("cum")) / F.nullif(F.col("peak"), F.lit(0.0)))
 
 
 def risk_metrics(rets: DataFrame, keys: Sequence[str] = ("model", "symbol")) -> DataFrame:

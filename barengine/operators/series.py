@@ -29,7 +29,9 @@ bars; tick tables are aggregated to bars before they reach this module.
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,9 +82,25 @@ def _join_keys(big: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
     return big.join(s, cond, "inner").drop(*[f"_j_{c}" for c in on])
 
 
+_PLAN_ROWS: ContextVar[int | None] = ContextVar("block_rows", default=None)
+
+
+@contextmanager
+def block_size(rows: int) -> Iterator[None]:
+    """Plans built inside use blocks of ``rows`` rows wherever no size is given.
+
+    Answers do not depend on the block size; it bounds the memory of a task.
+    """
+    token = _PLAN_ROWS.set(rows)
+    try:
+        yield
+    finally:
+        _PLAN_ROWS.reset(token)
+
+
 def _rows(block_rows: int | None) -> int:
     # Read at call time so tests can shrink blocks to a few rows.
-    return block_rows or BLOCK_ROWS
+    return block_rows or _PLAN_ROWS.get() or BLOCK_ROWS
 
 
 def block_of(rn: Column, block_rows: int | None = None) -> Column:
@@ -176,7 +194,11 @@ def _prefix(kind: str, c: Column, w: Window) -> Column:
     raise ValueError(kind)
 
 
-def _combine(kind: str, carry: Column, inner: Column) -> Column:
+def _combine(kind: str, carry: Column, inner: Column, dt: T.DataType) -> Column:
+    if kind == "sum" and isinstance(dt, T.DecimalType):
+        # a sum of two DECIMAL(38, s) would lose a digit of the scale
+        wide = T.DecimalType(37, dt.scale)
+        return F.coalesce(carry.cast(wide), F.lit(0).cast(wide)) + inner.cast(wide)
     if kind == "sum":
         return F.coalesce(carry, F.lit(0)) + inner
     if kind == "product":
@@ -225,7 +247,7 @@ def running(df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[str, Colu
         _prefix(k, F.col(f"_b_{n}"), w_blocks).alias(f"_c_{n}") for n, (k, _) in specs.items()])
     out = _join_keys(d, carries, [*keys, BLK])
     out = out.select("*", *[
-        _combine(k, F.col(f"_c_{n}"), _prefix(k, F.col(f"_x_{n}"), inner_w)).alias(n)
+        _combine(k, F.col(f"_c_{n}"), _prefix(k, F.col(f"_x_{n}"), inner_w), d.schema[f"_x_{n}"].dataType).alias(n)
         for n, (k, _) in specs.items()])
     drop = [f"_x_{n}" for n in specs] + [f"_c_{n}" for n in specs] + [BLK]
     return out.drop(*drop)

@@ -60,7 +60,8 @@ p3 AS (SELECT *, pos - coalesce(lag(pos) {_WM}, 0) AS dq FROM p2),
 p4 AS (SELECT *, CASE WHEN dq > 0 THEN least(open * {Fl(1 + 0.0005)}, high)
                       WHEN dq < 0 THEN greatest(open * {Fl(1 - 0.0005)}, low) END AS fill FROM p3),
 p5 AS (SELECT *, CASE WHEN dq <> 0 THEN abs(dq) * fill * {Fl(0.0004)} ELSE 0.0 END AS commission FROM p4),
-p6 AS (SELECT *, {Fl(10000.0)} - sum(CASE WHEN dq <> 0 THEN dq * fill + commission ELSE 0.0 END) {_RUNM} AS cash FROM p5),
+p6 AS (SELECT *, CAST(CAST(10000 AS DECIMAL(27,10)) - sum(CAST(CASE WHEN dq <> 0 THEN dq * fill + commission ELSE 0.0 END
+                      AS DECIMAL(27,10))) {_RUNM} AS DOUBLE) AS cash FROM p5),
 eq AS (SELECT *, cash + pos * close AS equity FROM p6),
 per AS (SELECT model, symbol, date_trunc('day', ts) AS period, arg_max(equity, ts) AS equity_end
         FROM eq GROUP BY model, symbol, date_trunc('day', ts)),

@@ -400,3 +400,25 @@ def test_scan_passes_nan_through_at_every_block_size(spark):
             .orderBy("_rn").collect()] for n in (4, 100)]
     assert [[v is None or math.isnan(v) for v in g] for g in got] == [[i >= 5 for i in range(20)]] * 2
     assert got[0][:5] == got[1][:5]
+
+
+def test_decimal_running_sum_is_exact_at_every_block_size(spark):
+    """Running cash in decimals is the same for every block size, and keeps all ten digits."""
+    df = spark.range(40).select(F.lit("a").alias("symbol"), F.col("id").alias("_rn"),
+                                (F.col("id") / 7).cast("decimal(27,10)").alias("x"))
+    got = []
+    for n in (3, 7, 64):
+        with series.block_size(n):
+            out = series.running(df, ["symbol"], {"s": ("sum", F.col("x"))})
+            got.append([r.s for r in out.orderBy("_rn").collect()])
+    total, exp = 0, []
+    for r in df.orderBy("_rn").collect():
+        total += r.x
+        exp.append(total)
+    assert got == [exp, exp, exp]
+
+
+def test_block_size_holds_only_inside_its_context():
+    with series.block_size(5):
+        assert series._rows(None) == 5 and series._rows(9) == 9
+    assert series._rows(None) == series.BLOCK_ROWS
