@@ -13,10 +13,10 @@
    of the sets (their Hamming distance bounds the sets' difference from below).
 5. A node proposes its smallest untried partners, one in the first round and four
    times as many in each next one; proposals are verified on the whole sets and linked nodes
-   contracted. Pairs within one component need no check, so a group of a
+   drawn together by a star step. Pairs that hang on one node need no check, so a group of a
    thousand copies costs about a thousand checks, not a million. The rounds end
-   when no node has an untried partner outside its component: every link between
-   different components has then been refuted.
+   when no node has an untried partner that hangs elsewhere: every link between
+   different components has then been refuted. The stars are joined up at the end.
 
 Shingles posted by more than ``BLOCK`` nodes are dealt in pairs of blocks, so no
 task holds such a bucket as a whole.
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import tokens as T
 from .common import materialize, partitions
-from .components import connected_components
+from .components import connected_components, nearest, star_step
 
 PIECE = 4 << 20
 #: Bound of the table of frequent shingles, and the count within a piece of text from which one is a candidate.
@@ -411,7 +411,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     posted = materialize(posted.distinct(), "ngram-posts")
     state = materialize(state.join(posted.select("node").distinct(), "node", "left_semi"), "ngram-state")
 
-    labels, floors, active, tries = None, None, None, 1
+    edges, labels, floors, active, tries = None, None, None, None, 1
     while True:
         rows = posted if active is None else posted.join(active, "sh", "left_semi")
         now = state
@@ -440,15 +440,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         else:
             floors = tried.select(F.col("v").alias("node"), "floor")
         floors = materialize(floors, "ngram-floors")
-        labels = materialize(_contract(labels, links), "ngram-labels")
+        # edges keep the components of all links so far; one step a round is enough to skip most pairs
+        new = links.select(F.col("u").alias("a"), F.col("v").alias("b"))
+        edges = star_step(new if edges is None else edges.union(new))
+        labels = materialize(nearest(edges), "ngram-labels")
         still = tried.where("more").select(F.col("v").alias("node")).distinct()
         active = materialize(posted.join(still, "node", "left_semi").select("sh").distinct(), "ngram-active")
         if active.isEmpty():
             break
         tries *= 4
     comp = members.select("node", "rep")
-    if labels is not None:
-        comp = comp.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    if edges is not None:
+        comp = comp.join(connected_components(edges), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     else:
         comp = comp.withColumn("comp", F.col("node"))
     least = comp.groupBy("comp").agg(F.min("rep").alias("component_id"))
@@ -458,15 +461,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
                       F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key_")).alias("component_id"))
 
 
-def _contract(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """New (node, comp) after links (u, v) between nodes."""
-    edges = links.select(F.col("u").alias("a"), F.col("v").alias("b"))
-    if labels is None:
-        return connected_components(edges)
-    # the old labels are stars and join the new links as edges
-    return connected_components(edges.union(labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
-
-
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` with one row of each group of near duplicates: that with the smallest key.
 
