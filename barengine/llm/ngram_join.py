@@ -468,10 +468,17 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     key of their group's representative, one stays.
     """
     comps = near_duplicates(docs, key, text, k, percent)
-    stay = (comps.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("key_"))
-            .agg(F.count(F.lit(1)).alias("rows_")))
-    stay = materialize(stay, "ngram-stay")
-    kept = docs.alias("d").join(stay.alias("s"), F.col(f"d.{key}").cast("long").eqNullSafe(F.col("s.key_")))
-    single = kept.where("rows_ = 1").select("d.*")
-    again = kept.where("rows_ > 1").select("d.*")
-    return single.union(again.dropDuplicates([key]))
+    own = F.col(key).eqNullSafe(F.col("component_id")).cast("long")
+    odd = materialize(comps.groupBy(F.col(key).alias("key_")).agg(F.sum(own).alias("rows_")).where("rows_ <> 1"),
+                      "ngram-odd")
+    # texts are shuffled only if the keys that go, fewer than the documents, are too many to send to all tasks
+    few = odd.count() <= BROADCAST_KEYS
+
+    def keyed(how: str, keys: DataFrame) -> DataFrame:
+        keys = F.broadcast(keys) if few else keys
+        return docs.alias("d").join(keys.alias("s"), F.col(f"d.{key}").cast("long").eqNullSafe(F.col("s.key_")), how)
+    single = keyed("left_anti", odd.select("key_"))
+    again = odd.where("rows_ > 1").select("key_")
+    if again.isEmpty():
+        return single
+    return single.union(keyed("left_semi", again).dropDuplicates([key]))
