@@ -429,8 +429,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
             break
         wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
         wanted = materialize(wanted.join(members.select("node", "rep"), "node"), "ngram-wanted")
-        sets = materialize(_whole_sets(docs, key, text, k, wanted), "ngram-whole")
-        links = materialize(_verify(pairs, sets, percent), "ngram-links")
+        # not written: one shuffle of the sets by node then serves both joins
+        links = materialize(_verify(pairs, _whole_sets(docs, key, text, k, wanted), percent), "ngram-links")
         tried = best.groupBy("v").agg(F.max(F.when(F.col("r") <= tries, F.col("u"))).alias("floor"),
                                       F.max((F.col("r") > tries) | F.col("more")).alias("more"))
         if floors is not None:
