@@ -62,6 +62,28 @@ def test_decontamination(spark, empty):
     assert not [x for x in decontamination.contaminated(d, b.limit(0)).collect() if x.contaminated]
 
 
+def test_item_in_a_third_of_the_rows(spark):
+    r = random.Random(8)
+    rare = (f"{x:06x}" for x in r.sample(range(1 << 24), 60000))
+    common = ["".join(r.choice("klmnop") for _ in range(5)) for _ in range(40)]  # each in nearly all documents
+    items = [[next(rare) for _ in range(n)] for n in (12, 30, 50)] + [r.sample(common, 14)]
+    docs, exp = [], {}
+    for i in range(300):
+        w = [next(rare) for _ in range(r.randint(60, 120))]
+        for c in r.sample(common, 36):
+            w.insert(r.randrange(len(w) + 1), c)
+        k = 0 if i % 3 == 0 else {1: 1, 4: 2, 7: 3}.get(i % 90)
+        if k is not None:
+            at = r.randrange(len(w))
+            w[at:at] = items[k]
+            exp[i] = k
+        docs.append((i, " ".join(w)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = decontamination.contaminated(d, b).where("contaminated").collect()
+    assert {x.doc_id: x.item for x in got} == exp
+
+
 def test_blocks_of_items_agree(spark, monkeypatch):
     d, b = (spark.read.parquet(f"{SF001}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = {(x.doc_id, x.contaminated, x.item) for x in decontamination.contaminated(d, b).collect()}
