@@ -53,7 +53,7 @@ BLOCK = 1024
 #: Rows up to which the keys of wanted texts are sent to all executors (8 bytes each); beyond, they are joined by shuffle.
 BROADCAST_KEYS = 500_000
 
-_SETS = "key_ long, n long, node long, gid long, prefix array<bigint>, sig binary"
+_SETS = "key_ long, hash_ long, n long, node long, gid long, prefix array<bigint>, sig binary"
 
 
 def _pieces(batch: pa.RecordBatch, text: str, k: int):
@@ -134,7 +134,7 @@ def frequent_shingles(docs: DataFrame, text: str, k: int) -> tuple[np.ndarray, n
 
 
 def shingle_sets(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
-    """Per row: key_, n (set size), node (hash of the set), gid (hash of prefix and size), prefix, sig."""
+    """Per row: key_, hash_ (checksum of the text), n (set size), node (hash of the set), gid (hash of prefix and size), prefix, sig."""
     heavy, often = frequent_shingles(docs, text, k)
     shared = docs.sparkSession.sparkContext.broadcast((heavy, often))  # HEAVY entries of 16 bytes at most
 
@@ -151,7 +151,7 @@ def shingle_sets(docs: DataFrame, key: str, text: str, k: int, percent: int) ->
 
     def sets(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            keys = b.column("key_")
+            keys, sums = b.column("key_"), b.column("hash_")
             for a, group in _pieces(b, "t", k):
                 n, node, gid, prefix, sig = [], [], [], [], []
                 for s in group:
@@ -167,10 +167,10 @@ def shingle_sets(docs: DataFrame, key: str, text: str, k: int, percent: int) ->
                     prefix.append(first.view(np.int64))
                     sig.append(_bitmap(s))
                 yield pa.RecordBatch.from_arrays(
-                    [keys.slice(a, len(group)), pa.array(n, pa.int64()), pa.array(node, pa.int64()),
+                    [keys.slice(a, len(group)), sums.slice(a, len(group)), pa.array(n, pa.int64()), pa.array(node, pa.int64()),
                      pa.array(gid, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
-                    names=["key_", "n", "node", "gid", "prefix", "sig"])
-    slim = docs.select(F.col(key).cast("long").alias("key_"), F.col(text).alias("t"))
+                    names=["key_", "hash_", "n", "node", "gid", "prefix", "sig"])
+    slim = docs.select(F.col(key).cast("long").alias("key_"), F.xxhash64(text).alias("hash_"), F.col(text).alias("t"))
     return materialize(slim.mapInArrow(sets, _SETS), "ngram-sets")
 
 
@@ -389,6 +389,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
     Two rows link when 100 * shared shingles >= percent * shingles of both together.
     """
+    per_doc, comp = _components(docs, key, text, k, percent)
+    least = comp.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    ids = comp.join(least, "comp").select("node", "component_id")
+    out = per_doc.select("key_", "n", "node").join(ids, "node", "left")
+    return out.select(F.col("key_").alias(key), F.col("n").alias("n_shingles"),
+                      F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key_")).alias("component_id"))
+
+
+def _components(docs: DataFrame, key: str, text: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``shingle_sets``; per node: node, rep (its smallest key), comp)."""
     if not 0 < percent <= 100:
         raise ValueError("percent must lie in 1..100")
     spark = docs.sparkSession
@@ -454,11 +464,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         comp = comp.join(connected_components(edges), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     else:
         comp = comp.withColumn("comp", F.col("node"))
-    least = comp.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    ids = comp.join(least, "comp").select("node", "component_id")
-    out = per_doc.select("key_", "n", "node").join(ids, "node", "left")
-    return out.select(F.col("key_").alias(key), F.col("n").alias("n_shingles"),
-                      F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key_")).alias("component_id"))
+    return per_doc, comp
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -482,3 +488,35 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     if again.isEmpty():
         return single
     return single.union(keyed("left_semi", again).dropDuplicates([key]))
+
+
+def one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
+                      percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` with one row of each group of near duplicates, whatever their keys.
+
+    The smallest key of a group stays (null last), then the smallest checksum of the text. Rows without a
+    shingle are linked with nothing: all stay but repeats of one key and text.
+    """
+    per_doc, comp = _components(docs, key, text, k, percent)
+    order = F.struct(F.col("key_").isNull().alias("none"), "key_", "hash_")
+    first = per_doc.where("n > 0").groupBy("node").agg(F.min(order).alias("m"))
+    first = comp.select("node", "comp").join(first, "node")
+    least = first.groupBy("comp").agg(F.min("m").alias("least"))
+    least = first.join(least, "comp").select("node", "least")
+    rows = per_doc.select("key_", "hash_", "n", "node").join(least, "node", "left")
+    stays = (F.col("n") == 0) | (F.col("least") == order)
+    odd = materialize(rows.groupBy("key_", "hash_").agg(F.count(F.lit(1)).alias("rows_"), F.first(stays).alias("stays"))
+                      .where("rows_ > 1 OR NOT stays"), "ngram-odd")
+    # texts are shuffled only if the rows that go are too many to send their keys and checksums to all tasks
+    few = odd.count() <= BROADCAST_KEYS
+    d = docs.withColumn("__h", F.xxhash64(text))
+
+    def keyed(how: str, pairs: DataFrame) -> DataFrame:
+        pairs = (F.broadcast(pairs) if few else pairs).alias("s")
+        return d.alias("d").join(pairs, F.col(f"d.{key}").cast("long").eqNullSafe(F.col("s.key_"))
+                                 & (F.col("d.__h") == F.col("s.hash_")), how)
+    single = keyed("left_anti", odd.select("key_", "hash_"))
+    again = odd.where("stays").select("key_", "hash_")
+    if not again.isEmpty():
+        single = single.union(keyed("left_semi", again).dropDuplicates([key, "__h"]))
+    return single.select(*docs.columns)

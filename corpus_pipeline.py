@@ -1,7 +1,7 @@
 """A training corpus from ``documents``: five stages, each over all that the one before kept.
 
 1. quality classifier: documents whose perplexity the Kneser-Ney model rejects go;
-2. near duplicates: of each group (five-word shingles, Jaccard 0.8 or more) the smallest key stays;
+2. near duplicates: of each group (five-word shingles, Jaccard 0.8 or more) one row with the smallest key stays;
 3. benchmark decontamination: documents that hold a benchmark passage go;
 4. mixing: documents are taken by weighted fair queueing, some of them up to three times;
 5. sharding: every row gets its shard and slot.
@@ -32,8 +32,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
-    return ngram_join.one_of_each(docs, k=5, percent=80)
+    """Keeps one document of each group of near duplicates; other texts under the same or no key stay."""
+    return ngram_join.one_per_component(docs, k=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

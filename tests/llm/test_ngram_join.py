@@ -54,6 +54,34 @@ def test_one_of_each(docs, rows):
     assert set(kept) == {k for k, _, c in comps if k == c} and max(kept.values()) == 1
 
 
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_other_texts_under_one_key_stay(spark, docs, rows, monkeypatch, limit):
+    monkeypatch.setattr(ngram_join, "BROADCAST_KEYS", limit)
+    import corpus_pipeline
+    own = [(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(60)]
+    keyed = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, t) for i, t in own]  # a third null, a third one key
+    near = own[1][1] + " end"  # near copies: under the hot key, a key of its own and no key
+    blank = [(7, ""), (7, ""), (8, None), (None, " ")]
+    d = spark.createDataFrame([(k, t, "en", "a", 1) for k, t in keyed + [(7, near), (500, near), (None, near)] + blank],
+                              "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, d.repartition(3), "")
+    assert got.columns == d.columns
+    got = collections.Counter((r.doc_id, r.text) for r in got.collect())
+    twin = {(7, own[1][1]), (7, near)}
+    assert len(twin & set(got)) == 1 and max(got.values()) == 1
+    assert set(got) - twin == (set(keyed) | set(blank)) - twin
+    # one row of each component of the common rows, two texts of one key among them
+    sets = [shingles(r[1], 5) for r in rows]
+    kept = [r for r in ngram_join.one_per_component(docs).collect()]
+    left = [shingles(r.text, 5) for r in kept]
+    link = lambda a, b: a and b and 100 * len(a & b) >= 80 * len(a | b)
+    assert not any(link(a, b) for i, a in enumerate(left) for b in left[:i])
+    alone = [r[:2] for r, s in zip(rows, sets) if s and sum(bool(link(s, x)) for x in sets) == 1]
+    assert set(alone) <= {(r.doc_id, r.text) for r in kept}
+    assert sum(r.doc_id == rows[4][0] for r in kept) == 2
+
+
 def test_empty(empty):
+    assert ngram_join.one_per_component(empty).count() == 0
     assert ngram_join.near_duplicates(empty).count() == 0
     assert ngram_join.one_of_each(empty).count() == 0
