@@ -84,6 +84,25 @@ def test_item_in_a_third_of_the_rows(spark):
     assert {x.doc_id: x.item for x in got} == exp
 
 
+def test_long_clean_topical_document(spark):
+    r = random.Random(11)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    items = [r.sample(vocab, n) for n in (15, 18, 40)]
+    long = [r.choice(vocab) for _ in range(20000)]
+    for q in items:  # a few words of each item at places far apart
+        for at in (1000, 7000, 19000):
+            long[at:at + len(q) // 3] = q[:len(q) // 3]
+    docs = [(i, " ".join(r.choice(vocab) for _ in range(200))) for i in range(60)] + [(100, " ".join(long))]
+    docs += [(101 + i, " ".join(long[:9000] + q + long[9000:])) for i, q in enumerate(items)]
+    for q in items:
+        assert lcs(q, long[1000:7000]) >= 0.6 * len(q) and all(
+            lcs(q, long[s:s + 3 * len(q)]) < 0.6 * len(q) for s in range(0, len(long), len(q)))
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {x.doc_id: x.item for x in decontamination.contaminated(d, b).collect() if x.contaminated}
+    assert got == {101: 0, 102: 1, 103: 2}
+
+
 def test_blocks_of_items_agree(spark, monkeypatch):
     d, b = (spark.read.parquet(f"{SF001}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = {(x.doc_id, x.contaminated, x.item) for x in decontamination.contaminated(d, b).collect()}
