@@ -103,6 +103,23 @@ def test_long_clean_topical_document(spark):
     assert got == {101: 0, 102: 1, 103: 2}
 
 
+def test_many_long_items(spark):
+    r = random.Random(13)
+    vocab = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(20000)]
+
+    def text(n):
+        return [r.choice(vocab) for _ in range(n)]
+    items = [text(500) for _ in range(256)]
+    docs = [(i, " ".join(text(200) + items[4 * i] + text(100))) for i in range(64)]
+    docs += [(None, " ".join(items[9])), (None, " ".join(text(300)))] + [(100 + i, " ".join(text(700))) for i in range(8)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = decontamination.contaminated(d, b).collect()
+    assert len(got) == len(docs)  # null keys are judged row by row, also over many blocks
+    assert collections.Counter((x.doc_id, x.item) for x in got if x.contaminated) == collections.Counter(
+        [*[(i, 4 * i) for i in range(64)], (None, 9)])
+
+
 def test_blocks_of_items_agree(spark, monkeypatch):
     d, b = (spark.read.parquet(f"{SF001}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = {(x.doc_id, x.contaminated, x.item) for x in decontamination.contaminated(d, b).collect()}
