@@ -22,9 +22,11 @@ from .common import SPACE, SPACES, words
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A line is boilerplate of its host in more than this many documents and this share of them.
+#: A line is boilerplate of its host in more than this many documents and this share of them,
+#: and in any case in more than LINE_MOST, so that large hosts are not held to less.
 LINE_DOCS = 20
 LINE_SHARE = 0.02
+LINE_MOST = 200
 #: A document is depleted when more than this share of its words goes with removed lines.
 MAX_REMOVED = 0.5
 
@@ -102,7 +104,8 @@ def frequent_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", hos
                          F.xxhash64(text).alias("__t")).distinct()
              .groupBy("__host").agg(F.count(F.lit(1)).alias("__all")))
     counts = lines.groupBy("__host", "__l").agg(F.count(F.lit(1)).alias("__docs")).where(F.col("__docs") > line_docs)
-    return counts.join(texts, "__host").where(F.col("__docs") > F.col("__all") * line_share).drop("__all")
+    limit = F.least(F.col("__all") * line_share, F.lit(float(LINE_MOST)))
+    return counts.join(texts, "__host").where(F.col("__docs") > limit).drop("__all")
 
 
 def line_frequency(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source",

@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 
+from pyspark.sql import functions as F
 from barengine.llm import mixing, quality, sharding
 
 from corpus_rows import docs, empty, rows  # noqa: F401
@@ -141,6 +142,17 @@ def test_quality_rules(docs, rows, empty):
     assert quality.line_frequency(empty).count() == 0
 
 
+def test_passage_in_one_percent_of_a_large_host(spark):
+    passage = " ".join(f"legal{'abcdefghij'[i % 10]}{'klmnop'[i // 10]}" for i in range(60))
+    letters = F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")
+    own = F.concat_ws(" ", *[F.concat(letters, F.lit(x)) for x in "qrstuv"])
+    d = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit("h").alias("source"), F.when(
+        F.col("id") % 100 == 0, F.concat(own, F.lit("\n" + passage))).otherwise(own).alias("text"))
+    got = {(r.n_words > 50, r.removed_share > 0.5, r.kept): r["count"] for r in quality.line_frequency(d).groupBy(
+        "n_words", "removed_share", "kept").count().collect()}
+    assert got == {(True, True, False): 1000, (False, False, False): 99_000}
+
+
 def test_lines_above_the_limits_leave_the_text(spark):
     d = spark.createDataFrame([(i, f"own {i} text\nMenu 1 Home\nmore {i}", "h") for i in range(6)] + [(9, None, "h")],
                               "doc_id long, text string, source string")
