@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 
 from . import html_tree as H
 
-#: A subtree is template on at least this many pages and this share of the host's pages.
+#: A subtree is template on at least this many pages and this share of the host's pages,
+#: and in any case on MOST_PAGES, however large the host.
 MIN_PAGES = 5
 MIN_SHARE = 0.05
+MOST_PAGES = 25
 
 # Element names, roles and words of class names that mark what is not the article.
 TAGS = frozenset("""script style noscript template iframe object embed applet svg math canvas audio video head nav
@@ -169,7 +171,8 @@ def templates(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     each = slim.select("host", "sum", "h").mapInArrow(_grouped(hashes), "host string, sum long, t long")
     total = slim.select("host", "sum").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counts = each.distinct().groupBy("host", "t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    recurring = counts.join(total, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "t", "n")
+    limit = F.least(F.col("pages") * min_share, F.lit(float(MOST_PAGES)))
+    recurring = counts.join(total, "host").where(F.col("n") >= limit).select("host", "t", "n")
     return each, recurring
 
 

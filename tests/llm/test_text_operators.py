@@ -192,6 +192,17 @@ def test_extraction(spark):
     assert extraction.extract(pages.limit(0)).count() == 0
 
 
+def test_box_on_one_percent_of_a_large_host(spark):
+    box = "<div class='mid'>Read <b>our</b> offers</div>"
+    rows = [(i, f"http://big.org/{i}", f"<body>{box if i % 100 == 0 else ''}<div><p>text {i} of page</p></div>")
+            for i in range(3000)]
+    rows += [(5000 + i, "http://few.org/", f"<body>{box if i < 4 else ''}<div><p>text {i}</p></div>") for i in range(100)]
+    pages = spark.createDataFrame([(*r, "x", "x") for r in rows], PAGES)
+    by = {r.page_id: r.text for r in extraction.extract(pages).collect()}
+    assert all(by[i] == f"text {i} of page" for i in range(3000))
+    assert by[5000] == "Read our offers\ntext 0" and by[5099] == "text 99"
+
+
 def test_licenses(spark):
     noise = "some words that speak of quite other things than rights and terms\n" * 4
     rows = [("r/LICENSE", "Released under the MIT License"), ("r/a/x.py", noise), ("r/a/b/y.py", noise),
