@@ -1,8 +1,8 @@
 """License scans: TF-IDF cosine to license notices, then inheritance along directories.
 
-1. Words of the templates get inverse document frequencies counted over all files;
-   any other word has the highest one. Template words in more than ``MAX_DF`` of all
-   files carry no weight.
+1. Words of the templates get inverse document frequencies counted over all files, without
+   the places where three words in a row are a notice's; any other word has the highest one.
+   Template words in more than ``MAX_DF`` of all files outside notices carry no weight.
 2. Headers: every run of one to four lines of a file that begins with a line holding
    a weighted template word is compared with every template; the best is the file's
    own license if its cosine reaches ``HEADER_COSINE``.
@@ -82,9 +82,17 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+TRIGRAMS = frozenset(x for notices in TEMPLATES.values() for t in notices for x in zip(*(words(t)[i:] for i in range(3))))
 VOCABULARY = frozenset(w for notices in TEMPLATES.values() for t in notices for w in words(t))
 
 
+def _outside(text: str) -> set[str]:
+    """Template words of a text at places outside the notices' three words in a row."""
+    ws = words(text)
+    inside = {j for i, x in enumerate(zip(ws, ws[1:], ws[2:])) if x in TRIGRAMS for j in (i, i + 1, i + 2)}
+    return VOCABULARY.intersection([w for i, w in enumerate(ws) if i not in inside] if inside else ws)
+
+
 def vocabulary_idf(files: DataFrame, text: str) -> tuple[dict[str, float], float]:
     """(weight of each template word, weight of any other word), from the documents of all files."""
     def count(batches: Iterator[pa.RecordBatch]):
@@ -93,7 +101,7 @@ def vocabulary_idf(files: DataFrame, text: str) -> tuple[dict[str, float], float
             n += b.num_rows
             for t in b.column("t"):
                 if t.is_valid:
-                    df.update(VOCABULARY.intersection(words(t.as_py())))
+                    df.update(_outside(t.as_py()))
         yield pa.RecordBatch.from_arrays([pa.array(["", *df], pa.string()), pa.array([n, *df.values()], pa.int64())],
                                          names=["w", "n"])
     got = {r.w: r.n for r in files.select(F.col(text).alias("t")).mapInArrow(count, "w string, n long").groupBy("w")

@@ -219,6 +219,19 @@ def test_licenses(spark):
     assert licenses.scan_licenses(f.limit(0), "id", "path", "text").count() == 0
 
 
+def test_header_in_a_third_of_the_files(spark):
+    r = random.Random(2)
+    head = ("# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in "
+            "compliance with the License.\n# You may obtain a copy of the License at\n")
+    noise = lambda: " ".join(f"w{r.randrange(3000)}" for _ in range(60))
+    rows = [(i, f"r/{i % 7}/{i}.py", f"the code of {i}\n" + (head if i % 3 == 0 else "") + noise()) for i in range(300)]
+    rows += [(300, "q/LICENSE", head + noise()), (301, "q/a.py", noise()), (302, "p/a.py", "use of the file under version")]
+    f = spark.createDataFrame(rows, "id long, path string, text string")
+    got = {x.id: x for x in licenses.scan_licenses(f, "id", "path", "text").collect()}
+    assert {i for i, x in got.items() if x.own_license == "Apache-2.0"} == {*range(0, 300, 3), 300}
+    assert got[300].is_license_file and got[301].license == "Apache-2.0" and got[302].license is None
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
     labels = spark.read.parquet(f"{SF001}/labels.parquet")
