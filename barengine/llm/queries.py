@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, extraction, language_model, licenses, mixing, ngram_join, quality, quality_model, sharding, warc
+from . import (decontamination, extraction, language_model, licenses, mixing, ngram_join, periodicity, phrases, quality,
+               quality_model, sharding, token_files, warc)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +78,49 @@ def op8(spark, sf):
     return extraction.extract(table(spark, sf, "pages"))
 
 
+@query("op11_periodic_runs")
+def op11(spark, sf):
+    return periodicity.run_report(periodicity.with_planted_runs(table(spark, sf, "documents")))
+
+
+@query("op12_token_files")
+def op12(spark, sf):
+    import public_tokenizers
+    return token_files.token_report(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op13_phrases", r"""
+WITH t AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces
+  FROM documents),
+p AS (SELECT d, lang, generate_subscripts(pieces, 1) AS p, unnest(pieces) AS piece FROM t),
+u AS (SELECT d, lang, p, generate_subscripts(ws, 1) AS i, unnest(ws) AS w
+  FROM (SELECT d, lang, p, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p)),
+g AS (SELECT lang, w AS w1, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4
+  FROM u WINDOW o AS (PARTITION BY d, p ORDER BY i)),
+f AS MATERIALIZED (SELECT lang, 1 AS k, w1 AS phrase, count(*) AS a FROM g GROUP BY ALL
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM g WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM g WHERE w3 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, count(*) FROM g WHERE w4 IS NOT NULL GROUP BY ALL),
+h AS MATERIALIZED (SELECT lang, k, phrase, a, lang || chr(9) || phrase AS key, string_split(phrase, ' ') AS ws
+  FROM f WHERE a >= 30),
+x AS MATERIALIZED (SELECT *, lang || chr(9) || array_to_string(ws[1:cut], ' ') AS lk,
+    lang || chr(9) || array_to_string(ws[cut + 1:], ' ') AS rk
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM h WHERE k > 1)),
+s AS (SELECT x.lang, x.phrase, x.key, x.a, x.cut, l.a AS l, r.a AS r, (2000000::HUGEINT * x.a) // (l.a + r.a) AS score
+  FROM x JOIN h l ON l.key = lk JOIN h r ON r.key = rk),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY score, cut) = 1),
+inside AS (SELECT lang || chr(9) || array_to_string(ws[i:i + m - 1], ' ') AS key, max(a) AS over
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM h WHERE k > 2)) GROUP BY 1),
+kept AS (SELECT b.* FROM b LEFT JOIN inside USING (key) WHERE over IS NULL OR 100::HUGEINT * over < 80::HUGEINT * a),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n,
+  CAST(score AS BIGINT) AS score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000""")
+def op13(spark, sf):
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
 @query("op3_license_scan")
 def op3(spark, sf):
     """Documents as files: source, language and hundred of the key are directories. Every tenth document
