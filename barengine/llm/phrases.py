@@ -5,9 +5,11 @@ Texts are cut into pieces (at marks and line ends) and pieces into words. The re
 * R_k, persisted: the occurrences of frequent phrases of k words in the order of (piece, position). It is stored in
   chunks of at most about ``CHUNK_WORDS`` words of whole texts, one row each, as packed word numbers with a break
   between pieces, so the merge join of an occurrence with that at the next position of its piece is one shift inside a chunk.
-* Group counts: a chunk counts its own groups first; one row per group and chunk is shuffled by group, added up,
-  and groups of ``min_count`` or more stay. A group has one row per chunk at most, however common it is.
-* Semi-join: the groups that stay go back to their chunks and only occurrences of frequent groups enter R_k and are extended.
+* Group counts: a chunk counts its own groups first and sends them, sorted and packed, to ranges of groups (cut by a hash);
+  a range adds up the counts of all chunks, keeps groups of ``min_count`` or more, and answers each chunk with one
+  bit per group. A group has one entry per chunk at most, however common it is; a range has about RANGE_GROUPS
+  occurrences. Ranges and chunks both grow with the input, so messages get smaller; there are never more of them than entries.
+* Semi-join: with the answers only occurrences of frequent groups enter R_k and are extended.
 
 A phrase of k words is extended from two frequent phrases of k - 1 that overlap (at a position and the next). Words get unique
 numbers from the table of frequent words, so groups are compared exactly, not by hashes.
@@ -47,6 +49,8 @@ SCALE = 2_000_000
 #: Share of a candidate's count at which a longer candidate makes it redundant, in percent.
 COVERED = 80
 CHUNK_WORDS = 1 << 22
+#: Occurrences per range of groups that one reducer adds up, about.
+RANGE_GROUPS = 1 << 21
 UNKNOWN_LANG = "und"
 
 #: A-Z in lower case, a tab is a space, marks and line ends become full stops.
@@ -59,7 +63,9 @@ _TABLE = bytes(_TABLE)
 
 R0 = ("chunk long, codes binary, words array<struct<lang: string, word: string, c: long>>, "
       "totals array<struct<lang: string, c: long>>")
-RK = "chunk long, ids binary, codes binary, starts binary"
+RK = "chunk long, ids binary, codes binary, starts binary, next long"
+SENT = "range long, chunk long, hi binary, lo binary, n binary"
+COUNTED = "range long, chunk long, often binary, hi binary, lo binary, f binary"
 
 
 class _Words(dict):
@@ -134,31 +140,87 @@ def _group_keys(cols: list[np.ndarray]) -> np.ndarray:
     return key
 
 
-def _open(codes: bytes, starts: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(word numbers, places where two phrases of k - 1 words overlap to one of k)."""
-    c = unpack(codes)
-    good = np.unpackbits(np.frombuffer(starts, np.uint8), count=len(c)).astype(bool)
-    return c, np.flatnonzero(good[:-1] & good[1:])
+def _overlaps(good: np.ndarray) -> np.ndarray:
+    """Places where a phrase starts and another at the next place."""
+    return np.flatnonzero(good[:-1] & good[1:])
 
 
-def _groups(k: int):
-    """R_{k-1} -> one row per phrase of k words and chunk: w1 .. wk, chunk, c."""
-    names = [f"w{j + 1}" for j in range(k)]
+def _halves(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of two to four words (each below 2^32) as two exact 64-bit numbers."""
+    c = [x.astype(np.uint64) for x in cols] + [np.zeros(len(cols[0]), np.uint64)] * (4 - len(cols))
+    return c[0] << np.uint64(32) | c[1], c[2] << np.uint64(32) | c[3]
 
-    def count(batches: Iterator[pa.RecordBatch]):
+
+class _Groups:
+    """The distinct phrases of k words of a chunk, ordered by (range, words): ``hi``, ``lo``, counts, ranges and
+    where their occurrences are. Ranges are cut by a hash of the words and hold about RANGE_GROUPS groups each."""
+
+    def __init__(self, row: dict, k: int, ranges: int):
+        self.codes = unpack(row["codes"])
+        good = np.unpackbits(np.frombuffer(row["starts"], np.uint8), count=len(self.codes)).astype(bool)
+        self.at = _overlaps(good)
+        self.ids = unpack_sorted(row["ids"])
+        cols = [self.codes[self.at + j] for j in range(k)]
+        _, one, inv, n = np.unique(_group_keys(cols), return_index=True, return_inverse=True, return_counts=True)
+        hi, lo = _halves([self.ids[c[one].astype(np.int64) - 1] for c in cols])
+        where = T.mix64(hi ^ T.mix64(lo)) % np.uint64(ranges)
+        order = np.lexsort((lo, hi, where))
+        self.hi, self.lo, self.n, self.range = hi[order], lo[order], n[order], where[order].astype(np.int64)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.group = rank[inv]
+        self.edges = np.concatenate([[0], np.flatnonzero(np.diff(self.range)) + 1, [len(order)]]) if len(order) else [0]
+
+
+def _send(k: int, ranges: int):
+    """R_{k-1} -> the groups of every chunk, one row per range in which it has some."""
+    def send(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             for r in b.to_pylist():
-                c, at = _open(r["codes"], r["starts"], k)
-                cols = [c[at + j] for j in range(k)]
-                _, one, n = np.unique(_group_keys(cols), return_index=True, return_counts=True)
-                ids = unpack_sorted(r["ids"]).astype(np.int64)
-                for s in range(0, len(one), 1 << 16):
-                    pick = one[s:s + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays(
-                        [*[pa.array(ids[x[pick].astype(np.int64) - 1]) for x in cols],
-                         pa.array(np.full(len(pick), r["chunk"], np.int64)), pa.array(n[s:s + (1 << 16)].astype(np.int64))],
-                        names=[*names, "chunk", "c"])
-    return count, ", ".join(f"{n} long" for n in names) + ", chunk long, c long"
+                g = _Groups(r, k, ranges)
+                rows = [(int(g.range[s]), r["chunk"], pack_sorted(g.hi[s:e]), pack(g.lo[s:e]) if k > 2 else b"",
+                         pack(g.n[s:e].astype(np.uint32))) for s, e in zip(g.edges[:-1], g.edges[1:])]
+                if rows:
+                    kind = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kind)],
+                                                     names=["range", "chunk", "hi", "lo", "n"])
+    return send
+
+
+def _count(k: int, min_count: int):
+    def count(sent: pa.Table) -> pa.Table:
+        """Groups of a range from all chunks -> frequent ones (chunk -1), and per chunk one bit for each it sent."""
+        hi = [unpack_sorted(x.as_py()) for x in sent["hi"]]
+        lo = [unpack(x.as_py()) for x in sent["lo"]] if k > 2 else [np.zeros(len(x), np.uint64) for x in hi]
+        n = np.concatenate([unpack(x.as_py()) for x in sent["n"]]).astype(np.int64)
+        ends = np.cumsum([len(x) for x in hi])
+        hi, lo = np.concatenate(hi), np.concatenate(lo)
+        order = np.lexsort((lo, hi))
+        new = np.concatenate([[True], (hi[order][1:] != hi[order][:-1]) | (lo[order][1:] != lo[order][:-1])])
+        total = np.add.reduceat(n[order], np.flatnonzero(new))
+        often = np.empty(len(hi), bool)
+        often[order] = (total >= min_count)[np.cumsum(new) - 1]
+        first = order[np.flatnonzero(new)][total >= min_count]
+        bits = [np.packbits(x).tobytes() for x in np.split(often, ends[:-1])]
+        rows = [(int(sent["range"][0].as_py()), -1, b"", hi[first].tobytes(), lo[first].tobytes(),
+                 total[total >= min_count].tobytes())]
+        rows += [(rows[0][0], c, x, b"", b"", b"") for c, x in zip(sent["chunk"].to_pylist(), bits)]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 2 + [pa.binary()] * 4)],
+                                    names=["range", "chunk", "often", "hi", "lo", "f"])
+    return count
+
+
+def _listed(k: int):
+    def listed(batches: Iterator[pa.RecordBatch]):
+        """Packed frequent groups -> w1 .. wk, f."""
+        for b in batches:
+            for r in b.to_pylist():
+                hi, lo = np.frombuffer(r["hi"], np.uint64), np.frombuffer(r["lo"], np.uint64)
+                w = [hi >> np.uint64(32), hi & np.uint64(0xFFFFFFFF), lo >> np.uint64(32), lo & np.uint64(0xFFFFFFFF)]
+                yield pa.RecordBatch.from_arrays([*[pa.array(x.astype(np.int64)) for x in w[:k]],
+                                                  pa.array(np.frombuffer(r["f"], np.int64))],
+                                                 names=[*[f"w{j + 1}" for j in range(k)], "f"])
+    return listed, ", ".join(f"w{j + 1} long" for j in range(k)) + ", f long"
 
 
 def _packed(chunk: int, ids: np.ndarray, c: np.ndarray, good: np.ndarray, k: int) -> pa.Table:
@@ -171,11 +233,11 @@ def _packed(chunk: int, ids: np.ndarray, c: np.ndarray, good: np.ndarray, k: int
     used, inv = np.unique(np.where(cover, c, 0)[keep], return_inverse=True)
     if not len(used) or used[0] != 0:
         used, inv = np.concatenate([np.zeros(1, used.dtype), used]), inv + 1
-    kind = [("chunk", pa.int64()), ("ids", pa.binary()), ("codes", pa.binary()), ("starts", pa.binary())]
+    kind = [("chunk", pa.int64()), ("ids", pa.binary()), ("codes", pa.binary()), ("starts", pa.binary()), ("next", pa.int64())]
     if len(used) == 1:
         return pa.Table.from_pylist([], pa.schema(kind))
     row = (chunk, pack_sorted(ids[used[1:].astype(np.int64) - 1].astype(np.uint64)), pack(inv.astype(np.uint32)),
-           np.packbits(good[keep]).tobytes())
+           np.packbits(good[keep]).tobytes(), len(_overlaps(good[keep])))
     return pa.Table.from_arrays([pa.array([v], t) for v, (_, t) in zip(row, kind)], names=[n for n, _ in kind])
 
 
@@ -192,22 +254,19 @@ def _first(chunks: pa.Table, words: pa.Table) -> pa.Table:
     return _packed(chunks["chunk"][0].as_py(), ids[order], c, c > 0, 1)
 
 
-def _next(k: int):
-    def semi(chunks: pa.Table, groups: pa.Table) -> pa.Table:
-        """Row of R_{k-1} and its frequent phrases of k words -> row of R_k."""
-        if not chunks.num_rows or not groups.num_rows:
+def _next(k: int, ranges: int):
+    def semi(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+        """Row of R_{k-1} and the answers to its groups of k words -> row of R_k."""
+        if not chunks.num_rows or not answers.num_rows:
             return _packed(0, np.empty(0), np.zeros(0, np.uint32), np.zeros(0, bool), k)
         r = chunks.to_pylist()[0]
-        c, at = _open(r["codes"], r["starts"], k)
-        ids = unpack_sorted(r["ids"]).astype(np.int64)
-        cols = []
-        for j in range(k):
-            of = np.searchsorted(ids, groups[f"w{j + 1}"].to_numpy()) + 1
-            cols.append(np.concatenate([c[at + j].astype(np.uint64), of.astype(np.uint64)]))
-        keys = _group_keys(cols)
-        good = np.zeros(len(c), bool)
-        good[at[np.isin(keys[:len(at)], keys[len(at):])]] = True
-        return _packed(r["chunk"], ids, c, good, k)
+        g = _Groups(r, k, ranges)
+        bits = dict(zip(answers["range"].to_pylist(), answers["often"].to_pylist()))
+        often = [np.unpackbits(np.frombuffer(bits[int(g.range[s])], np.uint8), count=e - s)
+                 for s, e in zip(g.edges[:-1], g.edges[1:])]
+        good = np.zeros(len(g.codes), bool)
+        good[g.at[np.concatenate(often).astype(bool)[g.group]]] = True
+        return _packed(r["chunk"], g.ids, g.codes, good, k)
     return semi
 
 
@@ -231,7 +290,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", mi
                      max_words: int = MAX_WORDS, chunk_words: int = CHUNK_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(phrases: k, w1 .. wmax, f; words: lang, word, id; totals: lang, n).
 
-    ``w`` are the numbers of words (-1 beyond k); phrases of one word are those with k = 1.
+    ``w`` are the numbers of words (-1 beyond k); phrases of one word are those with k = 1; ``max_words`` is 2 to 4.
     """
     spark = docs.sparkSession
     tables = _Tables(spark)
@@ -241,21 +300,24 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", mi
     totals = tables.keep(r0.select(F.explode("totals").alias("x")).groupBy("x.lang").agg(F.sum("x.c").alias("n")), "totals")
     groups = r0.select("chunk", F.posexplode("words").alias("place", "x")).select("chunk", (F.col("place") + 1).alias("place"), "x.*")
     words = (groups.groupBy("lang", "word").agg(F.sum("c").alias("f")).where(F.col("f") >= min_count)
-             .withColumn("id", F.monotonically_increasing_id()))
-    words = tables.keep(words, "words")  # the numbers are fixed from here on
+             .withColumn("made", F.monotonically_increasing_id()))
+    words = _numbered(tables.keep(words, "words"))
     places = groups.join(words, ["lang", "word"]).select(F.col("chunk").alias("home"), F.col("place").cast("long").alias("place"), "id")
     rk = tables.keep(r0.select("chunk", "codes").groupBy("chunk").cogroup(places.groupBy("home")).applyInArrow(_first, RK), "r1")
     tables.drop("r0")
     none = [F.lit(-1).cast("long").alias(f"w{j + 1}") for j in range(max_words)]
     out = [words.select(F.lit(1).alias("k"), F.col("id").alias("w1"), *none[1:], "f")]
     for k in range(2, max_words + 1):
-        count, schema = _groups(k)
         w = [f"w{j + 1}" for j in range(k)]
-        found = rk.mapInArrow(count, schema).withColumn("f", F.sum("c").over(Window.partitionBy(*w)))
-        found = tables.keep(found.where(F.col("f") >= min_count).select(*w, "chunk", "f"), f"g{k}")
-        out.append(found.groupBy(*w).agg(F.max("f").alias("f")).select(F.lit(k).alias("k"), *w, *none[k:], "f"))
+        ranges = 1 + (rk.agg(F.sum("next")).first()[0] or 0) // RANGE_GROUPS
+        counted = rk.mapInArrow(_send(k, ranges), SENT).groupBy("range").applyInArrow(_count(k, min_count), COUNTED)
+        counted = tables.keep(counted, f"g{k}")
+        listed, schema = _listed(k)
+        found = counted.where("chunk = -1").select("hi", "lo", "f").mapInArrow(listed, schema)
+        out.append(found.select(F.lit(k).alias("k"), *w, *none[k:], "f"))
         if k < max_words:
-            following = rk.groupBy("chunk").cogroup(found.select(F.col("chunk").alias("home"), *w).groupBy("home")).applyInArrow(_next(k), RK)
+            answers = counted.where("chunk >= 0").select(F.col("chunk").alias("home"), "range", "often")
+            following = rk.groupBy("chunk").cogroup(answers.groupBy("home")).applyInArrow(_next(k, ranges), RK)
             following = tables.keep(following, f"r{k}")
             tables.drop(f"r{k - 1}")
             rk = following
@@ -263,6 +325,21 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", mi
     return tables.keep(reduce(DataFrame.unionByName, out), "phrases"), words, totals
 
 
+def _numbered(words: DataFrame) -> DataFrame:
+    """Word numbers from 0 without gaps, from the numbers made per partition of the stored table."""
+    part = F.shiftright("made", 33)
+    sizes = sorted(words.groupBy(part.alias("p")).count().collect())  # one row per partition
+    starts, at = [], 0
+    for p, n in sizes:
+        starts.append((p, at))
+        at += n
+    if at >= 1 << 32:
+        raise ValueError("more than 2^32 frequent words")
+    starts = F.broadcast(words.sparkSession.createDataFrame(starts, "p long, at long"))  # one row per partition
+    return words.withColumn("p", part).join(starts, "p").select(
+        "lang", "word", "f", (F.col("made") - F.shiftleft("p", 33) + F.col("at")).alias("id"))
+
+
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", min_count: int = MIN_COUNT,
                  max_words: int = MAX_WORDS, top: int = TOP, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """The ``top`` phrases of each language: lang, rank, phrase, a, l, r, n, score."""
