@@ -29,6 +29,7 @@ import os
 import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -43,7 +44,7 @@ from .common import app_dir, materialize, partitions
 
 FILE_TOKENS = 1 << 26
 #: Distinct words that a worker keeps; passed, the cache starts anew after the piece.
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 20
 #: Distinct words encoded by one call.
 CALL_WORDS = 1024
 #: Ids that a reader hands on at once.
@@ -77,7 +78,9 @@ class Encoder:
         self.end_id, self.by_words = end_id, by_words
         added = [(x["content"], x["id"]) for x in json.loads(tokenizer).get("added_tokens", []) if x.get("special")]
         self.mark = added[0] if added else None
-        self.specials = [c for c, _ in added]
+        self.specials = [c.encode() for c, _ in added]
+        upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        self.fold = by_words and self.tok.normalizer is not None and self.tok.normalizer.normalize_str(upper) == upper.lower()
         self._clear()
 
     def _clear(self):
@@ -102,19 +105,24 @@ class Encoder:
 
     def _learn(self) -> None:
         """Encodes the words that wait, in order."""
-        new, self.codes.new = [w.decode() for w in self.codes.new], []
+        new, self.codes.new = self.codes.new, []
         for i in range(0, len(new), CALL_WORDS):
             group = new[i:i + CALL_WORDS]
-            joined = self.mark[0].join(group) if self.mark else ""
+            joined = self.mark[0].encode().join(group) if self.mark else b""
             if self.mark and sum(joined.count(s) for s in self.specials) == len(group) - 1:
-                ids = np.array(self.tok.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+                ids = np.array(self.tok.encode_batch_fast([joined.decode()], add_special_tokens=False)[0].ids, np.uint32)
                 cut = np.flatnonzero(ids == self.mark[1])
                 sizes = np.diff(cut, prepend=-1, append=len(ids)) - 1
                 self._keep(ids[ids != self.mark[1]], sizes)
             else:  # a word that holds a special token, or a tokenizer without one
-                each = [e.ids for e in self.tok.encode_batch_fast(group, add_special_tokens=False)]
+                each = self._whole(group)
                 self._keep(np.array([x for e in each for x in e], np.uint32), np.array([len(e) for e in each], np.int64))
 
+    def _folded(self, part: bytes) -> bytes:
+        """An ASCII text in lower case, for tokenizers that lower it themselves; special tokens stay as they are."""
+        low = part.lower() if part.isascii() else part
+        return part if any(s in low for s in self.specials) else low
+
     def _whole(self, parts: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
 
@@ -123,9 +131,9 @@ class Encoder:
         if not self.by_words:
             each = [e + [self.end_id] for e in self._whole(parts)]
             return np.array([x for e in each for x in e], np.uint32), np.array([len(e) for e in each], np.int64)
-        words = [p.split() for p in parts]
+        words = [(self._folded(p) if self.fold else p).split() for p in parts]
         n = np.array([len(w) for w in words], np.int64)
-        code = np.fromiter((x for w in words for x in map(self.codes.__getitem__, w)), np.int64, int(n.sum()))
+        code = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum()))
         if self.codes.new:
             self._learn()
         sizes = self.size[code]

@@ -59,7 +59,8 @@ def test_small_files_and_random_access(spark, tok):
 
 def test_special_tokens_and_odd_characters(spark, tok):
     texts = ["a<|endoftext|>b <|startoftext|>", "<|endoftext|>", "x y ́accent é ΣΑΣ ẞ", "  it's I'LL \x1c\x85",
-             "don't" * 50, "\U0001f600\U0001f600 zz", "a\x00b", "12 3٣"]
+             "don't" * 50, "\U0001f600\U0001f600 zz", "a\x00b", "12 3٣",
+             "A <|ENDOFTEXT|> B", "UPPER Lower uPPER", "H\u0331 h\u0331 A\u030a"]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     assert sorted(map(tuple, K.token_report(d, PATH).collect())) == expected(tok, in_order(d))
 
