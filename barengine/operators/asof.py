@@ -1,80 +1,61 @@
 """As-of join (J2), exogenous spread (J3), exogenous mapping.
 
-Spark has no DataFrame as-of join. This one is a bucketed equi-join: both
-sides are cut into time buckets (``bucket_unit``), and
+Spark has no DataFrame as-of join. This one merges both sides into one series
+per key, ordered by time with right rows before left rows of the same time, on the
+blocked layout of ``series``: rows are numbered, cut into blocks of a fixed number
+of rows, and every row gets the last right row at or before it: the last one in
+its block, else the last one of the blocks before (one row per block is carried).
+No row ever holds more than one right row, and no task more than one block,
+however many left or right rows share a key or a time bucket's length of time.
 
-1. the right side is reduced to one row per (key, bucket): its rows in time
-   order (a short list, bounded by the right series' density in one bucket);
-2. a table of (key, bucket) pairs — the buckets the left side needs and the
-   buckets the right side has, one row each — gets, per left bucket, the last
-   right row of any earlier bucket (a window over that small table: a key
-   has at most one row per bucket of the covered range);
-3. every left row is equi-joined on (key, bucket) to its bucket's right rows
-   and carry, and takes the last right row with ts <= its own ts, else the
-   carry.
-
-Left rows are never grouped, sorted or numbered, so any number of left
-series may share one right series (one key holding a third of all left rows
-costs nothing extra); AQE broadcasts the per-bucket table when it is small
-and splits skewed join partitions otherwise. An equal timestamp matches; no
-tolerance; a right row whose value is NULL is still the match and its NULL
-is kept (values travel as one struct).
+An equal timestamp matches; no tolerance; a right row whose value is NULL is
+still the match and its NULL is kept (values travel as one struct). Right rows
+without a time match nothing, left rows without one have no match. Of right rows
+with the same key and time the last by ``order`` counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import series
+
 
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str] | None = None,
               values: Sequence[str] = ("close",), ts: str = "ts", prefix: str = "exo_",
               left_by: Sequence[str] | None = None, right_by: Sequence[str] | None = None,
-              bucket_unit: str = "hour") -> DataFrame:
+              bucket_unit: str = "hour", order: Sequence[str] = (), block_rows: int | None = None) -> DataFrame:
     """For every left row, ``values`` of the newest right row with
     right.ts <= left.ts and equal key; NULL when there is none.
 
     ``by`` names key columns present on both sides (or give ``left_by`` /
-    ``right_by`` pairwise); no key = one global right series. Output: all
-    left columns plus ``prefix + value`` and ``prefix + ts``.
+    ``right_by`` pairwise); no key = one global right series; a NULL key equals a NULL key. ``bucket_unit`` is the
+    stretch of time whose rows are numbered together: choose it so that a key has at most some
+    million rows in one (``minute`` for dense ticks). Output: all left columns plus ``prefix + value`` and ``prefix + ts``.
     """
     lb = list(left_by if left_by is not None else (by or []))
     rb = list(right_by if right_by is not None else (by or []))
     kn = [f"_aj_k{i}" for i in range(len(lb))] or ["_aj_k0"]
     lk = [F.col(c).alias(k) for c, k in zip(lb, kn)] or [F.lit(0).alias("_aj_k0")]
     rk = [F.col(c).alias(k) for c, k in zip(rb, kn)] or [F.lit(0).alias("_aj_k0")]
-    lcols = left.columns
-    L = left.select("*", *lk, F.date_trunc(bucket_unit, F.col(ts)).alias("_aj_b"))
-    v = F.struct(*[F.col(c).alias(c) for c in values], F.col(ts).alias(ts))
-    R = right.select(*rk, F.col(ts).alias("_aj_ts"), v.alias("_aj_v"),
-                     F.date_trunc(bucket_unit, F.col(ts)).alias("_aj_b"))
-    # 1. right rows per bucket, in time order
-    rows = R.groupBy(*kn, "_aj_b").agg(
-        F.sort_array(F.collect_list(F.struct("_aj_ts", "_aj_v"))).alias("_aj_rows"))
-    # 2. carry: last right row of an earlier bucket, for every bucket either side has
-    need = L.select(*kn, "_aj_b").distinct()
-    u = (need.select(*kn, "_aj_b", F.lit(0).alias("_aj_side"), F.lit(None).cast(rows.schema["_aj_rows"].dataType
-                                                                              .elementType).alias("_aj_last"))
-         .unionByName(rows.select(*kn, "_aj_b", F.lit(1).alias("_aj_side"),
-                                  F.element_at("_aj_rows", -1).alias("_aj_last"))))
-    w = Window.partitionBy(*kn).orderBy("_aj_b", "_aj_side").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (u.withColumn("_aj_carry", F.last("_aj_last", ignorenulls=True).over(w))
-             .where(F.col("_aj_side") == 0).select(*kn, "_aj_b", "_aj_carry"))
-    per_bucket = carry.join(rows, [*kn, "_aj_b"], "left")
-    # Fresh names on the bucket side: no column of the join condition can
-    # resolve to the left side's own attributes.
-    pb = per_bucket.select(*[F.col(k).alias(k + "_r") for k in kn], F.col("_aj_b").alias("_aj_br"),
-                           "_aj_carry", "_aj_rows")
-    # 3. equi-join and pick
-    cond = F.col("_aj_b") == F.col("_aj_br")
-    for k in kn:
-        cond = cond & F.col(k).eqNullSafe(F.col(k + "_r"))
-    j = L.join(pb, cond, "left")
-    inside = F.try_element_at(F.filter("_aj_rows", lambda r: r["_aj_ts"] <= F.col(ts)), F.lit(-1))
-    m = F.coalesce(inside, F.col("_aj_carry"))["_aj_v"]
-    return j.select(*[F.col(c) for c in lcols], *[m[c].alias(prefix + c) for c in values], m[ts].alias(prefix + ts))
+    values = list(dict.fromkeys([*values, ts]))
+    L = left.select(*lk, F.col(ts).alias("_aj_ts"), F.lit(1).alias("_aj_side"),
+                    F.struct(*[F.col(f"`{c}`").alias(c) for c in left.columns]).alias("_aj_row"))
+    R = right.where(F.col(ts).isNotNull()).select(
+        *rk, F.col(ts).alias("_aj_ts"), F.lit(0).alias("_aj_side"),
+        F.struct(*[F.col(c).alias(c) for c in values]).alias("_aj_v"),
+        *[F.col(c).alias(f"_aj_o{i}") for i, c in enumerate(order)])
+    ties = [f"_aj_o{i}" for i in range(len(order))]
+    both = L.unionByName(R, allowMissingColumns=True)
+    both = series.number_rows(both, kn, ["_aj_ts", "_aj_side", *ties], bucket_unit)
+    both = series.running(both, kn, {"_aj_m": ("last", F.col("_aj_v"))}, block_rows)
+    out = both.where(F.col("_aj_side") == 1)
+    m = F.col("_aj_m")
+    return out.select(*[F.col("_aj_row")[c].alias(c) for c in left.columns],
+                      *[m[c].alias(prefix + c) for c in values if c != ts], m[ts].alias(prefix + ts))
 
 
 def exogenous_spread(left: DataFrame, exo: DataFrame, by: Sequence[str] | None = None,

@@ -79,6 +79,11 @@ def _after(k: int, e: Column) -> Column:
     return F.when(F.col(RN) >= k, e)
 
 
+def _part(change: Column) -> Column:
+    """The part of a change above 0; NULL stays NULL."""
+    return F.when(change.isNotNull(), F.greatest(change, F.lit(0.0)))
+
+
 class _Level:
     def __init__(self):
         self.stages: list[dict[str, Callable[[Ctx], Column]]] = [{}, {}]
@@ -170,11 +175,12 @@ def _plan(names: set[str]) -> list[_Level]:
         if "natr" in names:
             L[0].post["natr"] = lambda: _after(W, safe_div(F.col("_atr") * 100.0, F.col("close")))
     if need_rsi:
-        L[0].win(1, "_up", lambda ctx: F.greatest(F.col("_chg"), F.lit(0.0)), 1)
-        L[0].win(1, "_dn", lambda ctx: F.greatest(-F.col("_chg"), F.lit(0.0)), 1)
+        # a missing change is a gap, not a change of 0 (greatest skips NULL)
+        L[0].win(1, "_up", lambda ctx: _part(F.col("_chg")), 1)
+        L[0].win(1, "_dn", lambda ctx: _part(-F.col("_chg")), 1)
         # seeds use the raw change (stage 1 columns are not visible to each other)
-        L[0].win(1, "_up0", lambda ctx: F.avg(F.greatest(F.col("_chg"), F.lit(0.0))).over(ctx.frame(W)), W + 1)
-        L[0].win(1, "_dn0", lambda ctx: F.avg(F.greatest(-F.col("_chg"), F.lit(0.0))).over(ctx.frame(W)), W + 1)
+        L[0].win(1, "_up0", lambda ctx: F.avg(_part(F.col("_chg"))).over(ctx.frame(W)), W + 1)
+        L[0].win(1, "_dn0", lambda ctx: F.avg(_part(-F.col("_chg"))).over(ctx.frame(W)), W + 1)
         L[0].specs["_au"] = lambda: wilder_avg_spec(F.col("_up"), F.col("_up0"), W, W)
         L[0].specs["_ad"] = lambda: wilder_avg_spec(F.col("_dn"), F.col("_dn0"), W, W)
         if names & {"rsi", "stochrsi"}:
@@ -196,11 +202,11 @@ def _plan(names: set[str]) -> list[_Level]:
     if need_dm:
         def pdm(ctx):
             up, dn = F.col("_pdm0"), F.col("_mdm0")
-            return F.when((up > dn) & (up > 0), up).otherwise(F.lit(0.0))
+            return F.when(up.isNull() | dn.isNull(), F.when(F.col(RN) == 0, 0.0)).when((up > dn) & (up > 0), up).otherwise(F.lit(0.0))
 
         def mdm(ctx):
             up, dn = F.col("_pdm0"), F.col("_mdm0")
-            return F.when((dn > up) & (dn > 0), dn).otherwise(F.lit(0.0))
+            return F.when(up.isNull() | dn.isNull(), F.when(F.col(RN) == 0, 0.0)).when((dn > up) & (dn > 0), dn).otherwise(F.lit(0.0))
         L[0].win(1, "_pdm", pdm, 1)
         L[0].win(1, "_mdm", mdm, 1)
         pdm_raw = F.when((F.col("_pdm0") > F.col("_mdm0")) & (F.col("_pdm0") > 0), F.col("_pdm0"))

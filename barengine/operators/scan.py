@@ -1,23 +1,25 @@
 """Affine scan  y_t = a_t * y_{t-1} + b_t  per series, in blocks.
 
 Spark has no recursive window function. The scan is split the same way as
-every other series operator:
-
-1. each block of ``block_rows`` consecutive rows is folded into one affine
-   map (A, B) = (prod a, scan of b from 0) by a grouped pandas function
-   over (series, block); only the narrow columns (keys, block, _rn, a, b)
-   are shuffled for this;
-2. the block maps form a much shorter series of the same kind (a block is
-   one "row" with a = A, b = B), which is scanned by the same procedure one
-   level up, until a level has at most ``block_rows`` rows per series and is
-   scanned in one group per series (the number of levels is read from the
-   longest series once);
-3. each block is scanned again with its carry-in (the scanned value at the
-   end of the block before) by a cogrouped pandas function; every original
-   column passes through, so no join back is needed.
-
-No task holds more than one block; the Python loop is per block and touches
-each row twice. Several recurrences (``specs``) run in the same passes.
+every other series operator. A row is a map y -> a*y + b, and maps compose to
+maps, so any stretch of rows folds into one map. A row whose ``a`` or ``b`` is
+NULL is a *gap*: its map is the identity, so the state is carried over it, and its own
+output is NULL.
+
+1. each block of ``block_rows`` consecutive rows is folded into one map
+   (A, B); only the narrow columns (keys, block, _rn, a, b) are shuffled for this;
+2. the block maps of a series, one row per block, are scanned in one group;
+3. each block is scanned again from its carry-in (the value at the end of
+   the block before) by a cogrouped function; every original column passes
+   through, so no join back is needed.
+
+Inside a group maps are composed by doubling (each pass composes every map
+with the one 1, 2, 4, ... places before), log2(rows) passes over whole NumPy arrays and no
+loop over rows. Composition only multiplies and adds, so it is as stable as the
+recurrence, also where products of ``a`` reach 0. The same three steps run for series of every
+length. A task holds one block; step 2 holds rows / block_rows maps of a
+series (65,536 for a series of 4 * 10^9 rows). Several recurrences
+(``specs``) run in the same passes.
 
 Steps 1 and 3 both read the input, and chained averages (EMA of EMA) feed
 one scan into the next, so the input is first written as a table under the
@@ -29,119 +31,91 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .series import BLK, RN, _rows, block_of
+from ..session import materialize
+from .series import BLK, RN, block_of
 
 
+def compose(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maps of all prefixes: (A, B) with y_t = A_t * y_{-1} + B_t."""
+    a, b = a.copy(), b.copy()
+    step = 1
+    while step < len(a):
+        b[step:] = a[step:] * b[:-step] + b[step:]
+        a[step:] = a[step:] * a[:-step]
+        step *= 2
+    return a, b
 
-def _loop(a, b, y):
-    out = [0.0] * len(a)
-    for i in range(len(a)):
-        y = a[i] * y + b[i]
-        out[i] = y
-    return out
+
+def _maps(t: pa.Table, a: str, b: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, gap) of a table's rows; a gap is the identity, a NaN stays a NaN."""
+    gap = np.asarray(t[a].is_null()) | np.asarray(t[b].is_null())
+    x = np.where(gap, 1.0, t[a].to_numpy(zero_copy_only=False))
+    return x, np.where(gap, 0.0, t[b].to_numpy(zero_copy_only=False)), gap
+
+
+def _ordered(t: pa.Table) -> pa.Table:
+    return t.take(pa.array(np.argsort(t[RN].to_numpy(), kind="stable")))
 
 
 def _fold_fn(names: list[str], keys: list[str]):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(RN)
-        row = {k: [pdf[k].iloc[0]] for k in keys + [BLK]}
+    def fold(t: pa.Table) -> pa.Table:
+        t = _ordered(t)
+        cols = {k: t[k].slice(0, 1) for k in (*keys, BLK)}
         for n in names:
-            a = pdf[f"_sa_{n}"].tolist()
-            b = pdf[f"_sb_{n}"].tolist()
-            y, prod = 0.0, 1.0
-            for i in range(len(a)):
-                y = a[i] * y + b[i]
-                prod *= a[i]
-            row[f"_A_{n}"] = [prod]
-            row[f"_B_{n}"] = [y]
-        return pd.DataFrame(row)
+            a, b = compose(*_maps(t, f"_sa_{n}", f"_sb_{n}")[:2])
+            cols |= {f"_A_{n}": pa.array(a[-1:]), f"_B_{n}": pa.array(b[-1:])}
+        return pa.table(cols)
     return fold
 
 
-def _apply_fn(names: list[str], out_cols: list[str]):
-    def apply(pdf: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty:  # a carry past the last block: keep the input's dtypes
-            return pdf.assign(**{n: pd.Series(dtype="float64") for n in names})[out_cols]
-        pdf = pdf.sort_values(RN)
+def _carry_fn(names: list[str], keys: list[str]):
+    """Maps of the blocks of a series -> value before each block but the first."""
+    def carry(t: pa.Table) -> pa.Table:
+        t = t.take(pa.array(np.argsort(t[BLK].to_numpy(), kind="stable")))
+        cols = {k: t[k] for k in keys} | {BLK: pa.array(t[BLK].to_numpy() + 1)}
         for n in names:
-            y0 = float(carry[f"_c_{n}"].iloc[0]) if len(carry) else 0.0
-            pdf[n] = _loop(pdf[f"_sa_{n}"].tolist(), pdf[f"_sb_{n}"].tolist(), y0)
-        return pdf[out_cols]
-    return apply
+            cols[f"_c_{n}"] = pa.array(compose(t[f"_A_{n}"].to_numpy(), t[f"_B_{n}"].to_numpy())[1])
+        return pa.table(cols)
+    return carry
 
 
-def _full_fn(names: list[str], out_cols: list[str]):
-    def full(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(RN)
+def _apply_fn(names: list[str], columns: list[str]):
+    def apply(t: pa.Table, carry: pa.Table) -> pa.Table:
+        t = _ordered(t).select(columns) if t.num_rows else t.select(columns)
         for n in names:
-            pdf[n] = _loop(pdf[f"_sa_{n}"].tolist(), pdf[f"_sb_{n}"].tolist(), 0.0)
-        return pdf[out_cols]
-    return full
-
-
-def _materialize(df: DataFrame) -> DataFrame:
-    from ..session import materialize
-    return materialize(df, "scan")
-
-
-def _levels_needed(longest: int, block_rows: int) -> int:
-    levels, n = 0, longest
-    while n > block_rows:
-        n = -(-n // block_rows)
-        levels += 1
-    return levels
+            a, b, gap = _maps(t, f"_sa_{n}", f"_sb_{n}")
+            a, b = compose(a, b)
+            y = a * carry[f"_c_{n}"][0].as_py() + b if carry.num_rows and len(a) else b
+            t = t.append_column(n, pa.array(y, pa.float64(), mask=gap | np.isnan(y)))
+        return t
+    return apply
 
 
 def affine_scan(df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[Column, Column]],
-                block_rows: int | None = None, _levels: int | None = None) -> DataFrame:
+                block_rows: int | None = None) -> DataFrame:
     """Add one column per spec: name -> (a, b); input needs ``_rn``.
 
-    ``y_{-1} = 0``; a seed row is a row with a = 0 and b = seed. ``a`` and
-    ``b`` must be non-NULL (use 0 before the seed and mask the output).
-    The number of block levels follows from the longest series (one small
-    aggregate over the materialized input): a series that fits in one block
-    is scanned in one group, longer ones get ceil(log_B(rows)) - 1 levels.
+    ``y_{-1} = 0``; a seed row is a row with a = 0 and b = seed. A row with a NULL ``a`` or ``b``
+    is a gap: its output is NULL and the next row goes on from the state before it. A NaN
+    reaches all later rows, which are NULL then (NaN does not leave the library).
     """
-    keys = list(keys)
-    names = list(specs)
-    B = _rows(block_rows)
-    d = df.select("*", *[x for n in names for x in (
-        F.coalesce(specs[n][0].cast("double"), F.lit(0.0)).alias(f"_sa_{n}"),
-        F.coalesce(specs[n][1].cast("double"), F.lit(0.0)).alias(f"_sb_{n}"))])
-    sa = [f"_sa_{n}" for n in names]
-    sb = [f"_sb_{n}" for n in names]
-    if _levels is None:
-        d = _materialize(d)
-        longest = d.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        _levels = _levels_needed(int(longest), B)
-    # pandas returns a NaN as NULL, so every column may be NULL on the way back
-    fields = [T.StructField(f.name, f.dataType) for f in d.schema.fields]
-    out_schema = T.StructType(fields + [T.StructField(n, T.DoubleType()) for n in names])
-    out_cols = [f.name for f in out_schema.fields]
-    if _levels == 0:
-        # every series has at most B rows here: one bounded group per series
-        res = d.groupBy(*keys).applyInPandas(_full_fn(names, out_cols), out_schema)
-        return res.drop(*sa, *sb)
-    d = d.withColumn(BLK, block_of(F.col(RN), B))
-    narrow = d.select(*keys, BLK, RN, *sa, *sb)
-    kfields = [d.schema[k] for k in keys]
-    map_schema = T.StructType(kfields + [T.StructField(BLK, T.LongType())] +
-                              [T.StructField(f"_{x}_{n}", T.DoubleType()) for n in names for x in ("A", "B")])
-    maps = narrow.groupBy(*keys, BLK).applyInPandas(_fold_fn(names, keys), map_schema)
-    lvl = maps.withColumnRenamed(BLK, RN)
-    # pandas hands a NaN back as NULL; it stays NaN, so a gap reaches all later blocks
-    nan = F.lit(float("nan"))
-    ends = affine_scan(lvl, keys, {n: (F.coalesce(F.col(f"_A_{n}"), nan), F.coalesce(F.col(f"_B_{n}"), nan))
-                                   for n in names}, B, _levels - 1)
-    carry = ends.select(*keys, (F.col(RN) + 1).alias(BLK), *[F.col(n).alias(f"_c_{n}") for n in names])
-    fields = [T.StructField(f.name, f.dataType) for f in d.schema.fields]
-    full_schema = T.StructType(fields + [T.StructField(n, T.DoubleType()) for n in names])
-    full_cols = [f.name for f in full_schema.fields]
-    res = (d.groupBy(*keys, BLK).cogroup(carry.groupBy(*keys, BLK))
-           .applyInPandas(_apply_fn(names, full_cols), full_schema))
-    return res.drop(*sa, *sb, BLK)
+    keys, names = list(keys), list(specs)
+    d = df.select("*", block_of(F.col(RN), block_rows).alias(BLK), *[x for n in names for x in (
+        specs[n][0].cast("double").alias(f"_sa_{n}"), specs[n][1].cast("double").alias(f"_sb_{n}"))])
+    d = materialize(d, "scan")
+    kfields = [d.schema[k] for k in keys] + [T.StructField(BLK, T.LongType())]
+    doubles = lambda *cols: [T.StructField(c, T.DoubleType()) for c in cols]
+    narrow = d.select(*keys, BLK, RN, *[f"_s{x}_{n}" for n in names for x in "ab"])
+    maps = narrow.groupBy(*keys, BLK).applyInArrow(
+        _fold_fn(names, keys), T.StructType(kfields + doubles(*[f"_{x}_{n}" for n in names for x in "AB"])))
+    carry = maps.groupBy(*keys).applyInArrow(
+        _carry_fn(names, keys), T.StructType(kfields + doubles(*[f"_c_{n}" for n in names])))
+    out = T.StructType(d.schema.fields + doubles(*names))
+    res = d.groupBy(*keys, BLK).cogroup(carry.groupBy(*keys, BLK)).applyInArrow(_apply_fn(names, d.columns), out)
+    return res.drop(BLK, *[f"_s{x}_{n}" for n in names for x in "ab"])

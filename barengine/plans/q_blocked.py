@@ -10,12 +10,12 @@ from __future__ import annotations
 from functools import wraps
 
 from ..operators import series
-from . import q_backtest, q_candles, q_features, q_indicators, q_labels, q_recursive  # noqa: F401  (register the originals)
+from . import q_backtest, q_candles, q_features, q_indicators, q_labels, q_learn, q_recursive  # noqa: F401  (register the originals)
 from .registry import ORACLES, QUERIES, QueryFn
 
 BLOCK_ROWS = 128
 TWINS = ("label_t3", "embedding_64", "linreg", "obv", "candles", "ema", "t3", "kama", "adx", "positions_fills",
-         "equity_curve")
+         "equity_curve", "ema_with_gaps", "rsi_with_gaps", "asof_spread", "asof_ticks_hot_key", "cv_fold_metrics")
 
 
 def _twin(fn: QueryFn) -> QueryFn:

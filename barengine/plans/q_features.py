@@ -112,6 +112,20 @@ def asof_spread(spark, sf):
     return asof.exogenous_spread(left, exo).select("symbol", "ts", "close", "exo_close", "exo_ts", "exo_spread")
 
 
+@register("asof_ticks_hot_key", f"""
+WITH l AS (SELECT CASE WHEN symbol IN ('click', 'view') THEN 'hot' ELSE symbol END AS k, symbol, ts, close FROM ({_H}) h),
+r AS (SELECT CASE WHEN symbol IN ('click', 'view') THEN 'hot' ELSE symbol END AS k, tick_ts, max(seq) AS seq, arg_max(price, seq) AS price
+  FROM ({S.TICKS_EVENTS}) t GROUP BY ALL)
+SELECT l.symbol, l.ts, {r6('l.close')} AS close, {r6('r.price')} AS last_price, r.seq AS last_seq, r.tick_ts AS last_ts
+FROM l ASOF LEFT JOIN r ON l.k = r.k AND l.ts >= r.tick_ts""")
+def asof_ticks_hot_key(spark, sf):
+    """Hour bars against the newest tick of their key; one key has the ticks of two symbols."""
+    k = F.when(F.col("symbol").isin("click", "view"), "hot").otherwise(F.col("symbol")).alias("k")
+    left = event_bars(spark, sf).select("symbol", "ts", "close", k)
+    ticks = adapters.ticks_events(spark, sf).select(k, "ts", "seq", "price")
+    return asof.asof_join(left, ticks, by=["k"], values=("price", "seq"), prefix="last_", order=("seq",)).drop("k")
+
+
 _MAP = [("click", "purchase"), ("view", "purchase"), ("signup", "error")]
 _MAP_SQL = ", ".join(f"('{a}', '{b}')" for a, b in _MAP)
 

@@ -19,7 +19,7 @@ from ..operators.indicators.base import safe_div
 from . import sql as S
 from .output import r6
 from .registry import register
-from .inputs import event_bars
+from .inputs import event_bars, user_bars
 
 FEATURES = ["f0", "f1", "f2"]
 LABEL = "y"
@@ -117,7 +117,99 @@ def mse_by_symbol(spark, sf):
         LR.mse(F.col("y").cast("double"), F.col("m.pred")).alias("mse"), F.count(F.lit(1)).alias("n"))
 
 
-@register("linear_gd_weights")
+N_WIDE = 64
+
+
+def _wide(spark, sf):
+    """64 lagged returns of user-level hour bars and the next return, clipped to [-1, 1], per split."""
+    bars = user_bars(spark, sf).where(F.length("symbol") == 2)
+    n = series.number_rows(bars.select("symbol", "ts", "close"), ["symbol"], with_length=True)
+    ret = lambda w: {"_c": F.lag("close").over(w), "_d": F.lead("close").over(w)}
+
+    def clip(x):
+        return F.greatest(F.least(x, F.lit(1.0)), F.lit(-1.0))
+
+    def change(w):
+        return {"_r": F.coalesce(clip(F.col("close") / F.nullif(F.col("_c"), F.lit(0.0)) - 1), F.lit(0.0)),
+                "y": F.coalesce(clip(F.col("_d") / F.nullif(F.col("close"), F.lit(0.0)) - 1), F.lit(0.0))}
+    d = series.staged(n, ["symbol"], [ret, change, lambda w: {
+        f"x{i}": F.coalesce(F.lag("_r", i).over(w), F.lit(0.0)) if i else F.col("_r") for i in range(N_WIDE)}],
+        back=N_WIDE, fwd=1, numbered=True, keep_rn=True)
+    return DS.train_val_split(d, 0.8)
+
+
+@register("gram_matrix_wide", f"""
+WITH b AS (SELECT symbol, ts, close, row_number() OVER w - 1 AS rn, count(*) OVER (PARTITION BY symbol) AS n,
+    coalesce(greatest(least(close / nullif(lag(close) OVER w, 0) - 1, 1.0), -1.0), 0.0) AS r,
+    coalesce(greatest(least(lead(close) OVER w / nullif(close, 0) - 1, 1.0), -1.0), 0.0) AS y
+  FROM ({S.bars('1 hour', S.TICKS_USERS)}) h WHERE length(symbol) = 2 WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+l AS (SELECT *, list(r) OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN {N_WIDE - 1} PRECEDING AND CURRENT ROW) AS x FROM b),
+z AS (SELECT CASE WHEN rn < floor(n * 0.8) THEN 'train' ELSE 'val' END AS split, list_concat(
+    list_transform(range({N_WIDE}), lambda i: CASE WHEN i <= rn THEN x[len(x) - i] ELSE 0.0 END), [y, 1.0]) AS z FROM l)
+SELECT split, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, {r6('sum(z[i + 1] * z[j + 1])')} AS v
+FROM z, range({N_WIDE + 2}) a(i), range({N_WIDE + 2}) c(j) WHERE i <= j GROUP BY ALL""")
+def gram_matrix_wide(spark, sf):
+    """A20 for 64 features: the cells of [X, y, 1]ᵀ[X, y, 1] per split."""
+    return LR.gram_cells(_wide(spark, sf), [f"x{i}" for i in range(N_WIDE)], "y", ["split"])
+
+
+# Fixed configuration: trials of the cross-validated study.
+TRIALS = [{"lr": 0.05, "epochs": 20}, {"lr": 0.2, "epochs": 40}, {"lr": 0.5, "epochs": 60}, {"lr": 0.5, "epochs": 5}]
+_SUMS = ", ".join([f"sum(f{i} * f{j}) AS g{i}{j}" for i in range(K) for j in range(i, K)] +
+                  [f"sum(f{i} * y) AS b{i}" for i in range(K)] + ["sum(y * y) AS yy", "count(*) AS n"])
+
+
+def _cell(i, j):
+    return f"g{min(i, j)}{max(i, j)}"
+
+
+def _gd_sql(stats: str, runs: str, by: list[str]) -> str:
+    """Recursive CTE gd(run columns, e, w0..w2): gradient descent from the sums in ``stats``; runs has lr, epochs, scale."""
+    step = ", ".join(f"w{i} - lr * scale * (" + " + ".join(f"{_cell(i, j)} * w{j}" for j in range(K)) + f" - b{i}) / n"
+                     for i in range(K))
+    keys = ", ".join(f"t.{c}" for c in by)
+    return f"""t AS (SELECT * FROM {runs}, {stats}), gd AS (
+  SELECT {keys}, 0 AS e, {', '.join(f'CAST(0 AS DOUBLE) AS w{i}' for i in range(K))} FROM t
+  UNION ALL SELECT {keys}, e + 1, {step} FROM gd JOIN t ON {' AND '.join(f't.{c} = gd.{c}' for c in by)} WHERE e < epochs)"""
+
+
+_FOLDS = f"""{DESIGN},
+sl AS (SELECT *, n - 3 * (n // 4) AS st, n // 4 AS tsz FROM d),
+s1 AS (SELECT * EXCLUDE (n), CASE WHEN rn < st THEN 0 ELSE 1 + (rn - st) // nullif(tsz, 0) END AS slice FROM sl),
+st AS (SELECT slice, {_SUMS} FROM s1 GROUP BY slice),
+tr AS (SELECT f.fold, {', '.join(f'sum({c}) AS {c}' for c in [_cell(i, j) for i in range(K) for j in range(i, K)] + [f'b{i}' for i in range(K)] + ['n'])}
+  FROM st, range(3) f(fold) WHERE slice <= fold GROUP BY f.fold),
+runs AS (SELECT * FROM (VALUES {', '.join(f"({t}, CAST({p['lr']!r} AS DOUBLE), {p['epochs']}, 1.0)" for t, p in enumerate(TRIALS))}) v(trial, lr, epochs, scale)),
+{_gd_sql('tr', 'runs', ['trial', 'fold'])},
+m AS (SELECT trial, fold, lr, epochs, tr.n AS n_train, te.n AS n_test, ({' + '.join(f'w{i} * w{j} * te.{_cell(i, j)}' for i in range(K) for j in range(K))}
+    - 2 * ({' + '.join(f'w{i} * te.b{i}' for i in range(K))}) + te.yy) / te.n AS mse
+  FROM gd JOIN runs USING (trial) JOIN tr USING (fold) JOIN st te ON te.slice = fold + 1 WHERE e = epochs)"""
+
+
+def _folded(spark, sf):
+    return LR.cross_validate(spark, design(spark, sf).withColumn("y", F.col("y").cast("double")), FEATURES, LABEL, TRIALS)
+
+
+@register("cv_fold_metrics", f"""
+WITH RECURSIVE {_FOLDS} SELECT CAST(trial AS BIGINT) AS trial, CAST(fold AS BIGINT) AS fold, {r6('lr')} AS lr, CAST(epochs AS BIGINT) AS epochs,
+  CAST(n_train AS BIGINT) AS n_train, CAST(n_test AS BIGINT) AS n_test, {r6('mse')} AS mse FROM m""")
+def cv_fold_metrics(spark, sf):
+    """M9 + M2: mse of four trials on three expanding folds, all from one pass."""
+    return _folded(spark, sf)
+
+
+@register("cv_trial_means", f"WITH RECURSIVE {_FOLDS} SELECT CAST(trial AS BIGINT) AS trial, {r6('avg(mse)')} AS mse FROM m GROUP BY trial")
+def cv_trial_means(spark, sf):
+    """Mean of the fold metrics per trial."""
+    return LR.cv_mean(_folded(spark, sf))
+
+
+@register("linear_gd_weights", f"""
+WITH RECURSIVE {DESIGN}, st AS (SELECT {_SUMS} FROM d WHERE split = 'train'),
+runs AS (SELECT 'linear_gd' AS model, CAST(0.1 AS DOUBLE) AS lr, 50 AS epochs, 1.0 AS scale
+  UNION ALL SELECT 'linear_gd_torch', 0.1, 50, 2.0), {_gd_sql('st', 'runs', ['model'])}
+SELECT model, CAST(i AS BIGINT) AS i, {r6('CASE i WHEN 0 THEN w0 WHEN 1 THEN w1 ELSE w2 END')} AS weight
+FROM gd, range(3) a(i) WHERE e = 50""")
 def linear_gd_weights(spark, sf):
     """M3 + M4: gradient descent (lr 0.1, 50 epochs) from the Gram matrix of the training split."""
     d = design(spark, sf).where(F.col("split") == "train").withColumn("y", F.col("y").cast("double"))
@@ -128,7 +220,10 @@ def linear_gd_weights(spark, sf):
     return spark.createDataFrame(rows, "model string, i int, weight double")
 
 
-@register("linear_predict")
+@register("linear_predict", f"""
+WITH RECURSIVE {DESIGN}, st AS (SELECT {_SUMS} FROM d WHERE split = 'train'),
+runs AS (SELECT 'linear_gd' AS model, CAST(0.1 AS DOUBLE) AS lr, 50 AS epochs, 1.0 AS scale), {_gd_sql('st', 'runs', ['model'])}
+SELECT symbol, ts, {r6('0.0 + f0 * w0 + f1 * w1 + f2 * w2')} AS pred FROM d, gd WHERE split = 'val' AND e = 50""")
 def linear_predict(spark, sf):
     """Fitted weights applied to the validation rows."""
     d = design(spark, sf)

@@ -6,6 +6,10 @@ sequential definition; the Spark side is the blocked affine scan.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as C
+
+from ..operators.indicators import suite
+from .inputs import event_bars
 from .output import r6
 from .q_indicators import BASE, LAG, W, _spark, sdiv, when
 from .registry import register
@@ -160,3 +164,45 @@ _ADOSC_CTES = [
     rec("r", "x", 0, ["f", "s"]),
 ]
 reg("adosc", ["adosc"], final(f"{r6(when(9, 'f - s'))} AS adosc", _ADOSC_CTES, ["r"]))
+
+
+# ------------------------------------------------------------- series with gaps
+def _gappy(names):
+    """Hour bars whose close is missing in the hours 5, 13 and 21."""
+    def run(spark, sf):
+        b = event_bars(spark, sf)
+        b = b.withColumn("close", C.when(C.hour("ts") % 8 != 5, C.col("close")))
+        return suite.add_indicators(b, names).select("symbol", "ts", *[o for n in names for o in suite.outputs(n)])
+    return run
+
+
+_GAPPY = BASE.replace("SELECT *,", "SELECT * REPLACE (CASE WHEN hour(ts) % 8 <> 5 THEN close END AS close),")
+
+
+def rec_gaps(name: str, src: str, seed_rn: int, cols: list[str]) -> str:
+    """``rec`` that carries the state over rows without a value."""
+    step = ", ".join(f"CASE WHEN x.b_{c} IS NULL THEN r.{c} ELSE x.a_{c} * r.{c} + x.b_{c} END AS {c}" for c in cols)
+    init = ", ".join(f"seed_{c} AS {c}" for c in cols)
+    return f"""{name}(symbol, rn, {", ".join(cols)}) AS (
+  SELECT symbol, rn, {init} FROM {src} WHERE rn = {seed_rn}
+  UNION ALL
+  SELECT x.symbol, x.rn, {step} FROM {name} r JOIN {src} x ON x.symbol = r.symbol AND x.rn = r.rn + 1)"""
+
+
+_AL = 2.0 / 31
+register("ema_with_gaps", f"""
+WITH RECURSIVE {_GAPPY}, x AS (SELECT symbol, rn, {F(1 - _AL)} AS a_e, close * {F(_AL)} AS b_e, avg(close) {W(29)} AS seed_e FROM b),
+{rec_gaps('r', 'x', 29, ['e'])}
+SELECT symbol, ts, {r6('CASE WHEN rn = 29 OR close IS NOT NULL THEN e END')} AS ema FROM b LEFT JOIN r USING (symbol, rn)""")(_gappy(["ema"]))
+
+_PART = "CASE WHEN {0} IS NOT NULL THEN greatest({0}, 0.0) END"
+register("rsi_with_gaps", f"""
+WITH RECURSIVE {_GAPPY}, c0 AS (SELECT symbol, rn, {_CHG} AS chg FROM b),
+c AS (SELECT symbol, rn, {_PART.format('chg')} AS up, {_PART.format('(-chg)')} AS dn FROM c0),
+x AS (SELECT symbol, rn, up, {F(13 / 14)} AS a_u, up / 14 AS b_u, avg(up) {W(13)} AS seed_u,
+  {F(13 / 14)} AS a_d, dn / 14 AS b_d, avg(dn) {W(13)} AS seed_d FROM c),
+{rec_gaps('r', 'x', 14, ['u', 'd'])},
+s AS (SELECT symbol, rn, CASE WHEN rn = 14 OR up IS NOT NULL THEN u END AS u, CASE WHEN rn = 14 OR up IS NOT NULL THEN d END AS d
+  FROM r JOIN x USING (symbol, rn))
+SELECT symbol, ts, {r6(sdiv('u * 100.0', 'u + d'))} AS rsi, {r6(sdiv('(u - d) * 100.0', 'u + d'))} AS cmo
+FROM b LEFT JOIN s USING (symbol, rn)""")(_gappy(["rsi", "cmo"]))

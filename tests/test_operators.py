@@ -328,26 +328,28 @@ def test_candle_advance_block_and_three_stars(spark):
 def test_stream_upsert_newest_load_wins(spark, tmp_path):
     """Two micro-batches merged into the table; overlapping keys take
     the newer batch, untouched symbols stay as they were."""
-    from barengine.streaming.bars_stream import upsert_batch
+    from barengine.streaming.bars_stream import read_upserted, upsert_batch
     target = str(tmp_path / "t")
     fn = upsert_batch(target, key=("symbol", "seq"), order="seq")
     s = "symbol string, seq long, price double"
     fn(spark.createDataFrame([("A", 1, 1.0), ("A", 2, 2.0), ("B", 1, 5.0)], s), 0)
     fn(spark.createDataFrame([("A", 2, 20.0), ("A", 3, 30.0)], s), 1)
-    got = sorted(tuple(r) for r in spark.read.parquet(target).select("symbol", "seq", "price").collect())
+    got = sorted(tuple(r) for r in read_upserted(spark, target).select("symbol", "seq", "price").collect())
     assert got == [("A", 1, 1.0), ("A", 2, 20.0), ("A", 3, 30.0), ("B", 1, 5.0)]
 
 
 def test_materialize_and_drop(spark):
     """Lineage cuts are written under spark.checkpoint.dir and can be dropped."""
     import os
-    from barengine.session import drop_materialized, materialize
+    from barengine.session import app_dir, drop_materialized, materialize
     df = materialize(spark.range(10), "t")
     assert df.count() == 10
-    base = spark.conf.get("spark.checkpoint.dir")
-    assert os.path.isdir(os.path.join(base, "barengine"))
+    mine = app_dir(spark)
+    other = os.path.join(os.path.dirname(mine), "another-application")
+    os.makedirs(other, exist_ok=True)
+    assert os.path.isdir(mine)
     drop_materialized(spark)
-    assert not os.path.exists(os.path.join(base, "barengine"))
+    assert not os.path.exists(mine) and os.path.isdir(other)
 
 
 def test_asof_carry_across_empty_buckets(spark):
