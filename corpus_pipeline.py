@@ -7,7 +7,14 @@
 5. sharding: every row gets its shard and slot.
 
 Every stage but the last returns the columns of ``documents``; ``run`` writes a stage's
-result as Parquet to the shared folder and reads it again for the next one.
+result as Parquet to the shared folder and reads it again for the next one. The last returns keys, sizes,
+checksums, shards and slots; the texts stay in the table of the stage before.
+
+Defined results
+* null, empty and blank texts: judged by the classifier like any text, never near duplicates of others, not contaminated, size 0 or 16;
+* null and repeated keys: a row is judged by key and text together, other texts under the same key stay;
+* repeated rows and copies: one of them stays after the near duplicates; ties take the smallest key, any of equal rows;
+* very long texts: judged whole; empty tables: no rows; extra columns, whatever their names, are carried to the fourth stage.
 """
 
 from __future__ import annotations
@@ -25,9 +32,9 @@ N_SHARDS = 40
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier rejects. Repeated rows fall or stay together."""
     verdict = quality_model.classify(docs, table(spark, sf_dir, "labels"))
-    rejected = (verdict.where("NOT kept").select(F.col("doc_id").alias("k"), F.col("text_hash").alias("h")).distinct())
+    rejected = verdict.where("NOT kept").select(F.col("doc_id").alias("__key"), F.col("text_hash").alias("__rejected")).distinct()
     d = docs.withColumn("__h", F.xxhash64("text"))
-    return (d.join(rejected, F.col("doc_id").cast("long").eqNullSafe(F.col("k")) & (F.col("__h") == F.col("h")),
+    return (d.join(rejected, F.col("doc_id").cast("long").eqNullSafe(F.col("__key")) & (F.col("__h") == F.col("__rejected")),
                    "left_anti").select(*docs.columns))
 
 
@@ -38,9 +45,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold benchmark passages; texts pass through the scan and are not shuffled."""
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    verdict = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"), carry=rest)
-    return verdict.where("NOT contaminated").select(*docs.columns)
+    names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}  # no column can clash with those of the verdict
+    d = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    rest = tuple(n for c, n in names.items() if c != "doc_id")
+    verdict = decontamination.contaminated(d, table(spark, sf_dir, "benchmark"), key=names["doc_id"], text=names["text"], carry=rest)
+    return verdict.where("NOT contaminated").select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
