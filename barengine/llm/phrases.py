@@ -8,7 +8,7 @@ Texts are cut into pieces (at marks and line ends) and pieces into words. The re
 * Group counts: a chunk counts its own groups first and sends them, sorted and packed, to ranges of groups (cut by a hash);
   a range adds up the counts of all chunks, keeps groups of ``min_count`` or more, and answers each chunk with one
   bit per group. A group has one entry per chunk at most, however common it is; a range has about RANGE_GROUPS
-  occurrences. Ranges and chunks both grow with the input, so messages get smaller; there are never more of them than entries.
+  occurrences (words: one range per language and shuffle partition). Ranges and chunks both grow with the input, so messages get smaller; there are never more of them than entries.
 * Semi-join: with the answers only occurrences of frequent groups enter R_k and are extended.
 
 A phrase of k words is extended from two frequent phrases of k - 1 that overlap (at a position and the next). Words get unique
@@ -27,18 +27,20 @@ Defined results
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens as T
-from .common import app_dir
+from .common import app_dir, partitions
 from .packing import pack, pack_sorted, unpack, unpack_sorted
 
 MIN_COUNT = 30
@@ -61,8 +63,10 @@ for _c in b".,;:!?\n\x0b\x0c\r":
     _TABLE[_c] = ord(".")
 _TABLE = bytes(_TABLE)
 
-R0 = ("chunk long, codes binary, words array<struct<lang: string, word: string, c: long>>, "
+R0 = ("chunk long, codes binary, words array<struct<lang: string, range: long, words: binary, places: binary, n: binary>>, "
       "totals array<struct<lang: string, c: long>>")
+_SENT = pa.struct([("lang", pa.string()), ("range", pa.int64()), ("words", pa.binary()), ("places", pa.binary()), ("n", pa.binary())])
+WORDS = "lang string, range long, chunk long, n long, words binary, f binary, places binary, nth binary"
 RK = "chunk long, ids binary, codes binary, starts binary, next long"
 SENT = "range long, chunk long, hi binary, lo binary, n binary"
 COUNTED = "range long, chunk long, often binary, hi binary, lo binary, f binary"
@@ -95,26 +99,28 @@ class _Chunk:
         self.parts.append(np.zeros(1, np.uint32))
         self.size += len(words)
 
-    def row(self, chunk: int) -> pa.RecordBatch:
+    def row(self, chunk: int, ranges: int) -> pa.RecordBatch:
         codes = np.concatenate(self.parts)
         keep = np.ones(len(codes), bool)
         keep[1:] = (codes[1:] > 0) | (codes[:-1] > 0)  # one break is enough
-        counts = np.bincount(codes, minlength=len(self.names) + 1)[1:].tolist()
-        totals = Counter()
-        for (lang, _), c in zip(self.names, counts):
-            totals[lang] += c
-        words = pa.StructArray.from_arrays(
-            [pa.array([lang for lang, _ in self.names], pa.string()),
-             pa.array([w for _, w in self.names], pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())],
-            names=["lang", "word", "c"])
-        sums = pa.StructArray.from_arrays([pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.int64())],
-                                          names=["lang", "c"])
-        one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([pack(codes[keep])], pa.binary()),
-                                           one(words), one(sums)], names=["chunk", "codes", "words", "totals"])
-
-
-def _chunks(size: int):
+        counts = np.bincount(codes, minlength=len(self.names) + 1)[1:]
+        totals, sent = Counter(), {}
+        for place, (lang, word) in enumerate(self.names, 1):
+            totals[lang] += int(counts[place - 1])
+            sent.setdefault((lang, zlib.crc32(word) % ranges), []).append((word, place))
+        rows = []
+        for (lang, where), found in sent.items():
+            places = np.array([p for _, p in found], np.uint32)
+            rows.append({"lang": lang, "range": where, "words": zstandard.compress(b"\n".join(w for w, _ in found), 1),
+                         "places": pack(places), "n": pack(counts[places - 1].astype(np.uint32))})
+        sums = [{"lang": lang, "c": c} for lang, c in totals.items()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([chunk], pa.int64()), pa.array([pack(codes[keep])], pa.binary()), pa.array([rows], pa.list_(_SENT)),
+             pa.array([sums], pa.list_(pa.struct([("lang", pa.string()), ("c", pa.int64())])))],
+            names=["chunk", "codes", "words", "totals"])
+
+
+def _chunks(size: int, ranges: int):
     def cut(batches: Iterator[pa.RecordBatch]):
         part, seq, chunk = TaskContext.get().partitionId() << 32, 0, _Chunk()
         for b in batches:
@@ -123,10 +129,10 @@ def _chunks(size: int):
             for i in range(b.num_rows):
                 chunk.add(langs[i], data[off[i]:off[i + 1]].tobytes())
                 if chunk.size >= size:
-                    yield chunk.row(part + seq)
+                    yield chunk.row(part + seq, ranges)
                     seq, chunk = seq + 1, _Chunk()
         if chunk.size:
-            yield chunk.row(part + seq)
+            yield chunk.row(part + seq, ranges)
     return cut
 
 
@@ -241,12 +247,47 @@ def _packed(chunk: int, ids: np.ndarray, c: np.ndarray, good: np.ndarray, k: int
     return pa.Table.from_arrays([pa.array([v], t) for v, (_, t) in zip(row, kind)], names=[n for n, _ in kind])
 
 
-def _first(chunks: pa.Table, words: pa.Table) -> pa.Table:
-    """Chunk and the numbers of its frequent words (place, id) -> row of R_1."""
-    if not chunks.num_rows or not words.num_rows:
+def _count_words(min_count: int):
+    def count(sent: pa.Table) -> pa.Table:
+        """Words of a language and range from all chunks -> the frequent ones (chunk -1), and per chunk the places of
+        those it sent and their positions in the list."""
+        split = [zstandard.decompress(x.as_py()).split(b"\n") for x in sent["words"]]
+        total = Counter()
+        for words, n in zip(split, sent["n"]):
+            for w, c in zip(words, unpack(n.as_py()).tolist()):
+                total[w] += c
+        often = sorted(w for w, c in total.items() if c >= min_count)
+        nth = {w: i for i, w in enumerate(often)}
+        lang, where = sent["lang"][0].as_py(), sent["range"][0].as_py()
+        rows = [(lang, where, -1, len(often), b"\n".join(often), np.array([total[w] for w in often], np.int64).tobytes(), b"", b"")]
+        for chunk, words, places in zip(sent["chunk"].to_pylist(), split, sent["places"]):
+            at = np.array([nth.get(w, -1) for w in words], np.int64)
+            if (at >= 0).any():
+                rows.append((lang, where, chunk, 0, b"", b"", pack(unpack(places.as_py())[at >= 0]), pack(at[at >= 0].astype(np.uint32))))
+        kind = [pa.string(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kind)],
+                                    names=[x.split()[0] for x in WORDS.split(", ")])
+    return count
+
+
+def _listed_words(batches: Iterator[pa.RecordBatch]):
+    """Packed frequent words -> lang, word, f, id."""
+    for b in batches:
+        for r in b.to_pylist():
+            n = r["n"]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r["lang"]] * n, pa.string()), pa.array(r["words"].split(b"\n"), pa.binary()).cast(pa.string()),
+                 pa.array(np.frombuffer(r["f"], np.int64)), pa.array(np.arange(r["base"], r["base"] + n, dtype=np.int64))],
+                names=["lang", "word", "f", "id"])
+
+
+def _first(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+    """Chunk and the answers to its words -> row of R_1."""
+    if not chunks.num_rows or not answers.num_rows:
         return _packed(0, np.empty(0), np.zeros(0, np.uint32), np.zeros(0, bool), 1)
     c = unpack(chunks["codes"][0].as_py())
-    ids, place = words["id"].to_numpy(), words["place"].to_numpy()
+    place = np.concatenate([unpack(x.as_py()) for x in answers["places"]])
+    ids = np.concatenate([b + unpack(x.as_py()).astype(np.int64) for x, b in zip(answers["nth"], answers["base"].to_pylist())])
     order = np.argsort(ids)
     new = np.zeros(int(max(c.max(), place.max())) + 1, np.uint32)
     new[place[order]] = np.arange(1, len(ids) + 1, dtype=np.uint32)
@@ -296,14 +337,15 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", mi
     tables = _Tables(spark)
     slim = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN_LANG)).alias("lang"),
                        F.col(text).cast("string").alias("t")).where("t IS NOT NULL")
-    r0 = tables.keep(slim.mapInArrow(_chunks(chunk_words), R0), "r0")
+    r0 = tables.keep(slim.mapInArrow(_chunks(chunk_words, partitions(spark)), R0), "r0")
     totals = tables.keep(r0.select(F.explode("totals").alias("x")).groupBy("x.lang").agg(F.sum("x.c").alias("n")), "totals")
-    groups = r0.select("chunk", F.posexplode("words").alias("place", "x")).select("chunk", (F.col("place") + 1).alias("place"), "x.*")
-    words = (groups.groupBy("lang", "word").agg(F.sum("c").alias("f")).where(F.col("f") >= min_count)
-             .withColumn("made", F.monotonically_increasing_id()))
-    words = _numbered(tables.keep(words, "words"))
-    places = groups.join(words, ["lang", "word"]).select(F.col("chunk").alias("home"), F.col("place").cast("long").alias("place"), "id")
-    rk = tables.keep(r0.select("chunk", "codes").groupBy("chunk").cogroup(places.groupBy("home")).applyInArrow(_first, RK), "r1")
+    sent = r0.select("chunk", F.explode("words").alias("x")).select("chunk", "x.*")
+    counted = tables.keep(sent.groupBy("lang", "range").applyInArrow(_count_words(min_count), WORDS), "g1")
+    bases = _bases(counted.where("chunk = -1"))
+    words = counted.where("chunk = -1 AND n > 0").join(bases, ["lang", "range"]).select("lang", "n", "words", "f", "base")
+    words = tables.keep(words.mapInArrow(_listed_words, "lang string, word string, f long, id long"), "words")
+    answers = counted.where("chunk >= 0").join(bases, ["lang", "range"]).select(F.col("chunk").alias("home"), "places", "nth", "base")
+    rk = tables.keep(r0.select("chunk", "codes").groupBy("chunk").cogroup(answers.groupBy("home")).applyInArrow(_first, RK), "r1")
     tables.drop("r0")
     none = [F.lit(-1).cast("long").alias(f"w{j + 1}") for j in range(max_words)]
     out = [words.select(F.lit(1).alias("k"), F.col("id").alias("w1"), *none[1:], "f")]
@@ -325,19 +367,15 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", mi
     return tables.keep(reduce(DataFrame.unionByName, out), "phrases"), words, totals
 
 
-def _numbered(words: DataFrame) -> DataFrame:
-    """Word numbers from 0 without gaps, from the numbers made per partition of the stored table."""
-    part = F.shiftright("made", 33)
-    sizes = sorted(words.groupBy(part.alias("p")).count().collect())  # one row per partition
-    starts, at = [], 0
-    for p, n in sizes:
-        starts.append((p, at))
-        at += n
+def _bases(counted: DataFrame) -> DataFrame:
+    """Word numbers from 0 without gaps: the number of the first frequent word of each language and range."""
+    out, at = [], 0
+    for r in sorted(counted.select("lang", "range", "n").collect()):  # one row per language and range
+        out.append((r.lang, r.range, at))
+        at += r.n
     if at >= 1 << 32:
         raise ValueError("more than 2^32 frequent words")
-    starts = F.broadcast(words.sparkSession.createDataFrame(starts, "p long, at long"))  # one row per partition
-    return words.withColumn("p", part).join(starts, "p").select(
-        "lang", "word", "f", (F.col("made") - F.shiftleft("p", 33) + F.col("at")).alias("id"))
+    return counted.sparkSession.createDataFrame(out, "lang string, range long, base long")
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", min_count: int = MIN_COUNT,
