@@ -50,7 +50,7 @@ TOP = 2000
 SCALE = 2_000_000
 #: Share of a candidate's count at which a longer candidate makes it redundant, in percent.
 COVERED = 80
-CHUNK_WORDS = 1 << 22
+CHUNK_WORDS = 1 << 21
 #: Occurrences per range of groups that one reducer adds up, about.
 RANGE_GROUPS = 1 << 21
 UNKNOWN_LANG = "und"
