@@ -48,13 +48,15 @@ def indicator(name: str) -> Indicator:
 
 
 def add_indicators(bars: DataFrame, names: Sequence[str] | None = None,
-                   keys: Sequence[str] = ("symbol",)) -> DataFrame:
+                   keys: Sequence[str] = ("symbol",), numbered: bool = False) -> DataFrame:
+    """``bars`` with the outputs of the named indicators (all by default). With ``numbered`` the bars
+    have their position ``_rn`` already and keep it."""
     keys = list(keys)
     has_volume = "volume" in bars.columns
     names = list(names) if names is not None else available(has_volume)
     if not has_volume:
         names = [n for n in names if n in available(False)]
-    d = series.number_rows(bars, keys)
+    d = bars if numbered else series.number_rows(bars, keys)
     fin = [FINITE[n] for n in names if n in FINITE]
     if fin:
         depth = max(len(i.stages) for i in fin)
@@ -85,5 +87,5 @@ def add_indicators(bars: DataFrame, names: Sequence[str] | None = None,
     if rec:
         from . import recursive
         d = recursive.add_recursive(d, rec, keys)
-    drop = [c for c in d.columns if c.startswith("_")]
+    drop = [c for c in d.columns if c.startswith("_") and not (numbered and c == series.RN)]
     return d.drop(*drop)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import (q_backtest, q_bars, q_blocked, q_candles, q_features, q_indicators, q_io, q_labels, q_learn,  # noqa: F401
-               q_recursive, q_stream)
+               q_load, q_recursive, q_stream)
 from .registry import ORACLES, QUERIES
 
 

@@ -1,4 +1,4 @@
-"""Bar store and report files.
+"""Bar store and report files (S1-S5, S8-S13; landing of files is in ``landing``).
 
 One bar table for all tickers and frequencies, Parquet partitioned by
 ``freq`` and ``symbol`` (ticker and frequency are columns, not path parts of
@@ -52,17 +52,6 @@ def normalize_bars(df: DataFrame, symbol: str | None = None, freq: str | None =
     return d
 
 
-def land_market_files(spark: SparkSession, path: str, freq: str | None = None, fmt: str = "csv") -> DataFrame:
-    """Bulk load of landed CSV/Parquet bar files; the symbol is the file
-    stem (from ``_metadata.file_path``). CSV is read with a header and typed
-    afterwards (no schema inference pass)."""
-    r = spark.read.option("header", True) if fmt == "csv" else spark.read
-    raw = r.format(fmt).load(path)
-    stem = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.[^.]*$", "")
-    d = _bar_columns(raw.select(stem.alias("symbol"), *raw.columns), keep=("symbol",))
-    return d.withColumn("freq", F.lit(freq)) if freq else d
-
-
 def write_bars(bars: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write bars (or features) partitioned by freq and symbol.
 
