@@ -25,6 +25,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -67,10 +68,10 @@ def deduplicated(pages: DataFrame, key: str = "page_id", url: str = "url", html:
                       "bytes_", "digest", F.when(revisit, F.col("first_")).alias("refers_"))
 
 
-def _record(key, url, payload, n_bytes, digest, refers) -> tuple[str, bytes]:
+def _record(key, url, payload, n_bytes, digest, refers, date: str) -> tuple[str, bytes]:
     rid = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key}|{url}|{digest}|{refers}')}>"
     revisit = payload is None
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {rid}",
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {rid}", f"WARC-Date: {date}",
             f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {n_bytes}"]
     if key is not None:
         head.append(f"X-Page-Key: {key}")
@@ -80,7 +81,7 @@ def _record(key, url, payload, n_bytes, digest, refers) -> tuple[str, bytes]:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
                  f"X-Refers-To-Key: {refers}"]
     body = b"" if revisit else payload
-    head.append(f"Content-Length: {len(body)}")
+    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"]
     return rid, "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
@@ -120,8 +121,13 @@ class _Bundle:
 
 
 def write_bundles(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html",
-                  min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """Writes one record per row into bundles under ``folder`` (a URI) and returns the index, written beside them."""
+                  min_revisit: int = MIN_REVISIT, date: str | None = None) -> DataFrame:
+    """Writes one record per row into bundles under ``folder`` (a URI) and returns the index, written beside them.
+
+    ``date`` is the WARC-Date of all records (``2024-01-31T12:00:00Z``), by default the time of this call; a task
+    that runs again writes the same one.
+    """
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = deduplicated(pages, key, url, html, min_revisit).withColumn("key_", F.col("key_").cast("string")) \
         .withColumn("refers_", F.col("refers_").cast("string"))
 
@@ -137,7 +143,7 @@ def write_bundles(pages: DataFrame, folder: str, key: str = "page_id", url: str
             cols = [b.column(c) for c in ("key_", "url_", "payload", "bytes_", "digest", "refers_")]
             for i in range(b.num_rows):
                 bundle = bundle or _Bundle(folder)
-                bundle.add(*_record(*[c[i].as_py() for c in cols]))
+                bundle.add(*_record(*[c[i].as_py() for c in cols], date))
                 if bundle.offset >= BUNDLE_BYTES:
                     yield rows_of(bundle.close())
                     bundle = None

@@ -153,7 +153,7 @@ def test_warc_roundtrip(spark, tmp_path):
         revisit = f is not None and k != f
         exp[(k, len(b), hashlib.sha256(b).hexdigest(), "revisit" if revisit else "response", f if revisit else None)] += 1
     assert collections.Counter(map(tuple, got)) == exp
-    index = warc.write_bundles(pages, f"file://{tmp_path}/w")
+    index = warc.write_bundles(pages, f"file://{tmp_path}/w", date="2024-01-31T12:00:00Z")
     back = warc.read_records(index).collect()
     assert collections.Counter((r.page_key, r.url) for r in back) == collections.Counter(
         (None if k is None else str(k), u) for k, u, _ in rows)
@@ -166,6 +166,8 @@ def test_warc_roundtrip(spark, tmp_path):
             whole = f.read_at(f.size(), 0)
         assert zstandard.ZstdDecompressor().decompressobj(read_across_frames=True).decompress(whole) == plain
         assert plain.startswith(b"WARC/1.1")
+        records = plain.count(b"\r\nWARC-Record-ID: ")
+        assert records == plain.count(b"\r\nWARC-Date: 2024-01-31T12:00:00Z\r\n") == plain.count(b"\r\nContent-Type: text/html; charset=utf-8\r\n")
     assert warc.roundtrip(pages.limit(0)).count() == 0
 
 
