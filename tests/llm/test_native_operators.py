@@ -122,7 +122,7 @@ def plain_rules(text):
 
 
 def test_quality_rules(docs, rows, empty):
-    got = quality.line_frequency(docs, line_docs=1, line_share=0.0).collect()
+    got = quality.line_frequency(docs, line_docs=1).collect()
     host_lines = collections.defaultdict(set)
 
     def norm(x):
@@ -130,7 +130,7 @@ def test_quality_rules(docs, rows, empty):
     for r in rows:
         for x in (r[1] or "").split("\n"):
             if split_words(x):
-                host_lines[(r[3], norm(x))].add(r[1])
+                host_lines[(r[3], norm(x))].add((r[0], r[1]))
     exp = collections.Counter()
     for r in rows:
         base = plain_rules(r[1])
@@ -153,13 +153,25 @@ def test_passage_in_one_percent_of_a_large_host(spark):
     assert got == {(True, True, False): 1000, (False, False, False): 99_000}
 
 
+def test_copies_of_one_text_count_as_documents(spark):
+    body = "\n".join(" ".join(f"{c}{x}" for x in "abcdefghijklm") for c in "pqrstuv")
+    rows = [(i, body, "h") for i in range(1000)] + [(i, body + " own", "few") for i in range(quality.LINE_DOCS)]
+    rows += [(5, body, "one")] * 500  # one document, repeated
+    rows += [(None, body, "gone")] * 500
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {(r.doc_id if r.doc_id is None or r.doc_id < 20 else 20, r.kept): r["count"]
+           for r in quality.line_frequency(d).groupBy("doc_id", "kept").count().collect()}
+    assert got[(5, True)] == 501 and got[(5, False)] == 1 and got[(0, True)] == 1 and got[(None, True)] == 500
+    assert (20, True) not in got and quality.line_frequency(d).where("NOT kept").count() == 1000
+
+
 def test_lines_above_the_limits_leave_the_text(spark):
     d = spark.createDataFrame([(i, f"own {i} text\nMenu 1 Home\nmore {i}", "h") for i in range(6)] + [(9, None, "h")],
                               "doc_id long, text string, source string")
-    got = {r.doc_id: r.text for r in quality.cleaned(d, line_docs=4, line_share=0.5).collect()}
+    got = {r.doc_id: r.text for r in quality.cleaned(d, line_docs=4).collect()}
     # digits are folded, so "own i text" and "more i" recur as well
     assert got[9] is None and all(got[i] == "" for i in range(6))
     d = spark.createDataFrame([(i, f"{'abcdef'[i]} text\nMenu {i} Home", "h") for i in range(6)],
                               "doc_id long, text string, source string")
-    got = {r.doc_id: r.text for r in quality.cleaned(d, line_docs=4, line_share=0.5).collect()}
+    got = {r.doc_id: r.text for r in quality.cleaned(d, line_docs=4).collect()}
     assert got == {i: f"{'abcdef'[i]} text" for i in range(6)}
