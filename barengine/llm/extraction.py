@@ -7,6 +7,10 @@ menus, headers, footers, sidebars, notices, adverts, forms, scripts or reader
 comments. What is left of the page's main container (main or article, else the
 body) is the text.
 
+A class or id counts by its whole name: ``site-footer`` and ``share-bar`` name boilerplate,
+``share-price`` and ``entry-header`` do not. Paragraphs, headings, quotes and tables of the
+article stay whatever such a name says, and so does a form around the article or most of the page's prose.
+
 A paragraph, heading, list or table inside an article is never deleted for
 recurring: a passage that many articles share is part of each of them.
 
@@ -31,11 +35,10 @@ from pyspark.sql import functions as F
 
 from . import html_tree as H
 
-#: A subtree is template on at least this many pages and this share of the host's pages,
-#: and in any case on MOST_PAGES, however large the host.
-MIN_PAGES = 5
-MIN_SHARE = 0.05
-MOST_PAGES = 25
+#: A subtree is template on at least this many pages of its host, however large the host.
+MIN_PAGES = 10
+#: A form is a wrapper, not a form, if it holds this many characters of prose and most of the page's.
+MIN_PROSE = 250
 
 # Element names, roles and words of class names that mark what is not the article.
 TAGS = frozenset("""script style noscript template iframe object embed applet svg math canvas audio video head nav
@@ -50,6 +53,12 @@ toolbar search form widget widgets skip paywall banner""".split())
 STRONG = frozenset("""comment comments commentlist disqus reply replies respond ad ads advert adverts advertisement
 advertising adsbygoogle adsense adslot adbox sponsor sponsored promo promotion promoted related recommended
 recommendations""".split())
+#: Words that only place or group a box, so a name made of them and the words above is still boilerplate.
+PLACES = frozenset("""site page main global local top bottom left right primary secondary sticky fixed box bar wrap wrapper
+container block inner outer section list item items link links button buttons btn area panel row col column group slot
+unit icon icons field input post article content text body holder zone the and""".split())
+WRAPPERS = frozenset("form fieldset".split())
+SAYS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table figure figcaption".split())
 NEGATED = frozenset("has with no without is not".split())
 PROSE = frozenset("""p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th figure
 figcaption caption""".split())
@@ -72,17 +81,29 @@ def _marks(e: H.Element) -> tuple[bool, bool]:
         parts = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
         if parts and parts[0] in NEGATED:
             continue
-        weak |= bool(WORDS.intersection(parts))
+        weak |= bool(WORDS.intersection(parts)) and all(x in WORDS or x in STRONG or x in PLACES for x in parts)
         strong |= bool(STRONG.intersection(parts))
     return weak, strong
 
 
-def _in_main(e: H.Element) -> bool:
-    while e is not None:
-        if e.tag in MAIN or (e.attrs and "role" in e.attrs and e.attributes().get("role", "").lower() == "main"):
-            return True
-        e = e.parent
-    return False
+def _is_main(e: H.Element) -> bool:
+    return e.tag in MAIN or bool(e.attrs) and "role" in e.attrs and e.attributes().get("role", "").lower() == "main"
+
+
+def _wrappers(elements: list[tuple[H.Element, bool]]) -> set[int]:
+    """Forms that hold most of the page's prose."""
+    if not any(e.tag in WRAPPERS for e, _ in elements):
+        return set()
+    says: set[int] = set()
+    for e, _ in elements:
+        if e.tag in SAYS or id(e.parent) in says:
+            says.add(id(e))
+    size: dict[int, int] = {}
+    for e, _ in reversed(elements):  # children before parents
+        own = sum(len(x) for x in e.items if x.__class__ is str) if id(e) in says and e.tag not in H.RAW else 0
+        size[id(e)] = own + sum(size[id(x)] for x in e.items if x.__class__ is H.Element)
+    total = sum(size[id(e)] for e, _ in elements if e.parent.parent is None)
+    return {id(e) for e, _ in elements if e.tag in WRAPPERS and size[id(e)] >= MIN_PROSE and 2 * size[id(e)] > total}
 
 
 def _may_be_template(e: H.Element, inside: bool) -> bool:
@@ -120,17 +141,20 @@ def main_text(html: str, templates: set[int]) -> str:
     root, elements = _scan(html)
     holds_main: set[int] = set()
     for e, _ in elements:
-        if e.tag in MAIN:
+        if _is_main(e):
             p = e.parent
             while p is not None and id(p) not in holds_main:
                 holds_main.add(id(p))
                 p = p.parent
+    wraps = _wrappers(elements)
     for e, inside in elements:
         if e.tag in SKIP:
             continue
         weak, strong = _marks(e)
-        keep = e.tag in MAIN or id(e) in holds_main
-        if e.tag in TAGS or strong or (weak and not keep) or (e.tag == "header" and not inside and not keep):
+        keep = e.tag in MAIN or id(e) in holds_main or id(e) in wraps
+        weak = weak and not keep and not (inside and e.tag in SAYS)
+        if (e.tag in TAGS and not (keep and e.tag in WRAPPERS)) or strong or weak or (
+                e.tag == "header" and not inside and not keep):
             e.drop = True
         elif templates and not keep and e.items and _may_be_template(e, inside) and _number(e) in templates:
             e.drop = True
@@ -140,7 +164,7 @@ def main_text(html: str, templates: set[int]) -> str:
         e = todo.pop()
         if e.drop:
             continue
-        if e.tag in MAIN or (e.attrs and "role" in e.attrs and e.attributes().get("role", "").lower() == "main"):
+        if _is_main(e):
             mains.append(e)
             continue
         todo.extend(x for x in reversed(e.items) if isinstance(x, H.Element))
@@ -156,7 +180,7 @@ def _slim(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
 
 
 def templates(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",
-              min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> tuple[DataFrame, DataFrame]:
+              min_pages: int = MIN_PAGES) -> tuple[DataFrame, DataFrame]:
     """(page content, subtree) rows: host, sum, t; and the recurring subtrees per host: host, t, n."""
     def hashes(batches: Iterator[pa.RecordBatch]):
         for b in batches:
@@ -169,10 +193,7 @@ def templates(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
                                                       pa.array(found, pa.int64())], names=["host", "sum", "t"])
     slim = _slim(pages, key, url, html)
     each = slim.select("host", "sum", "h").mapInArrow(_grouped(hashes), "host string, sum long, t long")
-    total = slim.select("host", "sum").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = each.distinct().groupBy("host", "t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    limit = F.least(F.col("pages") * min_share, F.lit(float(MOST_PAGES)))
-    recurring = counts.join(total, "host").where(F.col("n") >= limit).select("host", "t", "n")
+    recurring = each.distinct().groupBy("host", "t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     return each, recurring
 
 
@@ -192,9 +213,9 @@ def _grouped(fn, rows: int = 4096):
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",
-            min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+            min_pages: int = MIN_PAGES) -> DataFrame:
     """Per row: key, url, text, n_chars."""
-    each, recurring = templates(pages, key, url, html, min_pages, min_share)
+    each, recurring = templates(pages, key, url, html, min_pages)
     # a page's list is bounded by its own elements
     drop = (each.join(recurring.select("host", "t"), ["host", "t"]).groupBy(F.col("host").alias("h2"),
                                                                            F.col("sum").alias("s2"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from html import unescape
 
 _TAG = re.compile(
@@ -43,11 +44,56 @@ class Element:
         return out
 
 
+class _Open:
+    """The open elements of a page, with the depths of each name, so that an end tag costs no walk."""
+
+    def __init__(self, root: Element):
+        self.path: list[Element] = [root]
+        self.depths: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+
+    def push(self, e: Element) -> None:
+        self.depths.setdefault(e.tag, []).append(len(self.path))
+        if e.tag in SCOPE:
+            self.scopes.append(len(self.path))
+        self.path.append(e)
+
+    def cut(self, depth: int) -> None:
+        """Ends the open elements at ``depth`` and below it."""
+        while len(self.path) > depth:
+            e = self.path.pop()
+            self.depths[e.tag].pop()
+            if e.tag in SCOPE:
+                self.scopes.pop()
+
+    def end(self, tag: str) -> None:
+        """An end tag: the nearest open element of the name ends, an inline one only within its scope."""
+        depths = self.depths.get(tag)
+        if depths and (tag in BLOCK or not self.scopes or self.scopes[-1] <= depths[-1]):
+            self.cut(depths[-1])
+
+    def end_outermost(self, names, until) -> None:
+        """Ends the outermost open element of ``names`` below the nearest of ``until``."""
+        if until is SCOPE:
+            floor = self.scopes[-1] if self.scopes else 0
+        else:
+            floor = max((self.depths[t][-1] for t in until if self.depths.get(t)), default=0)
+        found = []
+        for t in names:
+            depths = self.depths.get(t)
+            if depths and depths[-1] > floor:
+                found.append(depths[bisect_right(depths, floor)])
+        if found:
+            self.cut(min(found))
+
+
 def parse(html: str) -> Element:
     """The page's tree. Unclosed, misplaced and cut off tags are mended as browsers mostly do."""
-    root = top = Element("#root", "", None)
+    root = Element("#root", "", None)
+    open_ = _Open(root)
     at, n = 0, len(html)
     while at < n:
+        top = open_.path[-1]
         m = _TAG.search(html, at)
         if m is None:
             top.items.append(html[at:])
@@ -63,20 +109,14 @@ def parse(html: str) -> Element:
             continue
         tag = tag.lower()
         if m["end"] or m["end2"]:
-            e = top
-            while e is not root and e.tag != tag:
-                if e.tag in SCOPE and tag not in BLOCK:
-                    e = root
-                    break
-                e = e.parent
-            if e is not root:
-                top = e.parent
+            open_.end(tag)
             continue
         attrs = m["attrs"] if m["attrs"] is not None else m["attrs2"] or ""
-        if tag in CLOSES_P:
-            top = _end(top, root, {"p"}, SCOPE)
+        if tag in CLOSES_P and open_.depths.get("p"):
+            open_.end_outermost(("p",), SCOPE)
         if tag in ENDS:
-            top = _end(top, root, *ENDS[tag])
+            open_.end_outermost(*ENDS[tag])
+        top = open_.path[-1]
         e = Element(tag, attrs, top)
         top.items.append(e)
         if tag in VOID or attrs.endswith("/") and tag not in BLOCK and tag not in RAW:
@@ -86,20 +126,10 @@ def parse(html: str) -> Element:
             e.items.append(html[at:close.start() if close else n])
             at = close.end() if close else n
             continue
-        top = e
+        open_.push(e)
     return root
 
 
-def _end(top: Element, root: Element, names, until) -> Element:
-    """Ends the outermost open element of ``names`` below the nearest of ``until``."""
-    e, found = top, None
-    while e is not root and e.tag not in until:
-        if e.tag in names:
-            found = e
-        e = e.parent
-    return found.parent if found is not None else top
-
-
 def walk(root: Element) -> list[Element]:
     """All elements, parents first."""
     out, todo = [], [root]

@@ -2,11 +2,12 @@
 import collections
 import hashlib
 import random
+import time
 
 import corpus_pipeline
 import pyarrow.fs as pafs
 import zstandard
-from barengine.llm import decontamination, extraction, licenses, warc
+from barengine.llm import decontamination, extraction, html_tree, licenses, warc
 
 from corpus_rows import SF001, docs, empty, rows  # noqa: F401
 
@@ -194,6 +195,41 @@ def test_extraction(spark):
     assert extraction.extract(pages.limit(0)).count() == 0
 
 
+def test_names_forms_and_junk_of_pages():
+    t = lambda h, x=(): extraction.main_text(h, set(x))
+    assert t('<article><div class="entry-header"><h1>Title</h1></div><p>body</p></article>') == "Title\nbody"
+    assert t('<article><div class="share-price"><p>price rose</p></div><div class="share-bar">Share</div>'
+             '<p class="alert">flood</p><div class="search-results-study"><p>found</p></div></article>') == "price rose\nflood\nfound"
+    assert t('<form action="/"><div class="site-footer">foot</div><article><p>in a form</p></article></form>') == "in a form"
+    prose = "some words of an article " * 20
+    assert t(f'<body><form><div><h2>H</h2><p>{prose}</p></div><select><option>x</select></form></body>') == "H\n" + prose.strip()
+    assert t(f"<body><form><p>Log in</p><input></form><p>{prose}</p></body>") == prose.strip()
+    start = time.time()
+    n = 100_000
+    for junk in ("<b>" * n + "</i>" * n, "<b><div>" + "<i>" * n + "</b>" * n, "<p><table>" + "<b>" * n + "<p>" * n):
+        html_tree.parse(junk)
+    assert time.time() - start < 15
+
+
+def test_templates_against_a_plain_count(spark):
+    """Pages without main or article: recurring subtrees decide, as a plain count of subtrees says."""
+    rng = random.Random(4)
+    boxes = [f"<div><span>box {i}</span><b>more</b></div>" for i in range(12)]
+    rows = []
+    for i in range(160):
+        body = "".join(b for j, b in enumerate(boxes) if rng.random() < j / 20)
+        rows.append((i, f"https://h{i % 3}.net/p{i}", f"<body>{body}<div><p>own {i}</p><p>and {i}</p></div></body>"))
+    pages = spark.createDataFrame([(*r, "x", "x") for r in rows], PAGES)
+    count = collections.Counter((i % 3, b) for i, _, h in rows for b in boxes if b in h)
+    by = {r.page_id: r.text for r in extraction.extract(pages).collect()}
+    shown = 0
+    for i, _, h in rows:
+        left = [f"box {j}more" for j, b in enumerate(boxes) if b in h and count[(i % 3, b)] < extraction.MIN_PAGES]
+        shown += len(left)
+        assert by[i] == "\n".join([*left, f"own {i}", f"and {i}"])
+    assert shown and max(count.values()) > extraction.MIN_PAGES
+
+
 def test_box_on_one_percent_of_a_large_host(spark):
     box = "<div class='mid'>Read <b>our</b> offers</div>"
     rows = [(i, f"http://big.org/{i}", f"<body>{box if i % 100 == 0 else ''}<div><p>text {i} of page</p></div>")
