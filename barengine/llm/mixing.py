@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted fair queueing (DataFrame operations only).
 
-Every source is shuffled (by MD5 of key and seed). A document's virtual finish
+Every source is shuffled (by MD5 of key, text checksum and seed). A document's virtual finish
 time in pass ``e`` over its source is (e * source tokens + tokens of its source
 up to and including it) / target of its source. All passes of all documents are
 range-sorted by finish time and truncated at the total budget, so at any point
@@ -29,9 +29,13 @@ ORDER_BUCKETS = 1024
 
 
 def _order_keys(key: str, text: str, seed: int) -> list[Column]:
-    """The shuffled order of the documents of a source: 32 bits of MD5, then key and text checksum."""
-    return [md5_number(F.concat(key_text(F.col(key)), F.lit(f"|{seed}")), 1, 8).cast("long").alias("__h"),
-            key_text(F.col(key)).alias("__key"), crc(F.col(text)).alias("__crc")]
+    """The shuffled order of the documents of a source: 32 bits of MD5, then key and text checksum.
+
+    The checksum is part of the MD5, so the rows of one hot or null key lie all over the order.
+    """
+    k, c = key_text(F.col(key)), crc(F.col(text))
+    mixed = F.concat(k, F.lit("|"), c.cast("string"), F.lit(f"|{seed}"))
+    return [md5_number(mixed, 1, 8).cast("long").alias("__h"), k.alias("__key"), c.alias("__crc")]
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: int = 3,
@@ -65,9 +69,10 @@ def queue(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
           seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """The queue and its cut.
 
-    Returns (one row per document: key, order keys, size, source_size, target,
-    copies; one row per source: where in the source's order each pass stops).
-    Texts are read once and never shuffled. A source is cumulated in 1,024
+    Returns (one row per different document: key, order keys, size, __m (its equal rows), source_size,
+    target, copies; one row per source: where in the source's order each pass stops).
+    Texts are read once and never shuffled; equal rows are one entry of the queue, counted before
+    the shuffle. A source is cumulated in 1,024
     buckets of its shuffled order, so a source with a third of all rows fills
     no task.
     """
@@ -76,8 +81,10 @@ def queue(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     slim = docs.select(F.col(key), *_order_keys(key, text, seed), F.col(source).cast("string").alias("source"),
                        n_words(F.col(text)).alias("size"))
     slim = slim.withColumn("__b", F.shiftright(F.col("__h"), 32 - ORDER_BUCKETS.bit_length() + 1).cast("int"))
-    slim = materialize(slim.withColumn("__src", src), "mix-sizes")
-    buckets = slim.groupBy("__src", "__b").agg(F.sum("size").alias("__total"), F.first("source").alias("source"))
+    slim = slim.withColumn("__src", src)
+    slim = materialize(slim.groupBy(*slim.columns).agg(F.count(F.lit(1)).alias("__m")), "mix-sizes")
+    words_ = F.col("size") * F.col("__m")
+    buckets = slim.groupBy("__src", "__b").agg(F.sum(words_).alias("__total"), F.first("source").alias("source"))
     before = buckets.withColumn("__before", F.sum("__total").over(Window.partitionBy("__src").orderBy("__b"))
                                 - F.col("__total"))
     sizes = before.groupBy("__src").agg(F.first("source").alias("source"), F.sum("__total").alias("source_size"))
@@ -86,15 +93,15 @@ def queue(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     offsets = before.select("__src", "__b", "__before").join(targets, "__src")
     # peers (rows equal in all order keys) share one running sum
     running = Window.partitionBy("__src", "__b").orderBy(F.struct("__h", "__key", "__crc"))
-    timed = (slim.withColumn("__own", F.sum("size").over(running)).join(offsets, ["__src", "__b"])
+    timed = (slim.withColumn("__own", F.sum(words_).over(running)).join(offsets, ["__src", "__b"])
              .withColumn("__cum", F.col("__own") + F.col("__before")))
 
     def finish(e: int) -> Column:
         return (F.when(F.col("size") > 0, (F.col("__cum") + F.col("source_size") * e) / F.col("target"))
                 .alias(f"__vt{e}"))
-    timed = materialize(timed.select(key, "__src", "__h", "__key", "__crc", "size", "source_size", "target",
+    timed = materialize(timed.select(key, "__src", "__h", "__key", "__crc", "size", "__m", "source_size", "target",
                                      *[finish(e) for e in range(max_repeat)]), "mix-queue")
-    cut = cut_time(timed, [f"__vt{e}" for e in range(max_repeat)], "size",
+    cut = cut_time(timed, [f"__vt{e}" for e in range(max_repeat)], words_,
                    float(sum_of(sizes, "source_size") * budget), partitions(spark))
     taken = [F.coalesce(F.col(f"__vt{e}") <= F.lit(cut), F.lit(False)) for e in range(max_repeat)]
     decided = timed.withColumn("copies", sum((t.cast("int") for t in taken), F.lit(0)))
@@ -107,11 +114,11 @@ def sum_of(df: DataFrame, col: str) -> int:
     return int(df.agg(F.sum(col)).first()[0] or 0)
 
 
-def cut_time(queue_: DataFrame, times: list[str], size: str, budget: float, parts: int) -> float:
+def cut_time(queue_: DataFrame, times: list[str], size: Column, budget: float, parts: int) -> float:
     """The last finish time within the budget: the queue is range-sorted over all
     partitions, the partitions' token sums (one number each) show the partition
     in which the budget ends, and only that one is cumulated row by row."""
-    items = (queue_.select(F.explode(F.array(*times)).alias("vt"), F.col(size).alias("n"))
+    items = (queue_.select(F.explode(F.array(*times)).alias("vt"), size.alias("n"))
              .where("vt IS NOT NULL AND n > 0").repartitionByRange(parts, "vt")
              .withColumn("part", F.spark_partition_id()))
     items = materialize(items, "mix-items")
@@ -131,6 +138,7 @@ def cut_time(queue_: DataFrame, times: list[str], size: str, budget: float, part
 def mix_report(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
     """Per document: size, its source's size and target, and the words the mix takes of it."""
     decided, _ = queue(docs, key, **how)
+    decided = decided.withColumn("__each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__m"))))
     return decided.select(key, "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

@@ -76,7 +76,8 @@ def test_mix_matches_a_plain_queue(docs, rows, empty):
 
     def place(r):
         k = "null" if r[0] is None else str(r[0])
-        return int(hashlib.md5(f"{k}|0".encode()).hexdigest()[:8], 16), k, zlib.crc32((r[1] or "").encode())
+        c = zlib.crc32((r[1] or "").encode())
+        return int(hashlib.md5(f"{k}|{c}|0".encode()).hexdigest()[:8], 16), k, c
     times = collections.defaultdict(list)
     for s in sizes:
         mine = sorted((r for r in rows if r[3] == s), key=place)
@@ -111,6 +112,18 @@ def test_mix_matches_a_plain_queue(docs, rows, empty):
     assert mixing.mix_report(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_hot_keys_spread_over_the_queue(spark):
+    """A third of the rows under no key, a third equal: the order's largest bucket stays small, equal rows are one entry."""
+    rows = [(None, f"text {i}", "s") for i in range(1000)] + [(7, "one text of five words", "s")] * 1000
+    rows += [(10 + i, f"more {i}", "t") for i in range(1000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    decided, _ = mixing.queue(d)
+    shares = [r["count"] for r in decided.groupBy("__src", F.shiftright("__h", 22)).count().collect()]
+    assert decided.count() == 2001 and max(shares) < 20
+    got = mixing.mix_report(d).groupBy("doc_id", "taken").count().collect()
+    assert sum(r["count"] for r in got) == 3000 and len([r for r in got if r.doc_id == 7]) == 1
+
+
 def plain_rules(text):
     w = split_words(text)
     tri = [tuple(w[i:i + 3]) for i in range(len(w) - 2)]
