@@ -4,10 +4,10 @@
    plus the logarithm of its inverse frequency, so a passage that very many documents hold, or one of
    common words, still weighs; words that the benchmark does not have weigh nothing beside it.
 2. A randomised SVD of TF-IDF passages gives the latent space: rows are the
-   benchmark's passages, weighed ``ITEM_WEIGHT`` times, and a bounded sample of corpus
-   passages (``FIT_DOCS`` documents, ``FIT_PASSAGES_PER_DOC`` passages evenly from each whole
-   text), columns the benchmark's words; tasks multiply their rows with the current basis, partial products are added up by slices of
-   features, and the driver orthogonalises a matrix of (words of a block of items) x (dimensions + 16).
+   benchmark's passages, weighed ``ITEM_WEIGHT`` times, and all passages of all documents, which together weigh
+   as much as ``CORPUS_PASSAGES``; columns are the benchmark's words. Tasks count the word pairs of their passages, the
+   cells of this Gram matrix are added up by slices of rows, tasks multiply the slices with the current basis, and
+   the driver orthogonalises a matrix of (words of a block of items) x (dimensions + 16).
 3. Every document is walked whole in blocks of 32 words. Windows of two blocks are projected, and the projection's
    product with each benchmark passage, divided by the norms of both TF-IDF vectors, is their cosine.
    Windows that no passage can match are passed over before (``windows`` states the bound).
@@ -36,12 +36,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens as T
-from .common import key_text, materialize, md5_number
-from .packing import pack, unpack
+from .common import materialize
+from .packing import pack, pack_sorted, unpack, unpack_sorted
 
 ROW = "__row"
 PIECE = 1 << 20
@@ -51,13 +52,17 @@ FEATURE_BITS = 18
 DIMENSIONS = 320
 OVERSAMPLE = 16
 POWER_ROUNDS = 2
-FIT_DOCS = 64
-FIT_PASSAGES_PER_DOC = 16
+#: Weight of a benchmark passage in the fit, and the passages of weight 1 that all of the corpus together count as.
 ITEM_WEIGHT = 8.0
+CORPUS_PASSAGES = 1024
 #: Weight of a word that all documents hold; rarer ones weigh more by the logarithm of their inverse frequency.
 FLOOR_WEIGHT = 0.25
 FIT_PARTS = 4
 SLICE = 4096
+#: Cells of the Gram matrix that a task counts in one pass, rows in a slice of it, and tasks summed in the first step.
+GRAM_CELLS = 1 << 25
+GRAM_ROWS = 256
+GRAM_PARTS = 32
 #: Windows are two blocks of words.
 BLOCK = 32
 #: The most frequent words of a block of items, whose products are bounded instead of added up.
@@ -116,34 +121,6 @@ def idf(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
 
 # -- latent space ------------------------------------------------------------
 
-class _Rows:
-    """TF-IDF rows: passages as runs of feature places."""
-
-    def __init__(self, passages: list[np.ndarray], scale: list[float], place: np.ndarray, weight: np.ndarray):
-        f = [_features(p) for p in passages]
-        f = [x[place[x] >= 0] for x in f]
-        scale = np.array([s for s, x in zip(scale, f) if len(x)], np.float64)
-        f = [x for x in f if len(x)]
-        self.at = np.concatenate(f) if f else np.empty(0, np.int64)
-        n = np.array([len(x) for x in f], dtype=np.int64)
-        self.starts = np.cumsum(n) - n
-        w = weight[self.at]
-        self.rows = np.repeat(np.arange(len(n)), n)
-        norm = np.sqrt(np.bincount(self.rows, weights=w * w, minlength=len(n)))
-        self.w = (w * (scale / np.maximum(norm, 1e-12))[self.rows]).astype(np.float32)
-        self.at = place[self.at]
-
-    def times(self, q: np.ndarray) -> np.ndarray:
-        if not len(self.starts):
-            return np.empty((0, q.shape[1]), np.float32)
-        return np.add.reduceat(q[self.at] * self.w[:, None], self.starts, axis=0)
-
-    def transposed_times(self, y: np.ndarray, n: int) -> np.ndarray:
-        out = np.zeros((n, y.shape[1]), np.float32)
-        np.add.at(out, self.at, y[self.rows] * self.w[:, None])
-        return out
-
-
 def _passages(h: np.ndarray, size: int = PASSAGE) -> list[np.ndarray]:
     if not len(h):
         return []
@@ -163,26 +140,114 @@ def _orthonormal(z: np.ndarray) -> np.ndarray:
     return z
 
 
-def fit_space(docs: DataFrame, items: list[np.ndarray], weight: np.ndarray, key: str, text: str,
-              fit_docs: int = FIT_DOCS, dims: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
-    """(place of each feature in the basis or -1, basis: features x dimensions, times the IDF weights)."""
-    spark = docs.sparkSession
-    sample = (docs.select(md5_number(key_text(F.col(key)), 1, 15).alias("o"), F.xxhash64(text).alias("x"),
-                          F.col(text).alias("t")).where("t IS NOT NULL").orderBy("o", "x").limit(fit_docs).select("t"))
+def _add_passages(total: np.ndarray, h: np.ndarray, counts: np.ndarray, place: np.ndarray, weight: np.ndarray, n: int,
+                  lo: int, hi: int) -> int:
+    """Adds the word pairs of all passages of some texts, and returns the number of passages with words of the benchmark.
 
-    def cut(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            off, data = T.text_buffer(b.column("t"))
-            for i in range(b.num_rows):
-                _, h, _ = T.range_words(off, data, i, i + 1)
-                rows = _passages(h)
-                if len(rows) > FIT_PASSAGES_PER_DOC:  # evenly from the whole text
-                    rows = [rows[x] for x in np.linspace(0, len(rows) - 1, FIT_PASSAGES_PER_DOC).astype(int)]
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()),
-                                                  pa.array([1.0] * len(rows), pa.float64())], names=["p", "s"])
-    of_items = spark.createDataFrame([(p.tobytes(), ITEM_WEIGHT) for h in items for p in _passages(h)],
-                                     "p binary, s double")
-    table = materialize(sample.mapInArrow(cut, "p binary, s double").union(of_items).repartition(FIT_PARTS), "lsa-rows")
+    ``total`` is U of the Gram matrix D (U + U') D of the passages' TF-IDF rows of norm 1 (D: the weights of the ``n``
+    words), rows lo..hi-1. A passage is two blocks of PASSAGE / 2 words, the second also the first one of the next passage.
+    """
+    half = PASSAGE // 2
+    n_blocks = -(-counts // half)
+    first = np.cumsum(n_blocks) - n_blocks
+    last = np.zeros(int(n_blocks.sum()) + 1, bool)
+    last[(first + n_blocks)[n_blocks > 0] - 1] = True
+    alone = np.zeros(len(last), bool)
+    alone[first[n_blocks == 1]] = True
+    in_row = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = place[_features(h)]
+    known = at >= 0
+    blk, at = (np.repeat(first, counts) + in_row // half)[known], at[known]
+    energy = np.bincount(blk, weight[at] ** 2, minlength=len(last))
+    energy[:-1] += np.where(last[:-1], 0.0, energy[1:])
+    use = (energy > 0) & (~last | alone)
+    share = np.divide(1.0, energy, out=np.zeros(len(last)), where=use)
+    across = np.where(last, 0.0, share).astype(np.float32)
+    within = share.astype(np.float32)
+    within[1:] += across[:-1]
+    mine = (at >= lo) & (at < hi) if (lo, hi) != (0, n) else None
+
+    def add(x: np.ndarray, y: np.ndarray, value: np.ndarray) -> None:
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        if mine is not None:
+            own = (x >= lo) & (x < hi)
+            x, y, value = x[own], y[own], value[own]
+        np.add.at(total, (x - lo) * n + y, value)
+    add(at, at, within[blk] * np.float32(0.5))
+    i = np.arange(len(at))
+    for d in range(1, PASSAGE):
+        i = i[:np.searchsorted(i, len(at) - d)]
+        gap = blk[i + d] - blk[i]
+        near = gap <= 1
+        i, gap = i[near], gap[near]
+        if not len(i):
+            break
+        value = np.where(gap == 0, within[blk[i]], across[blk[i]])
+        add(at[i], at[i + d], value)
+    return int(use.sum())
+
+
+def _gram(texts: DataFrame, kind: int, held, n: int) -> DataFrame:
+    """Pairs of words of all passages of ``texts`` (t: text, or word hashes as binary): kind, s, at, v, passages.
+
+    Per slice of GRAM_ROWS rows of U (see ``_add_passages``), from row s: places of its cells, their values, number of passages.
+    """
+    hashed = dict(texts.dtypes)["t"] == "binary"
+    width = max(1, GRAM_CELLS // n)
+
+    def count(lo: int):
+        hi = min(n, lo + width)
+
+        def run(batches: Iterator[pa.RecordBatch]):
+            pa.default_memory_pool().release_unused()
+            place, weight = held.value
+            total, passages = np.zeros((hi - lo) * n, np.float32), 0
+            for b in batches:
+                if hashed:
+                    for x in b.column("t"):
+                        h = np.frombuffer(x.as_buffer(), np.uint64)
+                        passages += _add_passages(total, h, np.array([len(h)]), place, weight, n, lo, hi)
+                    continue
+                off, data = T.text_buffer(b.column("t"))
+                for a, z in T.row_pieces(off, PIECE):
+                    _, h, counts = T.range_words(off, data, a, z)
+                    passages += _add_passages(total, h, counts, place, weight, n, lo, hi)
+            part = TaskContext.get().partitionId() // GRAM_PARTS
+            for s in range(lo, hi, GRAM_ROWS):
+                yield _slice(part, s, total[(s - lo) * n:(min(hi, s + GRAM_ROWS) - lo) * n], passages if s == 0 else 0)
+        return run
+
+    def add(t: pa.Table) -> pa.Table:
+        total = None
+        for at, v in zip(t["at"], t["v"]):
+            at, v = unpack_sorted(at.as_py()).astype(np.int64), np.frombuffer(v.as_buffer(), np.float32)
+            total = np.zeros(GRAM_ROWS * n, np.float64) if total is None else total
+            total[at] += v
+        return pa.Table.from_batches([_slice(t["part"][0].as_py(), t["s"][0].as_py(), total, sum(t["passages"].to_pylist()))])
+    schema = "part long, s long, at binary, v binary, passages long"
+    out = None
+    for lo in range(0, n, width):  # one pass where U fits a task
+        got = texts.mapInArrow(count(lo), schema)
+        out = got if out is None else out.union(got)
+    out = out.groupBy("part", "s").applyInArrow(add, schema).withColumn("part", F.lit(0).cast("long"))
+    return out.groupBy("part", "s").applyInArrow(add, schema).select(F.lit(kind).alias("kind"), "s", "at", "v", "passages")
+
+
+def _slice(part: int, s: int, rows: np.ndarray, passages: int) -> pa.RecordBatch:
+    at = np.flatnonzero(rows)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([part], pa.int64()), pa.array([s], pa.int64()), pa.array([pack_sorted(at.astype(np.uint64))], pa.binary()),
+         pa.array([rows[at].astype(np.float32).tobytes()], pa.binary()), pa.array([passages], pa.int64())],
+        names=["part", "s", "at", "v", "passages"])
+
+
+def fit_space(docs: DataFrame, items: list[np.ndarray], weight: np.ndarray, text: str,
+              dims: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each feature in the basis or -1, basis: features x dimensions, times the IDF weights).
+
+    All passages of all documents are in the fit; together they weigh as much as CORPUS_PASSAGES of weight 1.
+    """
+    spark = docs.sparkSession
     seen = np.zeros(1 << FEATURE_BITS, bool)
     for h in items:
         seen[_features(h)] = True
@@ -191,36 +256,44 @@ def fit_space(docs: DataFrame, items: list[np.ndarray], weight: np.ndarray, key:
     n = int(seen.sum())
     if not n:
         return place, np.zeros((0, 1), np.float32)
-    held = spark.sparkContext.broadcast((place, weight))
+    own = weight[seen].astype(np.float32)
+    held = spark.sparkContext.broadcast((place, own.astype(np.float64)))
+    of_items = spark.createDataFrame([(h.tobytes(),) for h in items if len(h)], "t binary")
+    table = materialize(_gram(docs.select(F.col(text).alias("t")), 0, held, n)
+                        .union(_gram(of_items, 1, held, n)).repartition(FIT_PARTS, "s"), "lsa-gram")
+    held.destroy()
+    passages = table.where("kind = 0").agg(F.sum("passages")).first()[0] or 0
+    scales = (CORPUS_PASSAGES / max(passages, 1), ITEM_WEIGHT ** 2)
     q = np.random.default_rng(7).standard_normal((n, min(dims + OVERSAMPLE, n)), dtype=np.float32)
     for _ in range(POWER_ROUNDS):
-        q = _orthonormal(_summed(table, held, q, "z", n))
-    small = _summed(table, held, q, "g", q.shape[1]).astype(np.float64)
+        q = _orthonormal(_product(table, scales, own, q))
+    small = (q.T @ _product(table, scales, own, q)).astype(np.float64)
     val, vec = np.linalg.eigh((small + small.T) / 2)
     top = np.argsort(val)[::-1][:dims]
-    held.destroy()
     basis = q @ vec[:, top].astype(np.float32)
-    np.multiply(basis, weight[seen][:, None], out=basis, casting="same_kind")
+    np.multiply(basis, own[:, None], out=basis, casting="same_kind")
     return place, basis
 
 
-def _summed(table: DataFrame, held, q: np.ndarray, what: str, n: int) -> np.ndarray:
-    """A'(A q) (what = z) or (A q)'(A q) (what = g), added up over all tasks by slices of rows.
+def _product(table: DataFrame, scales: tuple[float, float], own: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Gram matrix times q, added up over all tasks by slices of rows.
 
     The sums are with the driver when the job ends, so nothing needs the broadcast factor any more.
     """
-    shared = table.sparkSession.sparkContext.broadcast(q)
-    cols = q.shape[1]
+    shared = table.sparkSession.sparkContext.broadcast(q * own[:, None])
+    n, cols = q.shape
 
     def product(batches: Iterator[pa.RecordBatch]):
         q = shared.value
-        place, weight = held.value
         total = np.zeros((n, cols), np.float32)
         for b in batches:
-            rows = _Rows([np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("p")],
-                         b.column("s").to_pylist(), place, weight)
-            y = rows.times(q)
-            total += rows.transposed_times(y, n) if what == "z" else y.T @ y
+            for kind, s, at, v in zip(*(b.column(c) for c in ("kind", "s", "at", "v"))):
+                s = s.as_py()
+                rows = np.zeros((min(GRAM_ROWS, n - s), n), np.float32)
+                rows.ravel()[unpack_sorted(at.as_py()).astype(np.int64)] = np.frombuffer(v.as_buffer(), np.float32)
+                rows *= np.float32(scales[kind.as_py()])
+                total[s:s + len(rows)] += rows @ q
+                total += rows.T @ q[s:s + len(rows)]
         for s in range(0, n, SLICE):
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([total[s:s + SLICE].tobytes()],
                                                                                   pa.binary())], names=["s", "m"])
@@ -231,7 +304,8 @@ def _summed(table: DataFrame, held, q: np.ndarray, what: str, n: int) -> np.ndar
                                      pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["s", "m"])
     parts = table.mapInArrow(product, "s long, m binary").groupBy("s").applyInArrow(add, "s long, m binary").collect()
     shared.destroy()
-    return np.concatenate([np.frombuffer(r.m, np.float32).reshape(-1, cols) for r in sorted(parts, key=lambda r: r.s)])
+    z = np.concatenate([np.frombuffer(r.m, np.float32).reshape(-1, cols) for r in sorted(parts, key=lambda r: r.s)])
+    return z * own[:, None]
 
 
 # -- search and checks -------------------------------------------------------
@@ -415,7 +489,7 @@ def _one_block(docs, items, weight, key, text, carry, min_cosine) -> DataFrame:
     ids, answers = [r.item for r in rows], [r.answer for r in rows]
     words = [np.frombuffer(r.h, np.uint64) for r in rows]
     dims = max(DIMENSIONS, sum(r.passages for r in rows) + SPARE_DIMENSIONS)
-    place, basis = fit_space(docs, words, weight, key, text, dims=dims)
+    place, basis = fit_space(docs, words, weight, text, dims=dims)
     cut = [(i, p) for i, h in enumerate(words) for p in _passages(h)]
     of = np.array([i for i, _ in cut], np.int64)
     # a task's view of the block: its parts' words, its passages and the basis over their words

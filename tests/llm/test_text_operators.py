@@ -5,9 +5,12 @@ import random
 import time
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
+import pytest
 import zstandard
-from barengine.llm import decontamination, extraction, html_tree, licenses, warc
+from barengine.llm import decontamination, extraction, html_tree, licenses, tokens, warc
 
 from corpus_rows import SF001, docs, empty, rows  # noqa: F401
 
@@ -121,6 +124,35 @@ def test_many_long_items(spark):
         [*[(i, 4 * i) for i in range(64)], (None, 9)])
 
 
+@pytest.mark.parametrize("cells", [1 << 25, 1 << 12])
+def test_space_is_fitted_on_all_passages_of_all_documents(spark, monkeypatch, cells):
+    monkeypatch.setattr(decontamination, "GRAM_CELLS", cells)  # the second value: several passes over the rows
+    monkeypatch.setattr(decontamination, "ITEM_WEIGHT", 0.0)
+    r = random.Random(17)
+    vocab = [f"w{i}" for i in range(120)]
+    # each document has its own words, so any sample of them misses directions
+    docs = [(i, " ".join(r.choices(vocab[i % 20 * 6:i % 20 * 6 + 9], k=r.choice([3, 48, 49, 70, 2000])))) for i in range(160)]
+    docs += [(None, None), (900, ""), (901, "unheard " * 60)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+
+    def hashes(t):
+        return tokens.range_words(*tokens.text_buffer(pa.array([t])), 0, 1)[1]
+    items = [hashes(" ".join(vocab))]
+    weight = np.random.default_rng(2).random(1 << decontamination.FEATURE_BITS) + 0.5
+    place, basis = decontamination.fit_space(d, items, weight, "text", dims=12)
+    n = int((place >= 0).sum())
+    own, gram = weight[place >= 0], np.zeros((n, n))
+    for _, t in docs:
+        for p in decontamination._passages(hashes(t or "")):
+            at = place[decontamination._features(p)]
+            x = np.bincount(at[at >= 0], minlength=n) * own
+            norm = (own[at[at >= 0]] ** 2).sum()
+            gram += np.outer(x, x) / norm if norm else 0
+    v = basis / own[:, None]
+    assert np.allclose(v.T @ v, np.eye(12), atol=1e-3)
+    assert np.trace(v.T @ gram @ v) > 0.98 * np.linalg.eigvalsh(gram)[-12:].sum()
+
+
 def test_blocks_of_items_agree(spark, monkeypatch):
     d, b = (spark.read.parquet(f"{SF001}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = {(x.doc_id, x.contaminated, x.item) for x in decontamination.contaminated(d, b).collect()}
