@@ -61,12 +61,24 @@ _CHUNK = ("batch long, rid array<long>, key_ array<long>, fold array<int>, count
 
 def chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
     """The corpus as chunks (see above), written to the shared folder."""
+    slim = docs.select(F.col(key).cast("long").alias("key_"),
+                       F.pmod(F.crc32(key_text(F.col(key)).cast("binary")), F.lit(FOLDS)).cast("int").alias("fold"),
+                       F.col(text).alias("t"))
+    return write_chunks(slim)
+
+
+def write_chunks(slim: DataFrame, piece: int = PIECE, chunk: int = CHUNK) -> DataFrame:
+    """Chunks of the rows (key_, fold, t; string columns beside them go with the chunk) of ``slim``."""
+    more = [c for c in slim.columns if c not in ("key_", "fold", "t")]
+    schema = _CHUNK + "".join(f", {c} array<string>" for c in more)
+
     def make(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             off, data = T.text_buffer(b.column("t"))
             keys, folds = b.column("key_").to_pylist(), b.column("fold").to_pylist()
+            rest = [b.column(c).to_pylist() for c in more]
             base = uuid.uuid4().int >> 66
-            for a, z in T.row_pieces(off, PIECE):
+            for a, z in T.row_pieces(off, piece):
                 _, h, counts = T.range_words(off, data, a, z)
                 # each document gets its end token
                 ends = np.cumsum(counts + 1)
@@ -74,8 +86,8 @@ def chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
                 prev = np.concatenate([[BEGIN], h[:-1]])
                 prev[np.concatenate([[0], ends[:-1]])] = BEGIN
                 starts = ends - counts - 1
-                for lo in range(0, len(h), CHUNK):
-                    hi = min(lo + CHUNK, len(h))
+                for lo in range(0, len(h), chunk):
+                    hi = min(lo + chunk, len(h))
                     rows = np.arange(np.searchsorted(ends, lo, side="right"), np.searchsorted(starts, hi, side="left"))
                     n = np.minimum(ends[rows], hi) - np.maximum(starts[rows], lo)
                     uw, seq = np.unique(h[lo:hi], return_inverse=True)
@@ -88,11 +100,10 @@ def chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
                         pa.array([n.astype(np.int32)], pa.list_(pa.int32())),
                         pa.array([first.view(np.int64)], pa.list_(pa.int64())),
                         pa.array([pack_sorted(uw)], pa.binary()), pa.array([pack(seq.astype(np.uint32))], pa.binary()),
-                        pa.array([hi - lo], pa.int64())], names=[x.split()[0] for x in _CHUNK.split(", ")])
-    slim = docs.select(F.col(key).cast("long").alias("key_"),
-                       F.pmod(F.crc32(key_text(F.col(key)).cast("binary")), F.lit(FOLDS)).cast("int").alias("fold"),
-                       F.col(text).alias("t"))
-    return materialize(slim.mapInArrow(make, _CHUNK), "lm-chunks")
+                        pa.array([hi - lo], pa.int64()),
+                        *[pa.array([[x[a + r] for r in rows]], pa.list_(pa.string())) for x in rest]],
+                        names=[x.split()[0] for x in schema.split(", ")])
+    return materialize(slim.mapInArrow(make, schema), "lm-chunks")
 
 
 class _Chunk:

@@ -138,6 +138,22 @@ def test_oversized_documents_leave_room_in_the_sample(spark):
     assert not quality_model.training_keys(d, labels, "doc_id", "text", max_tokens=0).count()
 
 
+def test_classifier_learns_from_all_trusted_documents(spark):
+    n = 9000  # more than the 8,192 documents that once were the limit
+    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    d = labels.selectExpr("doc_id", "concat('word', doc_id, ' of ', doc_id % 3) AS text", "'en' AS lang")
+    d = d.union(d.where("doc_id % 100 = 1")).union(d.where("doc_id = 7").selectExpr("doc_id", "'other text'", "lang"))
+    train = quality_model.trusted(labels, "doc_id").where("fold_ <> 0")
+    ids = quality_model.training_keys(d, labels, "doc_id", "text")
+    assert sorted(r.key_ for r in ids.collect()) == sorted(r.key_ for r in train.collect())
+    assert quality_model.training_texts(d, ids, "doc_id", "text").count() == train.count()  # one text a key
+    got = quality_model.classify(d, labels).join(train.withColumnRenamed("key_", "doc_id"), "doc_id").where("doc_id <> 7")
+    # a trained text has the one word that only it holds, and so the same probability as all the others of its kind
+    assert got.count() > train.count() and max(r.m - r.l for r in got.groupBy(got.doc_id % 3).agg(
+        {"log10_prob": "max"}).withColumnRenamed("max(log10_prob)", "m").join(got.groupBy(got.doc_id % 3).agg(
+            {"log10_prob": "min"}).withColumnRenamed("min(log10_prob)", "l"), "(doc_id % 3)").collect()) < 1e-6
+
+
 def test_classifier_on_labelled_documents(spark):
     d, lab = (spark.read.parquet(f"{SF01}/{t}.parquet") for t in ("documents", "labels"))
     got = quality_model.classify(d, lab).join(lab, "doc_id").select("quality", "toxic", "kept").collect()
