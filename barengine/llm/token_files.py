@@ -13,7 +13,9 @@ prefix sums of the counts in the manifest. Files carry the name of their attempt
 returns gets into the manifest, so a task that runs again after the loss of an executor leaves an unreferenced file.
 
 Tokenizers that drop white space (``by_words``) encode a text as the ids of its words, one word after another.
-Each distinct word is then encoded once by the tokenizer and kept in a bounded cache of the worker;
+Each distinct word is then encoded once by the tokenizer and kept in a bounded cache of the worker (words of ASCII
+letters, with a closing mark or without, many at once with spaces between where the ids tell the ends of pieces, others
+with a special token between);
 one text of each piece is encoded whole too, and another result is an error. Others encode texts whole.
 
 Defined results
@@ -47,6 +49,8 @@ FILE_TOKENS = 1 << 26
 CACHE_WORDS = 1 << 20
 #: Distinct words encoded by one call.
 CALL_WORDS = 1024
+#: Marks that close words, which may be encoded together.
+PUNCTUATION = ".,;:!?"
 #: Ids that a reader hands on at once.
 READ_TOKENS = 1 << 20
 
@@ -81,6 +85,15 @@ class Encoder:
         self.specials = [c.encode() for c, _ in added]
         upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
         self.fold = by_words and self.tok.normalizer is not None and self.tok.normalizer.normalize_str(upper) == upper.lower()
+        # which ids end a piece of text, where the model says so
+        model = json.loads(tokenizer)["model"]
+        suffix, vocab = model.get("end_of_word_suffix"), model.get("vocab")
+        self.last, self.marks = None, {}
+        if by_words and suffix and isinstance(vocab, dict):
+            self.last = np.zeros(self.tok.get_vocab_size(with_added_tokens=True) + max(vocab.values()) + 1, bool)
+            self.last[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
+            alone = {ord(c): e for c, e in zip(PUNCTUATION, self._whole([c.encode() for c in PUNCTUATION]))}
+            self.marks = {c: e[0] for c, e in alone.items() if len(e) == 1}
         self._clear()
 
     def _clear(self):
@@ -91,32 +104,61 @@ class Encoder:
         self.size = np.empty(1 << 14, np.int64)
         self.known = 0
 
-    def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _keep(self, at: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Keeps the ids of the words with the given places."""
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while self.known + len(sizes) > len(self.start):
+        while len(at) and at.max() >= len(self.start):
             self.start = np.concatenate([self.start, np.empty_like(self.start)])
             self.size = np.concatenate([self.size, np.empty_like(self.size)])
         self.flat[self.used:self.used + len(ids)] = ids
-        self.start[self.known:self.known + len(sizes)] = self.used + np.cumsum(sizes) - sizes
-        self.size[self.known:self.known + len(sizes)] = sizes
+        self.start[at] = self.used + np.cumsum(sizes) - sizes
+        self.size[at] = sizes
         self.used += len(ids)
-        self.known += len(sizes)
 
     def _learn(self) -> None:
-        """Encodes the words that wait, in order."""
+        """Encodes the words that wait."""
         new, self.codes.new = self.codes.new, []
-        for i in range(0, len(new), CALL_WORDS):
-            group = new[i:i + CALL_WORDS]
-            joined = self.mark[0].encode().join(group) if self.mark else b""
-            if self.mark and sum(joined.count(s) for s in self.specials) == len(group) - 1:
-                ids = np.array(self.tok.encode_batch_fast([joined.decode()], add_special_tokens=False)[0].ids, np.uint32)
-                cut = np.flatnonzero(ids == self.mark[1])
-                sizes = np.diff(cut, prepend=-1, append=len(ids)) - 1
-                self._keep(ids[ids != self.mark[1]], sizes)
-            else:  # a word that holds a special token, or a tokenizer without one
-                each = self._whole(group)
-                self._keep(np.array([x for e in each for x in e], np.uint32), np.array([len(e) for e in each], np.int64))
+        places = np.arange(self.known, self.known + len(new))
+        self.known += len(new)
+        kinds = np.array([self._kind(w) for w in new] if self.last is not None else [0] * len(new), np.int64)
+        for kind in (1, 2, 0):
+            at = np.flatnonzero(kinds == kind)
+            for i in range(0, len(at), CALL_WORDS):
+                part = at[i:i + CALL_WORDS]
+                group = [new[j] for j in part]
+                if not (kind and self._learn_spaced(places[part], group, kind)):
+                    self._learn_marked(places[part], group)
+
+    def _kind(self, word: bytes) -> int:
+        """1: ASCII letters alone, 2: these and one mark of PUNCTUATION that is one id, 0: others."""
+        return 1 if word.isalpha() else 2 if word[-1] in self.marks and word[:-1].isalpha() else 0
+
+    def _learn_spaced(self, at: np.ndarray, group: list[bytes], kind: int) -> bool:
+        """Words as one text with spaces; false if they do not come back as ``kind`` pieces each, the second the mark."""
+        joined = b" ".join(group)
+        if self.last is None or any(s in joined for s in self.specials):
+            return False
+        ids = np.array(self.tok.encode_batch_fast([joined.decode()], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.last[ids])
+        if len(ends) != kind * len(group) or ends[-1] != len(ids) - 1 or (
+                kind == 2 and ids[ends[1::2]].tolist() != [self.marks[w[-1]] for w in group]):
+            self.last = None  # another kind of tokenizer
+            return False
+        self._keep(at, ids, np.diff(ends[kind - 1::kind], prepend=-1))
+        return True
+
+    def _learn_marked(self, at: np.ndarray, group: list[bytes]) -> None:
+        """Words with a special token between them."""
+        joined = self.mark[0].encode().join(group) if self.mark else b""
+        if self.mark and sum(joined.count(s) for s in self.specials) == len(group) - 1:
+            ids = np.array(self.tok.encode_batch_fast([joined.decode()], add_special_tokens=False)[0].ids, np.uint32)
+            cut = np.flatnonzero(ids == self.mark[1])
+            sizes = np.diff(cut, prepend=-1, append=len(ids)) - 1
+            self._keep(at, ids[ids != self.mark[1]], sizes)
+        else:  # a word that holds a special token, or a tokenizer without one
+            each = self._whole(group)
+            self._keep(at, np.array([x for e in each for x in e], np.uint32), np.array([len(e) for e in each], np.int64))
 
     def _folded(self, part: bytes) -> bytes:
         """An ASCII text in lower case, for tokenizers that lower it themselves; special tokens stay as they are."""

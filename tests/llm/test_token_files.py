@@ -96,3 +96,16 @@ def test_cache_starts_anew(spark, tok, monkeypatch):
     for parts in ([b"one two three", b"four"], [b"two four", b""], [b"one"]):
         ids, n = e.encode(parts)
         assert ids.tolist() == [x for p in parts for x in tok.encode(p.decode(), add_special_tokens=False).ids + [2]]
+
+
+def test_plain_words_are_encoded_together(tok, monkeypatch):
+    """Words of letters, with a closing mark or without, need no special token between them; odd ones beside them keep theirs."""
+    marked = []
+    learn = K.Encoder._learn_marked
+    monkeypatch.setattr(K.Encoder, "_learn_marked", lambda self, at, group: (marked.extend(group), learn(self, at, group)))
+    e = K.Encoder(open(PATH).read(), 2, True)
+    parts = [b"Plain words, each one. Or two: it's a-b x.. ,; 12 .a \xc3\xa9t\xc3\xa9.", b"plain; q! Q? zzzzqx. t s re, . I'll"]
+    ids, n = e.encode(parts)
+    want = [tok.encode(p.decode(), add_special_tokens=False).ids + [2] for p in parts]
+    assert ids.tolist() == sum(want, []) and n.tolist() == [len(w) for w in want]
+    assert {b"it's", b"a-b", b"x..", b"12"} <= set(marked) and not {b"plain", b"words,", b"one.", b"two:", b"q!"} & {w.lower() for w in marked}
