@@ -67,8 +67,8 @@ def chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
     return write_chunks(slim)
 
 
-def write_chunks(slim: DataFrame, piece: int = PIECE, chunk: int = CHUNK) -> DataFrame:
-    """Chunks of the rows (key_, fold, t; string columns beside them go with the chunk) of ``slim``."""
+def write_chunks(slim: DataFrame, piece: int = PIECE, chunk: int = CHUNK, keep=materialize) -> DataFrame:
+    """Chunks of the rows (key_, fold, t; string columns beside them go with the chunk) of ``slim``, written by ``keep``."""
     more = [c for c in slim.columns if c not in ("key_", "fold", "t")]
     schema = _CHUNK + "".join(f", {c} array<string>" for c in more)
 
@@ -103,7 +103,7 @@ def write_chunks(slim: DataFrame, piece: int = PIECE, chunk: int = CHUNK) -> Dat
                         pa.array([hi - lo], pa.int64()),
                         *[pa.array([[x[a + r] for r in rows]], pa.list_(pa.string())) for x in rest]],
                         names=[x.split()[0] for x in schema.split(", ")])
-    return materialize(slim.mapInArrow(make, schema), "lm-chunks")
+    return keep(slim.mapInArrow(make, schema), "lm-chunks")
 
 
 class _Chunk:

@@ -1,12 +1,14 @@
 """Language models: formulas in plain Python, held-out accuracy."""
 import collections
 import math
+import pathlib
 import re
+import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from barengine.llm import language_model, quality_model, tokens
+from barengine.llm import common, language_model, quality_model, tokens
 
 from corpus_rows import SF01, docs, empty, rows  # noqa: F401
 
@@ -154,6 +156,44 @@ def test_classifier_learns_from_all_trusted_documents(spark):
             {"log10_prob": "min"}).withColumnRenamed("min(log10_prob)", "l"), "(doc_id % 3)").collect()) < 1e-6
 
 
+def test_scoring_gives_its_disk_back(spark, docs, rows, monkeypatch):
+    """Before, chunks of all texts, questions and answers lay on disk together until the session ended."""
+    folder = pathlib.Path(common.app_dir(spark).removeprefix("file://"))
+
+    def tables(name):
+        return {p for p in folder.glob(f"{name}-*")}
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    chunks, answers, most, keep, got = tables("lm-chunks"), tables("kn-answers"), [], common.Scratch.keep, {}
+    monkeypatch.setattr(common.Scratch, "keep", lambda self, df, name: (
+        keep(self, df, name), most.append(len(tables("lm-chunks") - chunks)))[0])
+    for n in (1, 5):
+        monkeypatch.setattr(quality_model, "SLICES", n)
+        result = quality_model.classify(docs, labels)
+        assert tables("lm-chunks") == chunks and tables("kn-answers") == answers and max(most) == 1
+        got[n] = sorted((r.doc_id is None, r.doc_id, r.text_hash, r.lang or "", r.n_tokens, round(r.log10_prob, 6), r.kept)
+                        for r in result.collect())
+    assert len(got[1]) == len(rows) and got[1] == got[5]
+
+
+def test_shuffle_files_of_a_kept_table_go(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {f for f in str(disk.getAllFiles().mkString(" ")).split() if "shuffle_" in f}
+    old, conf = shuffles(), spark.conf.get(common.Scratch.CLEANUP, None)
+    scratch = common.Scratch(spark)
+    kept = scratch.keep(spark.range(1000).selectExpr("id % 7 AS k", "id").repartition(3, "k"), "test")
+    until = time.time() + 20
+    while [f for f in shuffles() - old if f.endswith(".data")] and time.time() < until:  # they go a moment after the job
+        time.sleep(0.2)
+    assert not [f for f in shuffles() - old if f.endswith(".data")]
+    assert kept.count() == 1000 and spark.conf.get(common.Scratch.CLEANUP, None) == conf
+    path = pathlib.Path(scratch.paths["test"][0].removeprefix("file://"))
+    assert path.exists()
+    scratch.drop("test")
+    assert not path.exists()
+
+
 def test_classifier_on_labelled_documents(spark):
     d, lab = (spark.read.parquet(f"{SF01}/{t}.parquet") for t in ("documents", "labels"))
     got = quality_model.classify(d, lab).join(lab, "doc_id").select("quality", "toxic", "kept").collect()
