@@ -96,8 +96,9 @@ def idf(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
             n += b.num_rows
             for a, z in T.row_pieces(off, PIECE):
                 row, h, _ = T.range_words(off, data, a, z)
-                pairs = np.unique((row.astype(np.int64) << FEATURE_BITS) | _features(h))
-                df += np.bincount(pairs & ((1 << FEATURE_BITS) - 1), minlength=len(df)).astype(np.uint32)
+                pairs = np.sort((row << FEATURE_BITS) | _features(h))
+                once = np.flatnonzero(np.diff(pairs, prepend=-1))
+                df += np.bincount(pairs[once] & ((1 << FEATURE_BITS) - 1), minlength=len(df)).astype(np.uint32)
         for s in range(0, len(df), 1 << 14):
             yield pa.RecordBatch.from_arrays([pa.array([s >> 14], pa.int64()),
                                               pa.array([pack(df[s:s + (1 << 14)])], pa.binary()),

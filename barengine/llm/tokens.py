@@ -5,8 +5,8 @@ every word gets a polynomial hash of its bytes (A-Z in lower case), finished
 with a bit mixer, so no Python object is made per word. Two different words
 share a hash with probability 2^-64.
 
-Texts are walked in pieces of ``PIECE`` bytes, cut at white space, so memory
-does not grow with the length of a text beyond eight bytes per word.
+Texts are walked in pieces of ``STEP`` bytes, cut at white space, so memory
+does not grow with the length of a text beyond eight bytes per word, and a piece's arrays stay in a core's cache.
 """
 
 from __future__ import annotations
@@ -14,7 +14,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+#: Bytes of texts that callers gather, and bytes that are hashed at once.
 PIECE = 1 << 20
+STEP = 1 << 16
+#: Mean bytes of a row from which rows are copied one by one.
+LONG_ROW = 64
 _R = 0x9E3779B97F4A7C15 | 1
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -44,13 +48,13 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_POW = _powers(_R, PIECE + 1)
-_IPOW = _powers(int(_INV), PIECE + 1)
+_POW = _powers(_R, STEP + 1)
+_IPOW = _powers(int(_INV), STEP + 1)
 
 
 def _piece(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, hashes) of the words of at most PIECE bytes."""
-    space = _SPACE[b]
+    """(starts, ends, hashes) of the words of at most STEP bytes."""
+    space = np.take(_SPACE, b)
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.concatenate([[0], edge])
@@ -58,19 +62,25 @@ def _piece(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         edge = np.concatenate([edge, [len(b)]])
     starts, ends = edge[0::2], edge[1::2]
     total = np.zeros(len(b) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[b] * _POW[:len(b)], out=total[1:])
-    h = (total[ends] - total[starts]) * _IPOW[starts]
-    return starts, ends, mix64(h ^ (ends - starts).astype(np.uint64))
+    value = np.take(_BYTE, b)
+    value *= _POW[:len(b)]
+    np.cumsum(value, out=total[1:])
+    total = np.take(total, edge)
+    h = total[1::2] - total[0::2]
+    h *= np.take(_IPOW, starts)
+    h ^= (ends - starts).view(np.uint64)
+    return starts, ends, mix64(h)
 
 
 def _long_word(b: np.ndarray) -> np.uint64:
     """The hash of one word of any length."""
+    step = min(PIECE, STEP)
     total, shift = np.uint64(0), np.uint64(1)
     with np.errstate(over="ignore"):
-        for i in range(0, len(b), PIECE):
-            part = b[i:i + PIECE]
+        for i in range(0, len(b), step):
+            part = b[i:i + step]
             total += np.sum(_BYTE[part] * _POW[:len(part)], dtype=np.uint64) * shift
-            shift = shift * _POW[PIECE]
+            shift = shift * _POW[step]
         return mix64(np.array([total ^ np.uint64(len(b))], dtype=np.uint64))[0]
 
 
@@ -79,20 +89,24 @@ def text_words(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(b) == 0:
         e = np.empty(0, dtype=np.int64)
         return e, e, np.empty(0, dtype=np.uint64)
-    if len(b) <= PIECE:
+    step = min(PIECE, STEP)
+    if len(b) <= step:
         return _piece(b)
     parts, at = [], 0
     while at < len(b):
-        end = min(at + PIECE, len(b))
+        end = min(at + step, len(b))
         if end < len(b) and not _SPACE[b[end]]:
-            back = np.flatnonzero(_SPACE[b[at:end]])
+            for tail in (256, step):
+                back = np.flatnonzero(_SPACE[b[max(at, end - tail):end]])
+                if len(back):
+                    break
             if len(back):
-                end = at + int(back[-1]) + 1
+                end = max(at, end - tail) + int(back[-1]) + 1
             else:  # one word longer than a piece
                 end = at
-                while end < len(b) and not _SPACE[b[end:end + PIECE]].any():
-                    end += PIECE
-                end = min(len(b), end + (int(np.flatnonzero(_SPACE[b[end:end + PIECE]])[0]) if end < len(b) else 0))
+                while end < len(b) and not _SPACE[b[end:end + step]].any():
+                    end += step
+                end = min(len(b), end + (int(np.flatnonzero(_SPACE[b[end:end + step]])[0]) if end < len(b) else 0))
                 parts.append((np.array([at]), np.array([end]), np.array([_long_word(b[at:end])], dtype=np.uint64)))
                 at = end
                 continue
@@ -137,14 +151,15 @@ def range_words(off: np.ndarray, data: np.ndarray, a: int, z: int) -> tuple[np.n
     buf = np.full(int(lens.sum()) + n, 0x20, dtype=np.uint8)
     new = np.concatenate([[0], np.cumsum(lens + 1)])[:-1]
     src = data[off[a]:off[z]]
-    # a byte of row r moves r places to the right
-    if n == 1:
-        buf[:-1] = src
-    else:
+    if len(src) >= LONG_ROW * n:
+        at = (off[a:z] - off[a]).tolist()
+        for i, (to, size) in enumerate(zip(new.tolist(), lens.tolist())):
+            buf[to:to + size] = src[at[i]:at[i] + size]
+    else:  # a byte of row r moves r places to the right
         buf[np.arange(len(src)) + np.repeat(np.arange(n), lens)] = src
     starts, _, h = text_words(buf)
-    row = np.searchsorted(new, starts, side="right") - 1
-    return row, h, np.bincount(row, minlength=n)
+    counts = np.diff(np.searchsorted(starts, new), append=len(starts))
+    return np.repeat(np.arange(n), counts), h, counts
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
