@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +46,30 @@ def md5_number(text: Column, first: int, digits: int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), first, digits), 16, 10).cast("decimal(20,0)")
 
 
+#: Parquet for rows of packed arrays: a row may be megabytes, so pages and row groups end by size from the first row on,
+#: and a writer holds little more than one row group (by default it looks after 100 rows, at 128 MB).
+PACKED_ROWS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "16"}
+#: Bytes of an Arrow batch on its way to Python; 10,000 rows (the default) are any size.
+BATCH_BYTES = 15 << 18
+
+
+@contextmanager
+def settings(spark: SparkSession, more: dict[str, str] | None = None) -> Iterator[None]:
+    """Small Arrow batches, and ``more``, for the jobs inside; then all is as before."""
+    conf = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)} | (more or {})
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -60,16 +86,9 @@ class Scratch:
         self.spark, self.paths = spark, {}
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        before = self.spark.conf.get(self.CLEANUP, None)
-        self.spark.conf.set(self.CLEANUP, "true")
-        try:
-            path = f"{app_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-            df.write.parquet(path)
-        finally:
-            if before is None:
-                self.spark.conf.unset(self.CLEANUP)
-            else:
-                self.spark.conf.set(self.CLEANUP, before)
+        path = f"{app_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        with settings(self.spark, {self.CLEANUP: "true"}):
+            df.write.options(**PACKED_ROWS).parquet(path)
         self.paths.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

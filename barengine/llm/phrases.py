@@ -26,7 +26,6 @@ Defined results
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -36,11 +35,11 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens as T
-from .common import app_dir, partitions
+from .common import Scratch, partitions
 from .packing import pack, pack_sorted, unpack, unpack_sorted
 
 MIN_COUNT = 30
@@ -50,7 +49,7 @@ TOP = 2000
 SCALE = 2_000_000
 #: Share of a candidate's count at which a longer candidate makes it redundant, in percent.
 COVERED = 80
-CHUNK_WORDS = 1 << 21
+CHUNK_WORDS = 1 << 19
 #: Occurrences per range of groups that one reducer adds up, about.
 RANGE_GROUPS = 1 << 21
 UNKNOWN_LANG = "und"
@@ -311,22 +310,6 @@ def _next(k: int, ranges: int):
     return semi
 
 
-class _Tables:
-    """Tables in the shared folder that can be given back before the job ends."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        self.paths[name] = f"{app_dir(self.spark)}/phrases-{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.paths[name])
-        return self.spark.read.schema(df.schema).parquet(self.paths[name])
-
-    def drop(self, name: str) -> None:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", min_count: int = MIN_COUNT,
                      max_words: int = MAX_WORDS, chunk_words: int = CHUNK_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(phrases: k, w1 .. wmax, f; words: lang, word, id; totals: lang, n).
@@ -334,7 +317,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", mi
     ``w`` are the numbers of words (-1 beyond k); phrases of one word are those with k = 1; ``max_words`` is 2 to 4.
     """
     spark = docs.sparkSession
-    tables = _Tables(spark)
+    tables = Scratch(spark)
     slim = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN_LANG)).alias("lang"),
                        F.col(text).cast("string").alias("t")).where("t IS NOT NULL")
     r0 = tables.keep(slim.mapInArrow(_chunks(chunk_words, partitions(spark)), R0), "r0")

@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from barengine.llm import common
 from barengine.llm import phrases as S
 from tests.llm.corpus_rows import docs, empty, rows  # noqa: F401
 
@@ -81,3 +82,18 @@ def test_a_word_in_every_text(spark):
     texts = [(" ".join(["the"] * 30 + [f"w{i % 7}"]), "en") for i in range(300)]
     d = spark.createDataFrame(texts, "text string, lang string").repartition(5)
     assert sorted(map(tuple, S.collocations(d, min_count=5, chunk_words=200).collect())) == plain(texts, 5)
+
+
+def test_chunks_of_many_words_are_cut(spark, monkeypatch):
+    """Before, all 1.2 million words were one row, and a task's arrays for it took some 200 MB."""
+    keep, rows = common.Scratch.keep, {}
+
+    def counted(self, df, name):
+        out = keep(self, df, name)
+        rows[name] = out.count()
+        return out
+    monkeypatch.setattr(common.Scratch, "keep", counted)
+    d = spark.range(300, numPartitions=1).selectExpr("repeat(concat('a b c', id % 3, ' d '), 1000) AS text", "'en' AS lang")
+    got = S.collocations(d).collect()
+    assert rows["r0"] == 3
+    assert got and sorted(got) == sorted(S.collocations(d, chunk_words=1 << 21).collect()) and rows["r0"] == 1
