@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens as T
-from .common import materialize
+from .common import materialize, settings
 from .packing import pack, pack_sorted, unpack, unpack_sorted
 
 ROW = "__row"
@@ -111,8 +111,9 @@ def idf(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
         return pa.Table.from_arrays([pa.array([t["s"][0].as_py()], pa.int64()), pa.array([pack(total)], pa.binary()),
                                      pa.array([sum(t["n"].to_pylist())], pa.int64())], names=["s", "df", "n"])
     schema = "s long, df binary, n long"
-    rows = (docs.select(F.col(text).alias("t")).mapInArrow(count, schema).groupBy("s")
-            .applyInArrow(add, schema).collect())  # 2^18 counters, whatever the input
+    with settings(docs.sparkSession):
+        rows = (docs.select(F.col(text).alias("t")).mapInArrow(count, schema).groupBy("s")
+                .applyInArrow(add, schema).collect())  # 2^18 counters, whatever the input
     df, n = np.zeros(1 << FEATURE_BITS), 0
     for r in rows:
         df[r.s << 14:(r.s + 1) << 14] = unpack(r.df)
@@ -141,12 +142,20 @@ def _orthonormal(z: np.ndarray) -> np.ndarray:
     return z
 
 
+def _row_starts(lo: int, hi: int, n: int) -> np.ndarray:
+    """Where rows lo..hi of an upper triangle of n rows begin in an array that begins with row lo (the last: its length)."""
+    x = np.arange(lo, hi + 1)
+    at = x * n - x * (x - 1) // 2
+    return at - at[0]
+
+
 def _add_passages(total: np.ndarray, h: np.ndarray, counts: np.ndarray, place: np.ndarray, weight: np.ndarray, n: int,
                   lo: int, hi: int) -> int:
     """Adds the word pairs of all passages of some texts, and returns the number of passages with words of the benchmark.
 
-    ``total`` is U of the Gram matrix D (U + U') D of the passages' TF-IDF rows of norm 1 (D: the weights of the ``n``
-    words), rows lo..hi-1. A passage is two blocks of PASSAGE / 2 words, the second also the first one of the next passage.
+    ``total`` is the upper triangle U of the Gram matrix D (U + U') D of the passages' TF-IDF rows of norm 1 (D: the weights of
+    the ``n`` words), rows lo..hi-1 one after another, each from its diagonal on. A passage is two blocks of PASSAGE / 2 words,
+    the second also the first one of the next passage.
     """
     half = PASSAGE // 2
     n_blocks = -(-counts // half)
@@ -167,13 +176,14 @@ def _add_passages(total: np.ndarray, h: np.ndarray, counts: np.ndarray, place: n
     within = share.astype(np.float32)
     within[1:] += across[:-1]
     mine = (at >= lo) & (at < hi) if (lo, hi) != (0, n) else None
+    row_start = _row_starts(lo, hi, n)[:-1] - np.arange(lo, hi)
 
     def add(x: np.ndarray, y: np.ndarray, value: np.ndarray) -> None:
         x, y = np.minimum(x, y), np.maximum(x, y)
         if mine is not None:
             own = (x >= lo) & (x < hi)
             x, y, value = x[own], y[own], value[own]
-        np.add.at(total, (x - lo) * n + y, value)
+        np.add.at(total, row_start[x - lo] + y, value)
     add(at, at, within[blk] * np.float32(0.5))
     i = np.arange(len(at))
     for d in range(1, PASSAGE):
@@ -202,7 +212,8 @@ def _gram(texts: DataFrame, kind: int, held, n: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]):
             pa.default_memory_pool().release_unused()
             place, weight = held.value
-            total, passages = np.zeros((hi - lo) * n, np.float32), 0
+            starts = _row_starts(lo, hi, n)
+            total, passages = np.zeros(starts[-1], np.float32), 0
             for b in batches:
                 if hashed:
                     for x in b.column("t"):
@@ -215,7 +226,12 @@ def _gram(texts: DataFrame, kind: int, held, n: int) -> DataFrame:
                     passages += _add_passages(total, h, counts, place, weight, n, lo, hi)
             part = TaskContext.get().partitionId() // GRAM_PARTS
             for s in range(lo, hi, GRAM_ROWS):
-                yield _slice(part, s, total[(s - lo) * n:(min(hi, s + GRAM_ROWS) - lo) * n], passages if s == 0 else 0)
+                e = min(hi, s + GRAM_ROWS)
+                first = starts[s - lo:e - lo] - starts[s - lo]
+                cells = total[starts[s - lo]:starts[e - lo]]
+                found = np.flatnonzero(cells)
+                row = np.searchsorted(first, found, side="right") - 1
+                yield _slice(part, s, found - first[row] + row * (n + 1) + s, cells[found], passages if s == 0 else 0)
         return run
 
     def add(t: pa.Table) -> pa.Table:
@@ -224,7 +240,9 @@ def _gram(texts: DataFrame, kind: int, held, n: int) -> DataFrame:
             at, v = unpack_sorted(at.as_py()).astype(np.int64), np.frombuffer(v.as_buffer(), np.float32)
             total = np.zeros(GRAM_ROWS * n, np.float64) if total is None else total
             total[at] += v
-        return pa.Table.from_batches([_slice(t["part"][0].as_py(), t["s"][0].as_py(), total, sum(t["passages"].to_pylist()))])
+        found = np.flatnonzero(total)
+        return pa.Table.from_batches([_slice(t["part"][0].as_py(), t["s"][0].as_py(), found, total[found],
+                                             sum(t["passages"].to_pylist()))])
     schema = "part long, s long, at binary, v binary, passages long"
     out = None
     for lo in range(0, n, width):  # one pass where U fits a task
@@ -234,11 +252,11 @@ def _gram(texts: DataFrame, kind: int, held, n: int) -> DataFrame:
     return out.groupBy("part", "s").applyInArrow(add, schema).select(F.lit(kind).alias("kind"), "s", "at", "v", "passages")
 
 
-def _slice(part: int, s: int, rows: np.ndarray, passages: int) -> pa.RecordBatch:
-    at = np.flatnonzero(rows)
+def _slice(part: int, s: int, at: np.ndarray, value: np.ndarray, passages: int) -> pa.RecordBatch:
+    """Cells of the rows from s: ``at`` counts from the first cell of row s, n to a row."""
     return pa.RecordBatch.from_arrays(
         [pa.array([part], pa.int64()), pa.array([s], pa.int64()), pa.array([pack_sorted(at.astype(np.uint64))], pa.binary()),
-         pa.array([rows[at].astype(np.float32).tobytes()], pa.binary()), pa.array([passages], pa.int64())],
+         pa.array([value.astype(np.float32).tobytes()], pa.binary()), pa.array([passages], pa.int64())],
         names=["part", "s", "at", "v", "passages"])
 
 
@@ -260,8 +278,9 @@ def fit_space(docs: DataFrame, items: list[np.ndarray], weight: np.ndarray, text
     own = weight[seen].astype(np.float32)
     held = spark.sparkContext.broadcast((place, own.astype(np.float64)))
     of_items = spark.createDataFrame([(h.tobytes(),) for h in items if len(h)], "t binary")
-    table = materialize(_gram(docs.select(F.col(text).alias("t")), 0, held, n)
-                        .union(_gram(of_items, 1, held, n)).repartition(FIT_PARTS, "s"), "lsa-gram")
+    with settings(spark):
+        table = materialize(_gram(docs.select(F.col(text).alias("t")), 0, held, n)
+                            .union(_gram(of_items, 1, held, n)).repartition(FIT_PARTS, "s"), "lsa-gram")
     held.destroy()
     passages = table.where("kind = 0").agg(F.sum("passages")).first()[0] or 0
     scales = (CORPUS_PASSAGES / max(passages, 1), ITEM_WEIGHT ** 2)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens as T
-from .common import materialize, partitions
+from .common import materialize, partitions, settings
 from .components import connected_components, nearest, star_step
 
 PIECE = 4 << 20
@@ -114,8 +114,9 @@ def frequent_shingles(docs: DataFrame, text: str, k: int) -> tuple[np.ndarray, n
                 if often.any():
                     yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(c[often])],
                                                      names=["h", "c"])
-    counts = materialize(docs.select(F.col(text).alias("t")).mapInArrow(count, "h long, c long")
-                         .groupBy("h").agg(F.sum("c").alias("c")), "ngram-heavy")
+    with settings(docs.sparkSession):
+        counts = materialize(docs.select(F.col(text).alias("t")).mapInArrow(count, "h long, c long")
+                             .groupBy("h").agg(F.sum("c").alias("c")), "ngram-heavy")
     levels = sorted(((int(r.p), r.n) for r in counts.groupBy(F.floor(F.log2("c")).alias("p"))
                      .agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
     total, least = 0, None
@@ -171,7 +172,8 @@ def shingle_sets(docs: DataFrame, key: str, text: str, k: int, percent: int) ->
                      pa.array(gid, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
                     names=["key_", "hash_", "n", "node", "gid", "prefix", "sig"])
     slim = docs.select(F.col(key).cast("long").alias("key_"), F.xxhash64(text).alias("hash_"), F.col(text).alias("t"))
-    return materialize(slim.mapInArrow(sets, _SETS), "ngram-sets")
+    with settings(docs.sparkSession):
+        return materialize(slim.mapInArrow(sets, _SETS), "ngram-sets")
 
 
 # -- candidate pairs ---------------------------------------------------------

@@ -153,6 +153,32 @@ def test_space_is_fitted_on_all_passages_of_all_documents(spark, monkeypatch, ce
     assert np.trace(v.T @ gram @ v) > 0.98 * np.linalg.eigvalsh(gram)[-12:].sum()
 
 
+@pytest.mark.parametrize(("lo", "hi"), [(0, 30), (4, 11)])
+def test_word_pairs_take_half_a_matrix(lo, hi):
+    """Before, a task held all n * n cells though only those from the diagonal on are counted."""
+    r = np.random.default_rng(5)
+    n, counts = 30, np.array([0, 5, 24, 60, 48])
+    place = np.full(1 << decontamination.FEATURE_BITS, -1)
+    place[:n] = np.arange(n)
+    words = r.integers(0, 40, counts.sum())
+    weight = r.random(n) + 0.5
+    total = np.zeros(sum(n - x for x in range(lo, hi)), np.float32)
+    h = words.astype(np.uint64) << np.uint64(64 - decontamination.FEATURE_BITS)
+    decontamination._add_passages(total, h, counts, place, weight, n, lo, hi)
+    want = np.zeros((n, n))
+    for c, e in zip(counts, np.cumsum(counts)):
+        for p in decontamination._passages(words[e - c:e]):
+            x = np.bincount(p[p < n], minlength=n)
+            if x.any():
+                want += np.outer(x, x) / (weight[p[p < n]] ** 2).sum()
+    want[np.diag_indices(n)] /= 2
+    got = np.zeros((n, n))
+    rows, cols = np.triu_indices(n)
+    mine = (rows >= lo) & (rows < hi)
+    got[rows[mine], cols[mine]] = total
+    assert np.allclose(got[lo:hi], np.triu(want)[lo:hi], rtol=1e-4)
+
+
 def test_blocks_of_items_agree(spark, monkeypatch):
     d, b = (spark.read.parquet(f"{SF001}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = {(x.doc_id, x.contaminated, x.item) for x in decontamination.contaminated(d, b).collect()}
