@@ -138,7 +138,7 @@ def _orthonormal(z: np.ndarray) -> np.ndarray:
             gram += block.T @ block
         val, vec = np.linalg.eigh(gram)
         good = val > val.max() * 1e-10 if len(val) and val.max() > 0 else np.zeros(len(val), bool)
-        z = (z @ (vec[:, good] / np.sqrt(val[good])).astype(np.float32)).astype(np.float32)
+        z = (z @ (vec[:, good] / np.sqrt(val[good])).astype(np.float32)).astype(np.float32, copy=False)
     return z
 
 
@@ -286,7 +286,10 @@ def fit_space(docs: DataFrame, items: list[np.ndarray], weight: np.ndarray, text
     scales = (CORPUS_PASSAGES / max(passages, 1), ITEM_WEIGHT ** 2)
     q = np.random.default_rng(7).standard_normal((n, min(dims + OVERSAMPLE, n)), dtype=np.float32)
     for _ in range(POWER_ROUNDS):
-        q = _orthonormal(_product(table, scales, own, q))
+        z = _product(table, scales, own, q)
+        del q  # the driver holds one such matrix beside those in work
+        q = _orthonormal(z)
+        del z
     small = (q.T @ _product(table, scales, own, q)).astype(np.float64)
     val, vec = np.linalg.eigh((small + small.T) / 2)
     top = np.argsort(val)[::-1][:dims]
@@ -298,9 +301,11 @@ def fit_space(docs: DataFrame, items: list[np.ndarray], weight: np.ndarray, text
 def _product(table: DataFrame, scales: tuple[float, float], own: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Gram matrix times q, added up over all tasks by slices of rows.
 
-    The sums are with the driver when the job ends, so nothing needs the broadcast factor any more.
+    The sums are with the driver when the job ends, so nothing needs the broadcast factor any more. They come as
+    Arrow batches of GRAM_ROWS rows, a few hundred KB each, and go straight to their place.
     """
-    shared = table.sparkSession.sparkContext.broadcast(q * own[:, None])
+    spark = table.sparkSession
+    shared = spark.sparkContext.broadcast(q * own[:, None])
     n, cols = q.shape
 
     def product(batches: Iterator[pa.RecordBatch]):
@@ -314,18 +319,24 @@ def _product(table: DataFrame, scales: tuple[float, float], own: np.ndarray, q:
                 rows *= np.float32(scales[kind.as_py()])
                 total[s:s + len(rows)] += rows @ q
                 total += rows.T @ q[s:s + len(rows)]
-        for s in range(0, n, SLICE):
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([total[s:s + SLICE].tobytes()],
+        for s in range(0, n, GRAM_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([total[s:s + GRAM_ROWS].tobytes()],
                                                                                   pa.binary())], names=["s", "m"])
 
     def add(t: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_buffer(), np.float32) for x in t["m"])
         return pa.Table.from_arrays([pa.array([t["s"][0].as_py()], pa.int64()),
                                      pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["s", "m"])
-    parts = table.mapInArrow(product, "s long, m binary").groupBy("s").applyInArrow(add, "s long, m binary").collect()
+    with settings(spark):
+        parts = table.mapInArrow(product, "s long, m binary").groupBy("s").applyInArrow(add, "s long, m binary").toArrow()
     shared.destroy()
-    z = np.concatenate([np.frombuffer(r.m, np.float32).reshape(-1, cols) for r in sorted(parts, key=lambda r: r.s)])
-    return z * own[:, None]
+    del shared
+    z = np.empty((n, cols), np.float32)
+    for s, m in zip(parts["s"].to_pylist(), parts["m"]):
+        rows = np.frombuffer(m.as_buffer(), np.float32).reshape(-1, cols)
+        z[s:s + len(rows)] = rows
+    z *= own[:, None]
+    return z
 
 
 # -- search and checks -------------------------------------------------------

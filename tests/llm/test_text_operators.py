@@ -3,6 +3,7 @@ import collections
 import hashlib
 import random
 import time
+import tracemalloc
 
 import corpus_pipeline
 import numpy as np
@@ -30,6 +31,29 @@ def test_lcs():
         assert decontamination.lcs_length(a, b) == lcs(a, b)
 
 
+def test_product_with_the_gram_matrix_is_light_on_the_driver(spark):
+    """The driver holds the factor and its pickled copy, or the result: not the collected rows, their sum and its product beside it."""
+    n, cols = 3000, 256
+    rng = np.random.default_rng(3)
+    rows = []
+    for s in range(0, n, decontamination.GRAM_ROWS):
+        i = np.arange(s, min(n, s + decontamination.GRAM_ROWS))
+        b = decontamination._slice(0, s, (i - s) * n + i, rng.random(len(i)), 0).to_pylist()[0]
+        rows.append((0, s, b["at"], b["v"]))
+    diagonal = np.concatenate([np.frombuffer(r[3], np.float32) for r in rows])
+    cells = spark.createDataFrame(rows, "kind long, s long, at binary, v binary")
+    own, q = rng.random(n).astype(np.float32), rng.random((n, cols)).astype(np.float32)
+    tracemalloc.start()
+    try:
+        z = decontamination._product(cells, (1.0, 1.0), own, q)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert z.dtype == np.float32
+    assert np.allclose(z, q * (2 * diagonal * own ** 2)[:, None], rtol=1e-4)
+    assert peak < 3.6 * q.nbytes
+
+
 def test_decontamination(spark, empty):
     r = random.Random(5)
     vocab = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(4000)]
